@@ -1,0 +1,95 @@
+"""Address and network keys, compared with Python's ipaddress."""
+
+import ipaddress
+import random
+
+from wallscope.functions.addresses import with_address_key, with_network_key
+
+ADDRESSES = """
+01.2.3.4|1.2.3|999.1.1.1| 1.2.3.4|1.2.3.4/24|1.2.3.4.5|0.0.0.0|255.255.255.255|1.2.3.4%eth0
+::|::1|2001:db8::1|fe80::1|1:2:3:4:5:6:7:8|::ffff:1.2.3.4|1:2:3:4:5:6:7::|::2:3:4:5:6:7:8
+1:2:3:4:5:6:7:8::|1::2::3|:::|:1::2|1::2:|fe80::1%eth0|fe80::1%|%a|fe80::1%a%b|fe80::1%a/b|::%x
+1:2:3:4:5:6:1.2.3.4|1:2:3:4:5:6:7:1.2.3.4|::1.2.3|::01.2.3.4|1.2.3.4::|::1.2.3.4:5|:1.2.3.4|a:1.2.3.4
+g::1|12345::|1:2:3:4:5:6:7|1::2:3:4:5:6:7:8|1:2:3:4::5:6:7:8|::FFFF:255.255.255.255|not_an_ip
+""".replace("\n", "|").split("|") + ["1.2.3.4\n", "", "١.2.3.4", "1:" * 20 + "1"]
+
+NETWORKS = """
+10.0.0.5/8|10.0.0.0/255.0.0.0|10.0.0.0/0.255.255.255|1.2.3.4/08|1.2.3.4/0|10.0.0.0/33|1.2.3.4/
+1.2.3.4/0.0.0.0|1.2.3.4/255.255.255.255|1.2.3.4/255.0.255.0|1.2.3.4//3|/3|1.2.3.4/3/4|1.2.3.4/+3
+1.2.3.4/ 3|1.2.3.4/00000000000000000000000000032|1.2.3.4/99999999999999999999|1.2.3.4|1.2.3.4/0.0.0.1
+::/0|2001:db8::1/32|2001:db8::/129|::1/255.0.0.0|fe80::1%a/64|fe80::1/64%a|::1|x|::/64|::ffff:1.2.3.4/100
+""".replace("\n", "|").split("|")
+
+
+def signed_halves(bits):
+    hi, lo = divmod(bits, 1 << 64)
+    return tuple(half - (1 << 64) if half >> 63 else half for half in (hi, lo))
+
+
+def address_key(text):
+    try:
+        address = ipaddress.ip_address(text)
+    except ValueError:
+        return None, None, None
+    return (address.version, *signed_halves(int(address) << (128 - address.max_prefixlen)))
+
+
+def network_key(text):
+    try:
+        if "/" in text:
+            network = ipaddress.ip_network(text, strict=False)
+        else:
+            network = ipaddress.ip_network(ipaddress.ip_address(text))
+    except ValueError:
+        return None, None, None, None
+    bits = int(network.network_address) << (128 - network.max_prefixlen)
+    return (network.version, network.prefixlen, *signed_halves(bits))
+
+
+def random_addresses(count, seed=7):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(count):
+        bits = rng.getrandbits(128)
+        if rng.random() < 0.5:  # many zero groups, so "::" occurs
+            for _ in range(4):
+                bits &= rng.getrandbits(128)
+        v6 = ipaddress.IPv6Address(bits)
+        v4 = ipaddress.IPv4Address(rng.getrandbits(32))
+        texts += [str(v6), v6.exploded, str(v6).upper(), str(v4)]
+        for text in (str(v6), str(v4)):  # one character changed: often invalid
+            at = rng.randrange(len(text))
+            texts.append(text[:at] + rng.choice("0123456789abcdefg:.%/") + text[at + 1 :])
+    return texts
+
+
+def test_address_keys(spark):
+    texts = sorted(set(ADDRESSES + random_addresses(300)))
+    rows = with_address_key(spark.createDataFrame([(t,) for t in texts], "ip string"), "ip").collect()
+    wrong = [row.ip for row in rows if (row.family, row.hi, row.lo) != address_key(row.ip)]
+    assert wrong == []
+    assert len(rows) == len(texts)
+
+
+def test_network_keys(spark):
+    rng = random.Random(3)
+    texts = NETWORKS + [f"{text}/{rng.randrange(0, 140)}" for text in random_addresses(60, seed=4)]
+    texts = sorted(set(texts))
+    rows = with_network_key(spark.createDataFrame([(t,) for t in texts], "cidr string"), "cidr").collect()
+    wrong = [row.cidr for row in rows if (row.family, row.plen, row.hi, row.lo) != network_key(row.cidr)]
+    assert wrong == []
+
+
+def test_null_stays_null(spark):
+    frame = spark.createDataFrame([(None,)], "ip string")
+    assert tuple(with_address_key(frame, "ip").first()) == (None, None, None, None)
+    assert tuple(with_network_key(frame, "ip").first()) == (None, None, None, None, None)
+
+
+def test_filters_do_not_reach_below_an_aggregation(spark):
+    events = spark.createDataFrame([("1.2.3.4",), ("x",)], "ip string")
+    keyed = with_address_key(events.distinct(), "ip").where("family IS NOT NULL")
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert len(filters) == 1 and "isnotnull(family" in filters[0]
+    assert plan.index("Filter") < plan.index("Aggregate")

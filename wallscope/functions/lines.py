@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wallscope.functions.text import WHITESPACE_CLASS, none_if_empty
+from wallscope.functions.text import WHITESPACE, WHITESPACE_CLASS, none_if_empty
 
 # Character classes spelled out so that digits, word characters and white space
 # mean the Unicode sets of Python's ``\d``, ``\w`` and ``\s``.
@@ -27,11 +27,14 @@ FIELDS = [
     ("src_port", rf"[{_D}]+", rf"{_S}>{_S}"),
     ("dst_ip", rf"[{_D}.]+", r"\."),
     ("dst_port", rf"[{_D}]+", rf":{_S}"),
-    ("protocol_info", ".*", ""),
+    ("protocol_info", rf"[^{WHITESPACE_CLASS}].*", ""),
 ]
 
+# The pattern is defined on stripped lines. Instead of stripping every line, white
+# space in front is skipped, the last field has to begin with something else, and
+# white space behind it is cut off that field only.
 # (?d): only a line feed ends a line for ".", as in Python.
-LINE_PATTERN = "(?d)^" + "".join(f"({field}){after}" for _, field, after in FIELDS)
+LINE_PATTERN = f"(?d)^[{WHITESPACE_CLASS}]*" + "".join(f"({field}){after}" for _, field, after in FIELDS)
 
 # A character that no field but the last can contain.
 _SEPARATOR = "\x01"
@@ -51,6 +54,12 @@ def split_fields(joined: Column) -> Column:
     return F.split(joined, _SEPARATOR, len(FIELDS))
 
 
+def field(fields: Column, position: int) -> Column:
+    text = fields[position]
+    is_last = position == len(FIELDS) - 1
+    return F.rtrim(text, F.lit(WHITESPACE)) if is_last else text
+
+
 def _found(text: Column, pattern: str) -> Column:
     return none_if_empty(F.regexp_extract(text, pattern, 1))
 

@@ -13,7 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wallscope.functions.addresses import with_address_key, width_of
-from wallscope.operators.prefix_join import KEY, containing_networks, join_networks
+from wallscope.operators.prefix_join import (
+    KEY,
+    containing_networks,
+    join_networks,
+    with_any_key,
+    with_containing_networks,
+)
 from wallscope.schemas import ASN, CITY
 from wallscope.session import materialize
 from wallscope.sources.networks import special_networks
@@ -53,7 +59,7 @@ def address_counts(events: DataFrame, ip_column: str = "src_ip") -> DataFrame:
 # --- the address table ----------------------------------------------------------
 
 # What a network key stands for in the combined key table.
-_SPECIAL, _GEO, _ASN, _FIRST_SOURCE = 0, 1, 2, 3
+_SPECIAL, _GEO, _ASN, _FIRST_SOURCE = range(4)
 
 
 def _layer(networks: DataFrame, code: Column, score: Column) -> DataFrame:
@@ -88,7 +94,7 @@ def build_address_table(
             F.lit(_SPECIAL),
             # The low bit tells whether the longest special range is private.
             plen * F.lit(2) + F.col("is_private").cast("int"),
-        )
+        ),
     ]
     if geo is not None:
         layers.append(_layer(geo, F.lit(_GEO), plen))
@@ -107,10 +113,10 @@ def build_address_table(
     def best(code: int) -> Column:
         return F.max(F.when(F.col("layer") == code, F.col("score")))
 
-    keyed = with_address_key(addresses, "ip")
+    keyed = with_any_key(addresses)
     summary = (
-        containing_networks(keyed.select("ip", "family", "hi", "lo"), keys)
-        .groupBy("ip", "family", "hi", "lo")
+        with_containing_networks(keyed, keys)
+        .groupBy(*keyed.columns)
         .agg(
             best(_SPECIAL).alias("special"),
             best(_GEO).alias("geo_plen"),
@@ -119,14 +125,16 @@ def build_address_table(
         )
     )
     private = F.coalesce(F.col("special") % 2 == 1, F.lit(False))
+    flags = [threat_column(source) for source in sources]
+    any_hit = F.lit(False)
+    for i in range(len(sources)):
+        any_hit = any_hit | F.col(f"hit_{i}").isNotNull()
     summary = summary.select(
-        "ip",
-        "family",
-        "hi",
-        "lo",
+        *keyed.columns,
         private.alias("is_private"),
         *[F.when(~private, F.col(c)).alias(c) for c in ("geo_plen", "asn_plen")],
-        *[F.col(f"hit_{i}").isNotNull().alias(threat_column(s)) for i, s in enumerate(sources)],
+        any_hit.alias(MALICIOUS),
+        *[F.col(f"hit_{i}").isNotNull().alias(flag) for i, flag in enumerate(flags)],
     )
 
     added = ["is_private"]
@@ -141,21 +149,9 @@ def build_address_table(
             summary = summary.select("*", *empty)
         added += GEO_COLUMNS
 
-    flags = [threat_column(source) for source in sources] if threats is not None else []
-    summary = summary.select("ip", *added, *flags)
-    table = addresses.join(summary, "ip", "left").select(
-        *addresses.columns,
-        F.coalesce("is_private", F.lit(False)).alias("is_private"),
-        *added[1:],
-        *[F.coalesce(F.col(flag), F.lit(False)).alias(flag) for flag in flags],
-    )
-    if threats is None:
-        return table
-    any_hit = F.lit(False)
-    for flag in flags:
-        any_hit = any_hit | F.col(flag)
-    kept = [name for name in table.columns if name not in flags]
-    return table.select(*kept, any_hit.alias(MALICIOUS), *flags)
+    if threats is not None:
+        added += [MALICIOUS, *flags]
+    return summary.select(*addresses.columns, *added)
 
 
 # --- attaching it to log rows -----------------------------------------------------
@@ -176,26 +172,30 @@ def attach(
     (NULL counts as one): these join by broadcast and are never shuffled. Columns
     of the same name in ``events`` are replaced.
     """
-    total = table.agg(F.sum("n")).first()[0] or 0
-    limit = max(hot_rows, total // max_hot)
+    total, most = table.agg(F.sum("n"), F.max("n")).first()
+    limit = max(hot_rows, (total or 0) // max_hot)
     kept = [F.col(f"`{name}`") for name in events.columns if name not in columns]
     keyed = events.select(*kept, F.col(ip_column).cast("string").alias("__ip"))
     names = [name for name in events.columns if name not in columns]
     lookup = table.select(F.col("ip").alias("__lookup"), *columns)
+    # Rows without an address match nothing; their verdict is False all the same.
+    values = [
+        F.coalesce(F.col(c), F.lit(False)).alias(c) if c.startswith("threat_") else F.col(c) for c in columns
+    ]
 
     # Counts of all addresses add up to the total, so fewer than total/limit,
     # that is at most ``max_hot`` of them, can exceed the limit.
-    hot_addresses = table.where(F.col("n") > limit)
-    if hot_addresses.isEmpty():
+    if (most or 0) <= limit:
         joined = keyed.join(lookup, F.col("__ip") == F.col("__lookup"), "left")
-        return joined.select(*names, *columns)
+        return joined.select(*names, *values)
 
+    hot_addresses = table.where(F.col("n") > limit)
     hot = F.broadcast(hot_addresses.select(F.col("ip").alias("__lookup"), *columns))
     hot_keys = F.broadcast(hot_addresses.select(F.col("ip").alias("__hot")))
     busy = keyed.join(hot, F.col("__ip").eqNullSafe(F.col("__lookup")))
     rest = keyed.join(hot_keys, F.col("__ip").eqNullSafe(F.col("__hot")), "left_anti")
     rest = rest.join(lookup, F.col("__ip") == F.col("__lookup"), "left")
-    return busy.select(*names, *columns).unionByName(rest.select(*names, *columns))
+    return busy.select(*names, *values).unionByName(rest.select(*names, *values))
 
 
 def enrich(

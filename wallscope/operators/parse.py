@@ -13,14 +13,14 @@ from wallscope.schemas import PARSED
 
 
 def _matched(raw: DataFrame, column: str, keep: Sequence[str]) -> DataFrame:
-    """Stripped ``line`` and its ``joined`` fields, for every input line.
+    """Every input ``line`` with its ``joined`` fields.
 
     The pattern result goes through a one-element ``explode``: Catalyst would copy
     a plain projection's expression into every filter on it and run the pattern
     twice per line. A generator's output is computed once, in the same stage.
     """
-    stripped = raw.select(*keep, strip(F.make_valid_utf8(F.col(column))).alias("line"))
-    return stripped.select(
+    valid = raw.select(*keep, F.make_valid_utf8(F.col(column)).alias("line"))
+    return valid.select(
         *keep, "line", F.explode(F.array(lines.joined_fields(F.col("line")))).alias("joined")
     )
 
@@ -33,7 +33,7 @@ def parse_lines(raw: DataFrame, column: str = "value", keep: Sequence[str] = ())
     fields = _matched(raw, column, keep).where(F.col("joined") != F.col("line"))
     fields = fields.select(*keep, lines.split_fields(F.col("joined")).alias("fields"))
     fields = fields.select(
-        *keep, *[F.col("fields")[i].alias(name) for i, (name, _, _) in enumerate(lines.FIELDS)]
+        *keep, *[lines.field(F.col("fields"), i).alias(f[0]) for i, f in enumerate(lines.FIELDS)]
     )
     raw_time, info = F.col("timestamp_raw"), F.col("protocol_info")
     derived = {
@@ -54,4 +54,4 @@ def parse_lines(raw: DataFrame, column: str = "value", keep: Sequence[str] = ())
 def rejected_lines(raw: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """The stripped lines that ``parse_lines`` drops; blank lines included."""
     rejects = _matched(raw, column, keep).where(F.col("joined") == F.col("line"))
-    return rejects.select(*keep, "line")
+    return rejects.select(*keep, strip(F.col("line")).alias("line"))

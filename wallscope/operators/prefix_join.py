@@ -10,27 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wallscope.functions.addresses import masked, width_of
+from wallscope.functions.addresses import masked, width_of, with_address_key
 from wallscope.schemas import NETWORK_KEY
 
 KEY = NETWORK_KEY.fieldNames()
 
-# A network with more than 2**WIDE_BITS addresses may own a large part of all
-# addresses; such networks are joined in SALTS parts.
-WIDE_BITS = 16
-SALTS = 16
+# The length of a probe that matches no network: it stands for the address itself.
+SELF = -1
 
 
-def _is_wide(family: Column, plen: Column) -> Column:
-    return width_of(family) - plen > F.lit(WIDE_BITS)
+def _parts(family: Column, plen: Column) -> Column:
+    """In how many parts a network is joined, by the addresses it can own.
 
-
-def _salted_networks(networks: DataFrame) -> DataFrame:
-    """Every wide network once per salt, all others once."""
-    salts = F.when(
-        _is_wide(F.col("family"), F.col("plen")), F.sequence(F.lit(0), F.lit(SALTS - 1))
-    ).otherwise(F.array(F.lit(0)))
-    return networks.select("*", F.explode(salts).alias("salt"))
+    Up to 65,536 addresses need no split. IPv4 networks of up to a /8 stay below a
+    million rows per part; the few shorter ones (a /0 owns everything) are split
+    further. AQE's skew join splits what still is too big.
+    """
+    free = width_of(family) - plen
+    return (
+        F.when(free <= 16, F.lit(1))
+        .when((family == 4) & (free > 24), F.lit(256))
+        .when(free > 16, F.lit(16))
+        .otherwise(F.lit(1))
+    )
 
 
 def join_networks(
@@ -39,16 +41,18 @@ def join_networks(
     """Join addresses (ip, family, hi, lo, ...) to ``networks`` at length ``plen``.
 
     Adds the networks' columns other than the key. The address columns ``hi`` and
-    ``lo`` stay unmasked.
+    ``lo`` stay unmasked. In an outer join an address without a length probes for
+    itself: it finds nothing, and such addresses do not share one join key.
     """
+    plen = F.coalesce(plen, F.lit(SELF))
     values = [name for name in networks.columns if name not in KEY]
-    right = _salted_networks(networks).select(
+    last = _parts(F.col("family"), F.col("plen")) - F.lit(1)
+    right = networks.select("*", F.explode(F.sequence(F.lit(0), last)).alias("salt")).select(
         *[F.col(name).alias(f"__{name}") for name in [*KEY, "salt"]], *values
     )
-    hi, lo = masked(F.col("hi"), F.col("lo"), plen)
-    salt = F.when(
-        _is_wide(F.col("family"), plen), F.pmod(F.xxhash64("ip"), F.lit(SALTS)).cast("int")
-    ).otherwise(F.lit(0))
+    bits = F.when(plen == SELF, F.lit(128)).otherwise(plen)
+    hi, lo = masked(F.col("hi"), F.col("lo"), bits)
+    salt = F.pmod(F.xxhash64("ip"), _parts(F.col("family"), plen)).cast("int")
     matches = (
         (F.col("family") == F.col("__family"))
         & (plen == F.col("__plen"))
@@ -57,28 +61,59 @@ def join_networks(
         & (salt == F.col("__salt"))
     )
     joined = addresses.join(right, matches, how)
-    return joined.select(*addresses.columns, *([] if how == "left_semi" else values))
+    return joined.select(*addresses.columns, *values)
+
+
+def with_any_key(addresses: DataFrame) -> DataFrame:
+    """Address keys that are never NULL: invalid text has family 0 and, to spread
+    it over all partitions, its hash as key.
+    """
+    keyed = with_address_key(addresses, "ip")
+    return keyed.select(
+        *[F.col(f"`{name}`") for name in addresses.columns],
+        F.coalesce("family", F.lit(0)).alias("family"),
+        F.coalesce("hi", F.xxhash64("ip")).alias("hi"),
+        F.coalesce("lo", F.lit(0)).alias("lo"),
+    )
+
+
+def _lengths(networks: DataFrame) -> DataFrame:
+    """The prefix lengths of each family: 33 + 129 rows at most."""
+    return networks.select("family", "plen").distinct()
 
 
 def containing_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
     """Every (address, containing network) pair: the address columns, ``plen`` and
     the networks' value columns. Addresses in no network have no row.
     """
-    # At most 162 rows, so always small enough to broadcast.
-    lengths = networks.select("family", "plen").distinct()
-    probes = addresses.join(F.broadcast(lengths), "family").select(*addresses.columns, "plen")
-    return join_networks(probes, networks, F.col("plen"))
+    probes = addresses.join(F.broadcast(_lengths(networks)), "family")
+    return join_networks(probes.select(*addresses.columns, "plen"), networks, F.col("plen"))
+
+
+def with_containing_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
+    """The same, plus one row of plen ``SELF`` and NULL values for each address of
+    ``with_any_key``, so that those without a match need not be read a second time
+    to be joined back.
+    """
+    spark = addresses.sparkSession
+    own = spark.sql(f"SELECT * FROM VALUES (0, {SELF}), (4, {SELF}), (6, {SELF}) AS own(family, plen)")
+    lengths = F.broadcast(_lengths(networks).unionByName(own))
+    probes = addresses.join(lengths, "family").select(*addresses.columns, "plen")
+    marked = networks.select("*", F.lit(True).alias("__found"))
+    pairs = join_networks(probes, marked, F.col("plen"), "left")
+    return pairs.where(F.col("__found") | (F.col("plen") == SELF)).drop("__found")
 
 
 def longest_match(addresses: DataFrame, networks: DataFrame) -> DataFrame:
-    """The record of the longest containing network, NULL where there is none.
+    """Distinct addresses (``ip``, ...) with the record of the longest network that
+    contains them, NULL where there is none, and its ``plen``.
 
     Only the best prefix length is aggregated (a number, so a hash aggregation);
     the record itself is fetched afterwards by its exact key.
     """
-    keys = networks.select(*KEY)
-    identity = addresses.columns
-    best = containing_networks(addresses, keys).groupBy(*identity).agg(F.max("plen").alias("plen"))
-    found = join_networks(best, networks, F.col("plen"))
-    values = ["plen", *[name for name in networks.columns if name not in KEY]]
-    return addresses.join(found.select("ip", *values), "ip", "left")
+    keyed = with_any_key(addresses)
+    pairs = with_containing_networks(keyed, networks.select(*KEY))
+    longest = F.max(F.when(F.col("plen") != SELF, F.col("plen")))
+    best = pairs.groupBy(*keyed.columns).agg(longest.alias("plen"))
+    found = join_networks(best, networks, F.col("plen"), "left")
+    return found.drop("family", "hi", "lo")

@@ -22,8 +22,21 @@ TOP_SOURCE_PORTS = 10
 TOP_THREATS = 10
 
 
-def _total(df: DataFrame) -> Column:
-    return df.agg(F.count("*")).scalar()
+def _with_shares(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Count and share of all rows per combination of ``keys`` without a NULL.
+
+    Rows are read and aggregated once: the total is summed up from the same
+    counts. Groups with NULL are dropped by a generator, because Catalyst would
+    move a filter on the keys under the aggregation of one side only, and the two
+    sides could not share it any more.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("connections"))
+    total = counts.agg(F.sum("connections")).scalar()
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    rows = counts.select(F.inline(F.when(known, F.array(F.struct(*keys, "connections")))))
+    return rows.withColumn("pct", percent(F.col("connections"), total))
 
 
 def row_total(df: DataFrame) -> DataFrame:
@@ -33,8 +46,7 @@ def row_total(df: DataFrame) -> DataFrame:
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
     """Count and share of all rows per value; NULL is no value but is in the total."""
     require_columns(df, column)
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("connections"))
-    return counts.withColumn("pct", percent(F.col("connections"), _total(df)))
+    return _with_shares(df, [column])
 
 
 def protocol_distribution(df: DataFrame) -> DataFrame:
@@ -65,9 +77,7 @@ def top_source_addresses(df: DataFrame, limit: int = 10) -> DataFrame:
 def interface_directions(df: DataFrame) -> DataFrame:
     """Connections per interface and direction, with their share of all rows."""
     require_columns(df, "interface", "direction")
-    known = df.where(F.col("interface").isNotNull() & F.col("direction").isNotNull())
-    counts = known.groupBy("interface", "direction").agg(F.count("*").alias("connections"))
-    shares = counts.withColumn("pct", percent(F.col("connections"), _total(df)))
+    shares = _with_shares(df, ["interface", "direction"])
     return shares.orderBy("interface", F.desc("connections"), "direction")
 
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wallscope.session import spread
+
 DEFAULT_PATTERN = "*.log*"
 
 
@@ -30,8 +32,8 @@ def read_lines(
     """Lines of one file, or of a directory's files that match ``pattern``.
 
     Sub-directories are not entered, ``.gz`` files are unpacked while reading. A
-    gzip file cannot be split, so a few big ones make a few long tasks: give
-    ``partitions`` to spread their lines before parsing.
+    gzip file cannot be split: where a few files would leave most of the cluster
+    idle, their lines are spread before parsing, over ``partitions`` if given.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(f"log path not found: {path}")
@@ -40,7 +42,7 @@ def read_lines(
     if _is_directory(spark, path):
         reader = reader.option("pathGlobFilter", pattern)
     lines = reader.text(path)
-    return lines.repartition(partitions) if partitions else lines
+    return lines.repartition(partitions) if partitions else spread(lines)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

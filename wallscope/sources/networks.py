@@ -6,6 +6,8 @@ network; it is written once per database release and joined by prefix.
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,11 +68,18 @@ PUBLIC_EXCEPTIONS = [
 
 def special_networks(spark: SparkSession) -> DataFrame:
     """Key columns and ``is_private`` of the fixed special-purpose ranges."""
-    rows = [f"('{cidr}', true)" for cidr in SPECIAL_NETWORKS]
-    rows += [f"('{cidr}', false)" for cidr in PUBLIC_EXCEPTIONS]
-    listed = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS special(cidr, is_private)")
-    keyed = with_network_key(listed, "cidr")
-    return keyed.select(*NETWORK_KEY.fieldNames(), "is_private")
+    rows = [_key_text(cidr, "true") for cidr in SPECIAL_NETWORKS]
+    rows += [_key_text(cidr, "false") for cidr in PUBLIC_EXCEPTIONS]
+    columns = ", ".join([*NETWORK_KEY.fieldNames(), "is_private"])
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS special({columns})")
+
+
+def _key_text(cidr: str, flag: str) -> str:
+    """The key of one of the few fixed networks as an SQL row."""
+    network = ipaddress.ip_network(cidr)
+    bits = int(network.network_address) << (128 - network.max_prefixlen)
+    hi, lo = (half - (1 << 64) if half >> 63 else half for half in divmod(bits, 1 << 64))
+    return f"({network.version}, {network.prefixlen}, CAST({hi} AS BIGINT), CAST({lo} AS BIGINT), {flag})"
 
 
 def _one_per_network(keyed: DataFrame, values: list[str]) -> DataFrame:

@@ -202,20 +202,19 @@ def feed_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- geography ----------------------------------------------------------------------------
 
 
-def _distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    addresses = enrich.distinct_addresses(views.parsed(spark, sf_dir))
-    return with_address_key(addresses, "ip")
+def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.distinct_addresses(views.parsed(spark, sf_dir))
 
 
 @query
 def geo_lpm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = longest_match(_distinct_keys(spark, sf_dir), views.geo_table(spark, sf_dir))
+    found = longest_match(_distinct(spark, sf_dir), views.geo_table(spark, sf_dir))
     return found.select("ip", F.col("plen").cast("bigint").alias("plen"), "network", "country_name", "city")
 
 
 @query
 def asn_lpm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = longest_match(_distinct_keys(spark, sf_dir), views.asn_table(spark, sf_dir))
+    found = longest_match(_distinct(spark, sf_dir), views.asn_table(spark, sf_dir))
     return found.select("ip", F.col("plen").cast("bigint").alias("plen"), "network", "asn", "asn_org")
 
 
@@ -267,10 +266,6 @@ def geo_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- threats --------------------------------------------------------------------------------
 
 
-def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.distinct_addresses(views.parsed(spark, sf_dir))
-
-
 def _with_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.enrich_with_threats(
         views.parsed_table(spark, sf_dir), views.threat_table(spark, sf_dir), sources=SOURCES
