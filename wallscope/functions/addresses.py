@@ -2,13 +2,13 @@
 
 The work is split over several projections on purpose: every intermediate value
 that is used more than once gets a column of its own, which Catalyst then keeps
-separate instead of inlining it many times.
+separate instead of inlining it many times. Expressions are SQL text, which Spark
+parses in one go.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 V4_PATTERN = rf"^{_OCTET}(?:\.{_OCTET}){{3}}\z"
@@ -19,29 +19,25 @@ _V6_SHORT = rf"^(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6
 
 _SCOPE = r"^([^%/]+)%[^%/]+\z"
 
-WIDTH = {4: 32, 6: 128}
 
+def _matches(text: str, pattern: str) -> str:
+    return f"{text} RLIKE r'{pattern}'"
 
-def _octets(dotted: Column) -> list[Column]:
-    parts = F.split(dotted, "[.]")
-    return [parts[i].cast("bigint") for i in range(4)]
 
-
-def _v4_bits(dotted: Column) -> Column:
-    """A valid dotted quad in the upper half of a 64-bit word."""
-    shifted = [F.shiftleft(octet, 56 - 8 * i) for i, octet in enumerate(_octets(dotted))]
-    return shifted[0].bitwiseOR(shifted[1]).bitwiseOR(shifted[2]).bitwiseOR(shifted[3])
+def _octet(dotted: str, position: int) -> str:
+    return f"CAST(split({dotted}, '[.]')[{position}] AS BIGINT)"
 
 
-def _hex_group(high: Column, low: Column) -> Column:
-    return F.hex(high * F.lit(256) + low)
+def _v4_bits(dotted: str) -> str:
+    """A valid dotted quad in the upper half of a 64-bit word."""
+    return "(" + " | ".join(f"shiftleft({_octet(dotted, i)}, {56 - 8 * i})" for i in range(4)) + ")"
 
 
-def _half(digits: Column, start: int) -> Column:
-    return F.conv(F.substring(digits, start, 16), 16, -10).cast("bigint")
+def _half(digits: str, start: int) -> str:
+    return f"CAST(conv(substring({digits}, {start}, 16), 16, -10) AS BIGINT)"
 
 
-def _barrier(*columns: Column) -> Column:
+def _barrier(**columns: str) -> str:
     """The columns as the output of a one-row generator.
 
     Catalyst copies the expressions of a projection into every filter it pushes
@@ -49,7 +45,8 @@ def _barrier(*columns: Column) -> Column:
     and, below an aggregation, parsing per event instead of per address. Filters
     on a generator's output stay above it.
     """
-    return F.inline(F.array(F.struct(*columns)))
+    fields = ", ".join(f"'{name}', {expression}" for name, expression in columns.items())
+    return f"inline(array(named_struct({fields})))"
 
 
 def with_address_key(df: DataFrame, ip_column: str) -> DataFrame:
@@ -58,89 +55,70 @@ def with_address_key(df: DataFrame, ip_column: str) -> DataFrame:
     Accepts what Python's ``ipaddress`` does: four octets without leading zeros,
     or IPv6 in full, shortened, dotted-tail and scoped form.
     """
-    ip = F.col(ip_column)
-    kept = [F.col(f"`{name}`") for name in df.columns]
+    kept = [f"`{name}`" for name in df.columns]
+    ip = f"`{ip_column}`"
 
     # Which form is it? IPv6 text loses its scope here.
-    df = df.select(
+    df = df.selectExpr(
         *kept,
-        F.when(ip.rlike(V4_PATTERN), ip).alias("__v4"),
-        F.when(ip.contains(":"), F.regexp_replace(ip, _SCOPE, "$1")).alias("__v6"),
+        f"CASE WHEN {_matches(ip, V4_PATTERN)} THEN {ip} END AS __v4",
+        f"CASE WHEN contains({ip}, ':') THEN regexp_replace({ip}, r'{_SCOPE}', '$1') END AS __v6",
     )
 
     # A dotted tail becomes two hexadecimal groups; a bad tail invalidates.
-    tail = F.substring_index("__v6", ":", -1)
-    a, b, c, d = _octets(F.when(tail.rlike(V4_PATTERN), tail))
-    head = F.col("__v6").substr(F.lit(1), F.length("__v6") - F.length(tail))
-    df = df.select(
+    tail = "substring_index(__v6, ':', -1)"
+    quad = f"CASE WHEN {_matches(tail, V4_PATTERN)} THEN {tail} END"
+    df = df.selectExpr(*kept, "__v4", "__v6", f"CASE WHEN contains(__v6, '.') THEN {quad} END AS __quad")
+    a, b, c, d = (_octet("__quad", i) for i in range(4))
+    df = df.selectExpr(
         *kept,
         "__v4",
-        F.when(
-            F.col("__v6").contains("."),
-            F.concat(head, _hex_group(a, b), F.lit(":"), _hex_group(c, d)),
-        )
-        .otherwise(F.col("__v6"))
-        .alias("__v6"),
+        f"""CASE WHEN contains(__v6, '.')
+         THEN concat(left(__v6, length(__v6) - length(__quad)), hex({a} * 256 + {b}), ':', hex({c} * 256 + {d}))
+         ELSE __v6 END AS __v6""",
     )
 
     # "::" stands for at least one zero group; pad to eight groups.
-    v6 = F.col("__v6")
-    colons = F.length(v6) - F.length(F.replace(v6, F.lit(":"), F.lit("")))
-    groups = colons - v6.startswith("::").cast("int") - v6.endswith("::").cast("int")
-    zeros = F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.lit(8) - groups))
-    df = df.select(
+    colons = "(length(__v6) - length(replace(__v6, ':', '')))"
+    groups = f"({colons} - CAST(startswith(__v6, '::') AS INT) - CAST(endswith(__v6, '::') AS INT))"
+    df = df.selectExpr(
         *kept,
         "__v4",
-        F.split(
-            F.when(v6.rlike(_V6_FULL), v6).when(
-                v6.rlike(_V6_SHORT) & (groups <= 7),
-                F.btrim(F.replace(v6, F.lit("::"), zeros), F.lit(":")),
-            ),
-            ":",
-        ).alias("__groups"),
+        f"""split(CASE WHEN {_matches('__v6', _V6_FULL)} THEN __v6
+         WHEN {_matches('__v6', _V6_SHORT)} AND {groups} <= 7
+         THEN trim(BOTH ':' FROM replace(__v6, '::', concat(':', repeat('0:', 8 - {groups})))) END, ':') AS __groups""",
     )
-    df = df.select(
+    padded = ", ".join(f"lpad(__groups[{i}], 4, '0')" for i in range(8))
+    df = df.selectExpr(*kept, "__v4", f"concat({padded}) AS __hex")
+    return df.selectExpr(
         *kept,
-        "__v4",
-        F.concat(*[F.lpad(F.col("__groups")[i], 4, "0") for i in range(8)]).alias("__hex"),
+        _barrier(
+            family="CASE WHEN __v4 IS NOT NULL THEN 4 WHEN __hex IS NOT NULL THEN 6 END",
+            hi=f"coalesce({_v4_bits('__v4')}, {_half('__hex', 1)})",
+            lo=f"CASE WHEN __v4 IS NOT NULL THEN 0L ELSE {_half('__hex', 17)} END",
+        ),
     )
-    is_v4, digits = F.col("__v4").isNotNull(), F.col("__hex")
-    family = F.when(is_v4, F.lit(4)).when(digits.isNotNull(), F.lit(6))
-    hi = F.coalesce(_v4_bits(F.col("__v4")), _half(digits, 1))
-    lo = F.when(is_v4, F.lit(0).cast("bigint")).otherwise(_half(digits, 17))
-    return df.select(*kept, _barrier(family.alias("family"), hi.alias("hi"), lo.alias("lo")))
 
 
-def _keep_bits(count: Column) -> Column:
+def _keep_bits(count: str) -> str:
     """A 64-bit word whose ``count`` upper bits are set; clamps outside 0..64."""
-    shifted = F.call_function("shiftleft", F.lit(-1).cast("bigint"), F.lit(64) - count)
-    return F.when(count <= 0, F.lit(0).cast("bigint")).when(
-        count >= 64, F.lit(-1).cast("bigint")
-    ).otherwise(shifted)
+    return f"CASE WHEN {count} <= 0 THEN 0L WHEN {count} >= 64 THEN -1L ELSE shiftleft(-1L, 64 - ({count})) END"
 
 
-def masked(hi: Column, lo: Column, plen: Column) -> tuple[Column, Column]:
+def masked(plen: str, hi: str = "hi", lo: str = "lo") -> tuple[str, str]:
     """Both halves of an address with everything behind ``plen`` bits cleared."""
-    return (
-        hi.bitwiseAND(_keep_bits(plen)),
-        lo.bitwiseAND(_keep_bits(plen - F.lit(64))),
-    )
+    return f"({hi} & {_keep_bits(plen)})", f"({lo} & {_keep_bits(f'({plen} - 64)')})"
 
 
-def width_of(family: Column) -> Column:
-    return F.when(family == 4, F.lit(WIDTH[4])).when(family == 6, F.lit(WIDTH[6]))
+def width_of(family: str) -> str:
+    return f"(CASE {family} WHEN 4 THEN 32 WHEN 6 THEN 128 END)"
 
 
-def _mask_length(mask: Column) -> Column:
+def _mask_length(mask: str) -> str:
     """Prefix length of a dotted net or host mask given as a 32-bit number."""
-    inverse = F.lit(0xFFFFFFFF).cast("bigint") - mask
-
-    def is_low_run(number: Column) -> Column:
-        return number.bitwiseAND(number + F.lit(1)) == 0
-
-    return F.when(is_low_run(inverse), F.bit_count(mask)).when(
-        is_low_run(mask), F.lit(32) - F.bit_count(mask)
-    )
+    inverse = f"(4294967295 - {mask})"
+    return f"""CASE WHEN {inverse} & ({inverse} + 1) = 0 THEN bit_count({mask})
+     WHEN {mask} & ({mask} + 1) = 0 THEN 32 - bit_count({mask}) END"""
 
 
 def with_network_key(df: DataFrame, entry_column: str) -> DataFrame:
@@ -149,35 +127,36 @@ def with_network_key(df: DataFrame, entry_column: str) -> DataFrame:
     Host bits are masked away (non-strict reading); IPv4 also takes a dotted net
     or host mask. All four columns are NULL when the text is invalid.
     """
-    entry = F.col(entry_column)
-    names = df.columns
-    slash = F.instr(entry, "/")
-    df = df.select(
-        *[F.col(f"`{name}`") for name in names],
-        F.when(slash > 0, F.left(entry, slash - F.lit(1))).otherwise(entry).alias("__address"),
-        F.when(slash > 0, entry.substr(slash + F.lit(1), F.length(entry))).alias("__suffix"),
+    kept = [f"`{name}`" for name in df.columns]
+    entry = f"`{entry_column}`"
+    df = df.selectExpr(
+        *kept,
+        f"substring_index({entry}, '/', 1) AS __address",
+        f"CASE WHEN contains({entry}, '/') THEN substring({entry}, instr({entry}, '/') + 1) END AS __suffix",
     )
     df = with_address_key(df, "__address")
-
-    suffix, family = F.col("__suffix"), F.col("family")
-    width = width_of(family)
-    dotted = F.shiftrightunsigned(_v4_bits(F.when(suffix.rlike(V4_PATTERN), suffix)), 32)
-    digits = F.when(suffix.rlike(r"^[0-9]+\z"), suffix.try_cast("int"))
-    plen = (
-        F.when(suffix.isNull(), width)
-        .when(digits <= width, digits)
-        .when(family == 4, _mask_length(dotted))
+    df = df.selectExpr(
+        *kept,
+        "family",
+        "hi",
+        "lo",
+        "__suffix IS NULL AS __single",
+        f"CASE WHEN {_matches('__suffix', '^[0-9]+' + chr(92) + 'z')} THEN try_cast(__suffix AS INT) END AS __digits",
+        f"""CASE WHEN family = 4 AND {_matches('__suffix', V4_PATTERN)}
+         THEN shiftrightunsigned({_v4_bits('__suffix')}, 32) END AS __mask""",
     )
-    kept = [F.col(f"`{name}`") for name in names]
-    df = df.select(*kept, "family", plen.cast("int").alias("plen"), "hi", "lo")
-    hi, lo = masked(F.col("hi"), F.col("lo"), F.col("plen"))
-    valid = F.col("plen").isNotNull()
-    return df.select(
+    width = width_of("family")
+    df = df.selectExpr(
         *kept,
-        _barrier(
-            F.when(valid, F.col("family")).alias("family"),
-            F.col("plen").alias("plen"),
-            F.when(valid, hi).alias("hi"),
-            F.when(valid, lo).alias("lo"),
-        ),
+        "family",
+        "hi",
+        "lo",
+        f"""CAST(CASE WHEN __single THEN {width} WHEN __digits <= {width} THEN __digits
+         WHEN __mask IS NOT NULL THEN {_mask_length('__mask')} END AS INT) AS plen""",
+    )
+    hi, lo = masked("plen")
+    valid = "CASE WHEN plen IS NOT NULL THEN {} END"
+    return df.selectExpr(
+        *kept,
+        _barrier(family=valid.format("family"), plen="plen", hi=valid.format(hi), lo=valid.format(lo)),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wallscope.functions.text import WHITESPACE, WHITESPACE_CLASS, none_if_empty
+from wallscope.functions.text import WHITESPACE, WHITESPACE_CLASS
 
 # Character classes spelled out so that digits, word characters and white space
 # mean the Unicode sets of Python's ``\d``, ``\w`` and ``\s``.
@@ -60,41 +60,33 @@ def field(fields: Column, position: int) -> Column:
     return F.rtrim(text, F.lit(WHITESPACE)) if is_last else text
 
 
-def _found(text: Column, pattern: str) -> Column:
-    return none_if_empty(F.regexp_extract(text, pattern, 1))
+def _found(pattern: str) -> str:
+    return f"nullif(regexp_extract(protocol_info, r'{pattern}', 1), '')"
 
 
-def tcp_flags(info: Column) -> Column:
-    return _found(info, r"Flags \[([^\]]+)\]")
-
-
-def protocol(info: Column) -> Column:
-    """First hit wins, case-sensitive."""
-    return (
-        F.when(info.contains("UDP"), F.lit("UDP"))
-        .when(info.contains("ICMP"), F.lit("ICMP"))
-        .when(info.contains("Flags"), F.lit("TCP"))
-        .otherwise(F.lit("OTHER"))
-    )
-
-
-def number_after(info: Column, word: str) -> Column:
+def _number_after(word: str) -> str:
     """The first number that follows ``word``; NULL beyond 64 bits (D12)."""
-    return _found(info, rf"{word} (\d+)").try_cast("bigint")
-
-
-def local_time(raw: Column) -> Column:
-    """The wall clock as written; NULL for an impossible date or offset."""
-    clock = F.left(raw, F.lit(19))
-    # Python knows neither the year 0 nor an offset of a day and more.
-    usable = ~raw.startswith("0000") & (F.substring(raw, 21, 2) < F.lit("24"))
-    return F.when(usable, clock.try_cast("timestamp_ntz"))
-
-
-def instant(raw: Column) -> Column:
-    """The point in time, whatever the session's time zone is."""
-    as_utc = F.concat(F.left(raw, F.lit(19)), F.lit("Z")).try_cast("timestamp")
-    hours = F.substring(raw, 21, 2).try_cast("int")
-    minutes = F.substring(raw, 24, 2).try_cast("int")
-    shifted = as_utc - F.make_dt_interval(hours=hours, mins=minutes)
-    return F.when(local_time(raw).isNotNull(), shifted)
+    return f"try_cast({_found(word + f' ([{_D}]+)')} AS BIGINT)"
+
+
+# The wall clock as written, NULL for an impossible date or offset: Python knows
+# neither the year 0 nor an offset of a day and more.
+_LOCAL_TIME = """CASE WHEN NOT startswith(timestamp_raw, '0000') AND substring(timestamp_raw, 21, 2) < '24'
+ THEN try_cast(left(timestamp_raw, 19) AS TIMESTAMP_NTZ) END"""
+
+# The point in time, whatever the session's time zone is.
+_INSTANT = f"""CASE WHEN ({_LOCAL_TIME}) IS NOT NULL THEN try_cast(concat(left(timestamp_raw, 19), 'Z') AS TIMESTAMP)
+ - make_dt_interval(0, try_cast(substring(timestamp_raw, 21, 2) AS INT), try_cast(substring(timestamp_raw, 24, 2) AS INT)) END"""
+
+# Columns computed from the fields of a line, as SQL over the field names. The
+# first protocol that is found wins, case-sensitively.
+DERIVED = {
+    "timestamp": _INSTANT,
+    "timestamp_local": _LOCAL_TIME,
+    "tcp_flags": _found(r"Flags \[([^\]]+)\]"),
+    "protocol": """CASE WHEN contains(protocol_info, 'UDP') THEN 'UDP' WHEN contains(protocol_info, 'ICMP') THEN 'ICMP'
+ WHEN contains(protocol_info, 'Flags') THEN 'TCP' ELSE 'OTHER' END""",
+    "length": _number_after("length"),
+    "seq": _number_after("seq"),
+    "win": _number_after("win"),
+}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,10 +75,10 @@ SERVICE_NAMES = {
 UNKNOWN = "Unknown"
 
 
-def service_name(port: Column) -> Column:
-    """Service of a port given as text or number, ``Unknown`` if not listed.
+def service_name(port: str) -> Column:
+    """Service of a port column, text or number; ``Unknown`` if not listed.
 
     Ports are text in the parsed log, so they are cast first (deviation D1).
     """
-    names = F.create_map(*[F.lit(v) for v in chain.from_iterable(SERVICE_NAMES.items())])
-    return F.coalesce(F.try_element_at(names, port.try_cast("int")), F.lit(UNKNOWN))
+    names = ", ".join(f"{number}, '{name}'" for number, name in SERVICE_NAMES.items())
+    return F.expr(f"coalesce(try_element_at(map({names}), try_cast(`{port}` AS INT)), '{UNKNOWN}')")

@@ -32,10 +32,6 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def none_if_empty(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
-
-
 def percent(part: Column, whole: Column) -> Column:
     """Unrounded share in percent, 0 for an empty whole."""
     share = part.cast("double") / F.nullif(whole, F.lit(0)) * F.lit(100)

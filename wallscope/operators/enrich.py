@@ -140,10 +140,10 @@ def build_address_table(
     added = ["is_private"]
     if geo is not None:
         cities = geo.select(*KEY, *[F.col(c).alias(f"geo_{c}") for c in CITY.fieldNames()])
-        summary = join_networks(summary, cities, F.col("geo_plen"), "left")
+        summary = join_networks(summary, cities, "geo_plen", "left")
         if asn is not None:
             owners = asn.select(*KEY, *[F.col(c).alias(f"geo_{c}") for c in ASN.fieldNames()])
-            summary = join_networks(summary, owners, F.col("asn_plen"), "left")
+            summary = join_networks(summary, owners, "asn_plen", "left")
         else:
             empty = [F.lit(None).cast(f.dataType).alias(f"geo_{f.name}") for f in ASN.fields]
             summary = summary.select("*", *empty)
@@ -174,9 +174,8 @@ def attach(
     """
     total, most = table.agg(F.sum("n"), F.max("n")).first()
     limit = max(hot_rows, (total or 0) // max_hot)
-    kept = [F.col(f"`{name}`") for name in events.columns if name not in columns]
-    keyed = events.select(*kept, F.col(ip_column).cast("string").alias("__ip"))
-    names = [name for name in events.columns if name not in columns]
+    names = [f"`{name}`" for name in events.columns if name not in columns]
+    keyed = events.select(*names, F.col(ip_column).cast("string").alias("__ip"))
     lookup = table.select(F.col("ip").alias("__lookup"), *columns)
     # Rows without an address match nothing; their verdict is False all the same.
     values = [
@@ -289,7 +288,7 @@ def location_counts(
 
 def exact_matches(addresses: DataFrame, threats: DataFrame) -> DataFrame:
     """(ip, source) pairs where the address itself is an entry of the feed."""
-    single = threats.where(F.col("plen") == width_of(F.col("family")))
+    single = threats.where(f"plen = {width_of('family')}")
     keys = single.select("source", "family", "hi", "lo").distinct()
     return with_address_key(addresses, "ip").join(keys, ["family", "hi", "lo"]).select("ip", "source")
 

@@ -35,19 +35,9 @@ def parse_lines(raw: DataFrame, column: str = "value", keep: Sequence[str] = ())
     fields = fields.select(
         *keep, *[lines.field(F.col("fields"), i).alias(f[0]) for i, f in enumerate(lines.FIELDS)]
     )
-    raw_time, info = F.col("timestamp_raw"), F.col("protocol_info")
-    derived = {
-        "timestamp": lines.instant(raw_time),
-        "timestamp_local": lines.local_time(raw_time),
-        "tcp_flags": lines.tcp_flags(info),
-        "protocol": lines.protocol(info),
-        "length": lines.number_after(info, "length"),
-        "seq": lines.number_after(info, "seq"),
-        "win": lines.number_after(info, "win"),
-    }
-    return fields.select(
-        *keep,
-        *[derived.get(name, F.col(name)).alias(name) for name in PARSED.fieldNames()],
+    return fields.selectExpr(
+        *[f"`{name}`" for name in keep],
+        *[f"{lines.DERIVED.get(name, name)} AS {name}" for name in PARSED.fieldNames()],
     )
 
 

@@ -7,7 +7,7 @@ lengths that occur in the network tables are tried: at most 33 + 129 of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wallscope.functions.addresses import masked, width_of, with_address_key
@@ -19,61 +19,46 @@ KEY = NETWORK_KEY.fieldNames()
 SELF = -1
 
 
-def _parts(family: Column, plen: Column) -> Column:
+def _parts(family: str, plen: str) -> str:
     """In how many parts a network is joined, by the addresses it can own.
 
     Up to 65,536 addresses need no split. IPv4 networks of up to a /8 stay below a
     million rows per part; the few shorter ones (a /0 owns everything) are split
     further. AQE's skew join splits what still is too big.
     """
-    free = width_of(family) - plen
-    return (
-        F.when(free <= 16, F.lit(1))
-        .when((family == 4) & (free > 24), F.lit(256))
-        .when(free > 16, F.lit(16))
-        .otherwise(F.lit(1))
-    )
+    free = f"({width_of(family)} - {plen})"
+    return f"CASE WHEN {family} = 4 AND {free} > 24 THEN 256 WHEN {free} > 16 THEN 16 ELSE 1 END"
 
 
-def join_networks(
-    addresses: DataFrame, networks: DataFrame, plen: Column, how: str = "inner"
-) -> DataFrame:
-    """Join addresses (ip, family, hi, lo, ...) to ``networks`` at length ``plen``.
+def join_networks(addresses: DataFrame, networks: DataFrame, plen: str, how: str = "inner") -> DataFrame:
+    """Join addresses (ip, family, hi, lo, ...) to ``networks`` at the length that
+    their column ``plen`` names.
 
     Adds the networks' columns other than the key. The address columns ``hi`` and
     ``lo`` stay unmasked. In an outer join an address without a length probes for
     itself: it finds nothing, and such addresses do not share one join key.
     """
-    plen = F.coalesce(plen, F.lit(SELF))
     values = [name for name in networks.columns if name not in KEY]
-    last = _parts(F.col("family"), F.col("plen")) - F.lit(1)
-    right = networks.select("*", F.explode(F.sequence(F.lit(0), last)).alias("salt")).select(
-        *[F.col(name).alias(f"__{name}") for name in [*KEY, "salt"]], *values
-    )
-    bits = F.when(plen == SELF, F.lit(128)).otherwise(plen)
-    hi, lo = masked(F.col("hi"), F.col("lo"), bits)
-    salt = F.pmod(F.xxhash64("ip"), _parts(F.col("family"), plen)).cast("int")
-    matches = (
-        (F.col("family") == F.col("__family"))
-        & (plen == F.col("__plen"))
-        & (hi == F.col("__hi"))
-        & (lo == F.col("__lo"))
-        & (salt == F.col("__salt"))
+    salts = f"explode(sequence(0, {_parts('family', 'plen')} - 1)) AS __salt"
+    right = networks.selectExpr(*[f"{name} AS __{name}" for name in KEY], salts, *values)
+    left = addresses.selectExpr(*addresses.columns, f"coalesce({plen}, {SELF}) AS __length")
+    hi, lo = masked(f"(CASE WHEN __length = {SELF} THEN 128 ELSE __length END)")
+    matches = F.expr(
+        f"""family = __family AND __length = __plen AND {hi} = __hi AND {lo} = __lo
+        AND CAST(pmod(xxhash64(ip), {_parts('family', '__length')}) AS INT) = __salt"""
     )
-    joined = addresses.join(right, matches, how)
-    return joined.select(*addresses.columns, *values)
+    return left.join(right, matches, how).select(*addresses.columns, *values)
 
 
 def with_any_key(addresses: DataFrame) -> DataFrame:
     """Address keys that are never NULL: invalid text has family 0 and, to spread
     it over all partitions, its hash as key.
     """
-    keyed = with_address_key(addresses, "ip")
-    return keyed.select(
-        *[F.col(f"`{name}`") for name in addresses.columns],
-        F.coalesce("family", F.lit(0)).alias("family"),
-        F.coalesce("hi", F.xxhash64("ip")).alias("hi"),
-        F.coalesce("lo", F.lit(0)).alias("lo"),
+    return with_address_key(addresses, "ip").selectExpr(
+        *[f"`{name}`" for name in addresses.columns],
+        "coalesce(family, 0) AS family",
+        "coalesce(hi, xxhash64(ip)) AS hi",
+        "coalesce(lo, 0L) AS lo",
     )
 
 
@@ -87,7 +72,7 @@ def containing_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
     the networks' value columns. Addresses in no network have no row.
     """
     probes = addresses.join(F.broadcast(_lengths(networks)), "family")
-    return join_networks(probes.select(*addresses.columns, "plen"), networks, F.col("plen"))
+    return join_networks(probes.select(*addresses.columns, "plen"), networks, "plen")
 
 
 def with_containing_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
@@ -100,7 +85,7 @@ def with_containing_networks(addresses: DataFrame, networks: DataFrame) -> DataF
     lengths = F.broadcast(_lengths(networks).unionByName(own))
     probes = addresses.join(lengths, "family").select(*addresses.columns, "plen")
     marked = networks.select("*", F.lit(True).alias("__found"))
-    pairs = join_networks(probes, marked, F.col("plen"), "left")
+    pairs = join_networks(probes, marked, "plen", "left")
     return pairs.where(F.col("__found") | (F.col("plen") == SELF)).drop("__found")
 
 
@@ -115,5 +100,5 @@ def longest_match(addresses: DataFrame, networks: DataFrame) -> DataFrame:
     pairs = with_containing_networks(keyed, networks.select(*KEY))
     longest = F.max(F.when(F.col("plen") != SELF, F.col("plen")))
     best = pairs.groupBy(*keyed.columns).agg(longest.alias("plen"))
-    found = join_networks(best, networks, F.col("plen"), "left")
+    found = join_networks(best, networks, "plen", "left")
     return found.drop("family", "hi", "lo")

@@ -66,7 +66,7 @@ def hourly_traffic(df: DataFrame) -> DataFrame:
 
 def source_ports(df: DataFrame, limit: int = TOP_SOURCE_PORTS) -> DataFrame:
     ranked = value_distribution(df, "src_port").orderBy(F.desc("connections"), "src_port").limit(limit)
-    return ranked.withColumn("service", service_name(F.col("src_port")))
+    return ranked.withColumn("service", service_name("src_port"))
 
 
 def top_source_addresses(df: DataFrame, limit: int = 10) -> DataFrame:
@@ -144,7 +144,7 @@ def location_ports(
         "connections",
         "port_rank",
         "dst_port",
-        service_name(F.col("dst_port")).alias("service"),
+        service_name("dst_port").alias("service"),
         "port_connections",
         percent(F.col("port_connections"), F.col("connections")).alias("port_pct"),
         "port_unique_sources",

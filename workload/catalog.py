@@ -134,7 +134,7 @@ QUERIES["service_name"] = lambda spark, sf_dir: (
     views.parsed(spark, sf_dir)
     .select(F.explode(F.array("src_port", "dst_port")).alias("port"))
     .distinct()
-    .select("port", service_name(F.col("port")).alias("service"))
+    .select("port", service_name("port").alias("service"))
 )
 
 
