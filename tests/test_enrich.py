@@ -208,3 +208,5 @@ def test_addresses_are_looked_up_once(spark, geo, asn, threats):
     plan = table._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [id") + plan.count("Relation[id") == 1
     assert "Window" not in plan and "Cross" not in plan
+    physical = table._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in physical and "Cartesian" not in physical and "SortAggregate" not in physical

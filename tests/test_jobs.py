@@ -1,12 +1,14 @@
 """The command line from raw files to reports, and the streaming jobs."""
 
+import os
+
 import pytest
 
 from tests.test_feeds import ADDRESS_ONLY, NETSET
 from wallscope import cli
 from wallscope.plans import jobs
 from wallscope.sources.logs import write_table
-from wallscope.sources.networks import asn_networks, geo_networks
+from wallscope.session import scratch_path, scratch_root, scratch_scope
 from wallscope.streaming import pipelines
 
 HEAD = "fw.example.net pf[1] 00:00:05.6 rule 1.a.4/0(match):"
@@ -36,8 +38,10 @@ def inputs(spark, tmp_path):
         "network string, country_name string, city string",
     )
     owners = spark.createDataFrame([("8.8.8.0/24", 15169, "Google LLC")], "network string, asn long, asn_org string")
-    write_table(geo_networks(cities), str(tmp_path / "geo"))
-    write_table(asn_networks(owners), str(tmp_path / "asn"))
+    write_table(cities, str(tmp_path / "cities"))
+    write_table(owners, str(tmp_path / "owners"))
+    jobs.build_networks(spark, str(tmp_path / "cities"), str(tmp_path / "geo"), "geo")
+    jobs.build_networks(spark, str(tmp_path / "owners"), str(tmp_path / "asn"), "asn")
     return tmp_path
 
 
@@ -52,6 +56,7 @@ def test_whole_chain(spark, inputs, capsys):
     assert run("parse", inputs / "logs", "--sample", 2) == 0
     assert "TCP" in capsys.readouterr().out
 
+    assert run("networks", "geo", inputs / "cities", inputs / "geo") == 0
     assert run("publish", inputs / "landing", published) == 0
     assert run("threat", "-t", published, "--info") == 0
     assert "emerging_threats" in capsys.readouterr().out
@@ -91,6 +96,20 @@ def test_errors(inputs, capsys):
     assert "error:" in capsys.readouterr().err
 
 
+def test_intermediate_tables_are_removed(spark, inputs):
+    root = scratch_root(spark)
+    before = set(os.listdir(root))
+    jobs.publish_feeds(spark, str(inputs / "landing"), str(inputs / "feeds"), 5.0)
+    jobs.parse_logs(spark, str(inputs / "logs"), str(inputs / "parsed"))
+    jobs.enrich_logs(spark, str(inputs / "parsed"), geo_path=str(inputs / "geo"), output_path=str(inputs / "out"))
+    assert set(os.listdir(root)) == before
+    with pytest.raises(KeyError), scratch_scope(spark):
+        path = scratch_path(spark, "x")
+        spark.range(3).write.parquet(path)
+        raise KeyError
+    assert not os.path.exists(path)
+
+
 def test_wrappers(spark, inputs):
     parsed = jobs.parse_logs(spark, str(inputs / "logs"), str(inputs / "parsed"))
     geo = jobs.enrich_logs_with_geo(spark, str(inputs / "parsed"), str(inputs / "geo"), asn_path=str(inputs / "asn"))

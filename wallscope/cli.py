@@ -87,6 +87,11 @@ def _publish(spark: SparkSession, args: argparse.Namespace) -> None:
     _show("Feeds", jobs.publish_feeds(spark, args.landing, args.feeds, time.time(), sources))
 
 
+def _networks(spark: SparkSession, args: argparse.Namespace) -> None:
+    table = jobs.build_networks(spark, args.records, args.table, args.kind)
+    _show("Networks", reports.row_total(table))
+
+
 def build_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(description="Firewall log analytics on Spark")
     tasks = parser.add_subparsers(dest="job", required=True)
@@ -132,6 +137,12 @@ def build_parser() -> argparse.ArgumentParser:
     publish.add_argument("--source", action="append", help="source to publish (repeatable)")
     publish.add_argument("--add-sources", action="store_true", help="publish the extra feeds")
     publish.set_defaults(run=_publish)
+
+    networks = tasks.add_parser("networks", help="make a network table from city or owner records")
+    networks.add_argument("kind", choices=["geo", "asn"])
+    networks.add_argument("records", help="Parquet records with a CIDR column 'network'")
+    networks.add_argument("table")
+    networks.set_defaults(run=_networks)
     return parser
 
 

@@ -1,4 +1,4 @@
-"""The jobs a user runs: parse, geo, threat, enrich, report, publish."""
+"""The jobs a user runs: networks, publish, parse, enrich, report."""
 
 from __future__ import annotations
 
@@ -10,8 +10,10 @@ from wallscope.operators import enrich as enrichment
 from wallscope.operators.feedinfo import feed_info, staleness
 from wallscope.operators.parse import parse_lines
 from wallscope.plans import reports
+from wallscope.session import scratch_scope
 from wallscope.sources import feeds
 from wallscope.sources.logs import DEFAULT_PATTERN, read_lines, read_table, write_table
+from wallscope.sources.networks import asn_networks, geo_networks
 
 
 def parse_logs(
@@ -46,8 +48,20 @@ def enrich_logs(
     threats = feeds.read_published(spark, feeds_path) if feeds_path else None
     sources = feeds.published_sources(spark, feeds_path) if feeds_path else None
     events = read_table(spark, logs) if isinstance(logs, str) else logs
-    enriched = enrichment.enrich(events, ip_column, geo, asn, threats, sources)
-    return _stored(enriched, output_path)
+    if output_path is None:
+        return enrichment.enrich(events, ip_column, geo, asn, threats, sources)
+    with scratch_scope(spark):
+        return _stored(enrichment.enrich(events, ip_column, geo, asn, threats, sources), output_path)
+
+
+def build_networks(spark: SparkSession, records_path: str, output_path: str, kind: str) -> DataFrame:
+    """Make a network table, once per release, from stored city or owner records.
+
+    ``kind`` is ``geo`` or ``asn``; records hold a CIDR column ``network``.
+    """
+    records = read_table(spark, records_path)
+    enrichment.require_columns(records, "network")
+    return _stored(geo_networks(records) if kind == "geo" else asn_networks(records), output_path)
 
 
 def enrich_logs_with_geo(

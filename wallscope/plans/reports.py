@@ -90,11 +90,14 @@ def _top_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
     return counts.orderBy(F.desc("connections"), key).limit(limit)
 
 
-def _rows_of_top_keys(df: DataFrame, top: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Rows of the ``top`` keys only; ``top`` is as short as its limit."""
-    wanted = F.broadcast(top.select(F.col(key).alias("__key")))
+def _rows_of_top_keys(df: DataFrame, key: str, limit: int, columns: Sequence[str]) -> DataFrame:
+    """Rows of the most frequent keys only, each with its key's ``connections``.
+
+    What is broadcast is as short as the limit.
+    """
+    top = F.broadcast(_top_keys(df, key, limit).withColumnRenamed(key, "__key"))
     rows = df.select(key, *[c for c in columns if c != key])
-    return rows.join(wanted, F.col(key) == F.col("__key"), "left_semi")
+    return rows.join(top, F.col(key) == F.col("__key")).select(*rows.columns, "connections")
 
 
 def top_locations(
@@ -107,9 +110,8 @@ def top_locations(
     """
     require_columns(df, key, "src_ip")
     columns = ["src_ip", *([label] if label else [])]
-    rows = _rows_of_top_keys(df, _top_keys(df, key, limit), key, columns)
-    result = rows.groupBy(key).agg(
-        F.count("*").alias("connections"),
+    rows = _rows_of_top_keys(df, key, limit, columns)
+    result = rows.groupBy(key, "connections").agg(
         F.count_distinct("src_ip").alias("unique_sources"),
         *([F.min(label).alias(label)] if label else []),
     )
@@ -123,23 +125,19 @@ def location_ports(
 ) -> DataFrame:
     """The most used destination ports of each of the most frequent locations."""
     require_columns(df, key, "dst_port", "src_ip")
-    top = _top_keys(df, key, limit)
-    rows = _rows_of_top_keys(df, top, key, ["dst_port", "src_ip"])
+    rows = _rows_of_top_keys(df, key, limit, ["dst_port", "src_ip"])
     # A busy location or port is spread over its sources before it is summed up.
     per_source = (
         rows.where(F.col("dst_port").isNotNull())
-        .groupBy(key, "dst_port", "src_ip")
+        .groupBy(key, "connections", "dst_port", "src_ip")
         .agg(F.count("*").alias("n"))
     )
-    per_port = per_source.groupBy(key, "dst_port").agg(
+    per_port = per_source.groupBy(key, "connections", "dst_port").agg(
         F.sum("n").alias("port_connections"), F.count("src_ip").alias("port_unique_sources")
     )
     order = Window.partitionBy(key).orderBy(F.desc("port_connections"), "dst_port")
     ranked = per_port.withColumn("port_rank", F.row_number().over(order).cast("bigint"))
-    ranked = ranked.where(F.col("port_rank") <= ports)
-    totals = F.broadcast(top.select(F.col(key).alias("__key"), "connections"))
-    joined = ranked.join(totals, F.col(key) == F.col("__key"))
-    report = joined.select(
+    report = ranked.where(F.col("port_rank") <= ports).select(
         key,
         "connections",
         "port_rank",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wallscope.functions.addresses import with_network_key
 from wallscope.functions.text import WHITESPACE_CLASS, float_text, strip
 from wallscope.schemas import FEED_META, THREAT_NETWORK
-from wallscope.session import materialize
+from wallscope.session import materialize, scratch_scope
 from wallscope.sources.logs import path_exists
 
 # The feeds read by default and the optional ones, by name.
@@ -151,12 +151,17 @@ def publish(
     without any writes no file and keeps the old one.
     """
     spark = feed_lines.sparkSession
+    with scratch_scope(spark):
+        _write_snapshot(feed_lines, path, now, {**DEFAULT_SOURCES, **EXTRA_SOURCES, **(urls or {})})
+    return read_published_meta(spark, path)
+
+
+def _write_snapshot(feed_lines: DataFrame, path: str, now: float, urls: Mapping[str, str]) -> None:
     entries = materialize(load_entries(normalize(feed_lines)), "feed-entries")
     # Rebalancing spreads a big source over several files instead of one task.
     _overwrite_sources(entries.hint("rebalance", "source"), f"{path}/{NETWORKS_FOLDER}", "parquet")
 
-    known = {**DEFAULT_SOURCES, **EXTRA_SOURCES, **(urls or {})}
-    names = F.create_map(*[F.lit(text) for pair in known.items() for text in pair])
+    names = F.create_map(*[F.lit(text) for pair in urls.items() for text in pair])
     counts = entries.groupBy("source").agg(F.count("*").alias("count"))
     meta = counts.select(
         "source",
@@ -166,7 +171,6 @@ def publish(
     ).withColumn("hash", meta_hash(F.col("timestamp"), F.col("count"), F.col("url")))
     # One small row per source: one file each is what is wanted here.
     _overwrite_sources(meta.repartition("source"), f"{path}/{META_FOLDER}", "json")
-    return read_published_meta(spark, path)
 
 
 def _overwrite_sources(df: DataFrame, path: str, file_format: str) -> None:

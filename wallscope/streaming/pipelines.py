@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wallscope.operators.enrich import enrich
 from wallscope.operators.parse import parse_lines
 from wallscope.schemas import PARSED
-from wallscope.session import materialize
+from wallscope.session import materialize, scratch_scope
 from wallscope.sources.feeds import published_sources, read_published
 from wallscope.sources.logs import DEFAULT_PATTERN
 
@@ -66,15 +66,16 @@ def start_enrich(
         session = batch.sparkSession
         threats = read_published(session, feeds_path) if feeds_path else None
         sources = published_sources(session, feeds_path) if feeds_path else None
-        enriched = enrich(
-            materialize(batch, "stream-batch"),
-            ip_column,
-            geo=geo() if geo else None,
-            asn=asn() if asn else None,
-            threats=threats,
-            sources=sources,
-        )
-        enriched.write.mode("overwrite").parquet(f"{output}/{BATCH_COLUMN}={batch_id}")
+        with scratch_scope(session):
+            enriched = enrich(
+                materialize(batch, "stream-batch"),
+                ip_column,
+                geo=geo() if geo else None,
+                asn=asn() if asn else None,
+                threats=threats,
+                sources=sources,
+            )
+            enriched.write.mode("overwrite").parquet(f"{output}/{BATCH_COLUMN}={batch_id}")
 
     stream = spark.readStream.schema(PARSED).parquet(parsed_path)
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
