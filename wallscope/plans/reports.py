@@ -20,6 +20,7 @@ TOP_LOCATIONS = 10
 TOP_PORTS = 5
 TOP_SOURCE_PORTS = 10
 TOP_THREATS = 10
+MAX_BROADCAST_KEYS = 10_000
 
 
 def _with_shares(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -93,9 +94,12 @@ def _top_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
 def _rows_of_top_keys(df: DataFrame, key: str, limit: int, columns: Sequence[str]) -> DataFrame:
     """Rows of the most frequent keys only, each with its key's ``connections``.
 
-    What is broadcast is as short as the limit.
+    The list of keys is as short as the limit, so it is broadcast, unless a very
+    long report was asked for; then Catalyst decides.
     """
-    top = F.broadcast(_top_keys(df, key, limit).withColumnRenamed(key, "__key"))
+    top = _top_keys(df, key, limit).withColumnRenamed(key, "__key")
+    if limit <= MAX_BROADCAST_KEYS:
+        top = F.broadcast(top)
     rows = df.select(key, *[c for c in columns if c != key])
     return rows.join(top, F.col(key) == F.col("__key")).select(*rows.columns, "connections")
 
