@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,9 +41,12 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {SCRATCH_SETTING} to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="wallscope-")
-    spark.conf.set(SCRATCH_SETTING, root)
-    return root
+    return _local_root()
+
+
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="wallscope-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
