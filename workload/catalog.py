@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wallscope.functions.addresses import with_address_key, with_network_key
@@ -105,6 +105,11 @@ def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.view(spark, sf_dir, views.ADDRESSES)
 
 
+def _exact(*columns: str) -> list[Column]:
+    """Full 64-bit numbers as text: a data frame with NULLs would show them as floats."""
+    return [F.col(c).cast("string").alias(c) for c in columns]
+
+
 @query
 def ip_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = with_address_key(_addresses(spark, sf_dir), "ip")
@@ -114,14 +119,14 @@ def ip_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ip_to_num(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = with_address_key(_addresses(spark, sf_dir), "ip")
-    return keyed.select("event_id", "ip", F.col("family").cast("bigint").alias("family"), "hi", "lo")
+    return keyed.select("event_id", "ip", F.col("family").cast("bigint").alias("family"), *_exact("hi", "lo"))
 
 
 @query
 def cidr_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = with_network_key(views.view(spark, sf_dir, views.CIDRS), "cidr")
-    numbers = [F.col(c).cast("bigint").alias(c) for c in ("family", "plen", "hi", "lo")]
-    return keyed.select("event_id", "cidr", *numbers)
+    numbers = [F.col(c).cast("bigint").alias(c) for c in ("family", "plen")]
+    return keyed.select("event_id", "cidr", *numbers, *_exact("hi", "lo"))
 
 
 @query

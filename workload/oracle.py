@@ -248,8 +248,8 @@ _QUERIES = {
     "sink_roundtrip": f"SELECT event_id, {_parsed} FROM parsed",
     "row_total": "SELECT count(*) AS rows FROM parsed",
     "ip_validate": f"SELECT event_id, ip, family IS NOT NULL AS is_valid FROM ({ADDRESS_NUMBERS})",
-    "ip_to_num": f"SELECT event_id, ip, family, CAST(hi AS BIGINT) AS hi, CAST(lo AS BIGINT) AS lo FROM ({ADDRESS_NUMBERS})",
-    "cidr_parse": f"SELECT event_id, cidr, CAST(family AS BIGINT) AS family, {_PLEN}, CAST(hi AS BIGINT) AS hi, CAST(lo AS BIGINT) AS lo FROM ({CIDR_NUMBERS})",
+    "ip_to_num": f"SELECT event_id, ip, family, CAST(CAST(hi AS BIGINT) AS VARCHAR) AS hi, CAST(CAST(lo AS BIGINT) AS VARCHAR) AS lo FROM ({ADDRESS_NUMBERS})",
+    "cidr_parse": f"SELECT event_id, cidr, CAST(family AS BIGINT) AS family, {_PLEN}, CAST(CAST(hi AS BIGINT) AS VARCHAR) AS hi, CAST(CAST(lo AS BIGINT) AS VARCHAR) AS lo FROM ({CIDR_NUMBERS})",
     "ip_private": f"""
 SELECT DISTINCT a.ip, coalesce(a.family = 6 OR n.net IS NOT NULL, false) AS is_private
 FROM (SELECT ip, family, {v4_number('ip')} AS num FROM ({ADDRESS_NUMBERS})) a
