@@ -60,16 +60,17 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(body)) + body
 
 
-def read_seek_table(bundle: bytes) -> list[tuple[int, int]]:
-    """(start, compressed size) of every frame of a bundle."""
+def read_seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
+    """(start, compressed size, uncompressed size) of every frame of a bundle."""
     count, _, magic = struct.unpack("<IBI", bundle[-9:])
     if magic != SEEKABLE:
         raise ValueError("no seek table at the end of the bundle")
-    sizes = [struct.unpack_from("<II", bundle, len(bundle) - 9 - 8 * (count - i))[0] for i in range(count)]
-    starts = [sum(sizes[:0])]
-    for size in sizes:
-        starts.append(starts[-1] + size)
-    return list(zip(starts, sizes))
+    frames, start = [], 0
+    for i in range(count):
+        packed, plain = struct.unpack_from("<II", bundle, len(bundle) - 9 - 8 * (count - i))
+        frames.append((start, packed, plain))
+        start += packed
+    return frames
 
 
 class BundleWriter:
@@ -182,7 +183,7 @@ def write(
 
         def flush() -> pa.RecordBatch:
             file = f"bundle-{uuid.uuid4().hex}.warc.zst"
-            with store.open_output_stream(f"{base}/{file}") as out:
+            with store.open_output_stream(f"{base}/{file}", compression=None) as out:
                 out.write(writer.finish())
             return _batch([(p, n, file, *place) for (p, n), place in zip(names, writer.places)], INDEX)
 
@@ -207,8 +208,8 @@ def read(spark: SparkSession, root: str, index: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bundle in batch.column(0).to_pylist():
-                for start, size in read_seek_table(bundle):
-                    raw = zstandard.ZstdDecompressor().decompress(bundle[start : start + size])
+                for start, packed, plain in read_seek_table(bundle):
+                    raw = zstandard.ZstdDecompressor().decompress(bundle[start : start + packed], plain)
                     yield _batch(list(parse(raw)), RECORDS)
 
     schema = "path string, modificationTime timestamp, length long, content binary"
