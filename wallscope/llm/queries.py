@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wallscope.llm import op3_bpe, op7_license, op9_warc
+from wallscope.llm import op3_bpe, op4_quality, op6_langid, op7_license, op9_warc
 
 #: File of the byte-level tokenizer; installed on every executor.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,14 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_license.scan(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,8 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_bpe": _op3,
+    "op4_quality": _op4,
+    "op6_langid": _op6,
     "op7_license": _op7,
     "op9_warc": _op9,
 }
