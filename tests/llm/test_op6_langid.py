@@ -1,0 +1,31 @@
+import zlib
+
+from wallscope.llm import op6_langid as op
+from wallscope.llm import queries
+
+
+def test_held_out_accuracy(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = queries.QUERIES["op6_langid"](spark, sf_dir).collect()
+    assert len(got) == len(langs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in got)
+    held = [r.lang_pred == langs[r.doc_id] for r in got if r.held_out and langs[r.doc_id]]
+    assert sum(held) / len(held) > 0.97
+
+
+def test_held_out_rows_are_not_learned_from(spark):
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1]
+    docs = spark.createDataFrame([(i, "secret words", "zz") for i in held], "doc_id long, text string, lang string")
+    assert op.fit(docs) is None
+    assert {(r.lang_pred, r.score) for r in op.identify(docs).collect()} == {("und", 0.0)}
+
+
+def test_odd_rows(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(40)] + [(100 + i, "der Hund und die Katze", "de") for i in range(40)]
+    odd = [(900, None, "en"), (901, "", "de"), (902, "123 !!", None), (903, "ß", None), (None, "the dog", "en"), (904, "der Hund " * 100_000, None)]
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows + odd + odd[-1:]], "doc_id long, text string, lang string, score double")
+    got = {r.doc_id: r for r in op.identify(docs).collect()}
+    assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3
+    assert got[904].lang_pred == "de" and got[None].lang_pred == "en" and got[903].lang_pred != "und"
+    assert op.identify(docs.limit(0)).count() == 0

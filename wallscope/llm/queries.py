@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wallscope.llm import op3_bpe, op4_quality, op6_langid, op7_license, op9_warc
+from wallscope.llm import op1_fingerprint, op2_mixture, op3_bpe, op4_quality, op6_langid, op7_license, op9_warc
 
 #: File of the byte-level tokenizer; installed on every executor.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op1_fingerprint.compare(_table(spark, sf_dir, "documents"))
+    for name in ("fingerprint", "edited_fingerprint"):
+        found = found.withColumn(name, F.array_join(F.transform(name, lambda h: F.lower(F.hex(h))), " "))
+    return found
+
+
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = op2_mixture.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("row.doc_id", "row.source", "copy", "mix_key", "row.text")
+
+
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = op3_bpe.encode(_table(spark, sf_dir, "documents"), TOKENIZER)
     return op3_bpe.decode(ids, TOKENIZER).select(
@@ -44,6 +56,8 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprint": _op1,
+    "op2_mixture": _op2,
     "op3_bpe": _op3,
     "op4_quality": _op4,
     "op6_langid": _op6,
