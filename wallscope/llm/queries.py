@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wallscope.llm import op1_fingerprint, op2_mixture, op3_bpe, op4_quality, op6_langid, op7_license, op9_warc
+from wallscope.llm import op1_fingerprint, op2_mixture, op3_bpe, op4_quality, op6_langid, op7_license, op8_embeddings, op9_warc
 
 #: File of the byte-level tokenizer; installed on every executor.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,10 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_license.scan(_table(spark, sf_dir, "documents"))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = op9_warc.roundtrip(_table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
@@ -62,5 +66,6 @@ QUERIES = {
     "op4_quality": _op4,
     "op6_langid": _op6,
     "op7_license": _op7,
+    "op8_embeddings": _op8,
     "op9_warc": _op9,
 }
