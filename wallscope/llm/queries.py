@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wallscope.llm import op1_fingerprint, op2_mixture, op3_bpe, op4_quality, op6_langid, op7_license, op8_embeddings, op9_warc
+from wallscope.llm import op1_fingerprint, op2_mixture, op3_bpe, op4_quality, op5_minhash, op6_langid, op7_license, op8_embeddings, op9_warc
 
 #: File of the byte-level tokenizer; installed on every executor.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,6 +42,10 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op2_mixture": _op2,
     "op3_bpe": _op3,
     "op4_quality": _op4,
+    "op5_minhash": _op5,
     "op6_langid": _op6,
     "op7_license": _op7,
     "op8_embeddings": _op8,
