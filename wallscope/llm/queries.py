@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wallscope.llm import op1_fingerprint, op2_mixture, op3_bpe, op4_quality, op5_minhash, op6_langid, op7_license, op8_embeddings, op9_warc
+from wallscope.llm import (
+    op1_fingerprint,
+    op2_mixture,
+    op3_bpe,
+    op4_quality,
+    op5_minhash,
+    op6_langid,
+    op7_license,
+    op8_embeddings,
+    op9_warc,
+    op10_repeats,
+)
 
 #: File of the byte-level tokenizer; installed on every executor.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,6 +74,15 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
 
 
+def digest(cut: DataFrame) -> DataFrame:
+    """The columns of the repeat query."""
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(op10_repeats.cut(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_fingerprint": _op1,
     "op2_mixture": _op2,
@@ -73,4 +93,5 @@ QUERIES = {
     "op7_license": _op7,
     "op8_embeddings": _op8,
     "op9_warc": _op9,
+    "op10_repeats": _op10,
 }
