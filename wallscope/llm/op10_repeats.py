@@ -45,7 +45,7 @@ from wallscope.session import materialize
 LENGTH, GRAM, WINDOW = 400, 24, 320
 CORE = LENGTH - WINDOW + 1
 #: Most contexts of a core that one suffix array takes together, and about how many a task takes.
-GROUP, TASK = 256, 4000
+GROUP, TASK = 2000, 4000
 #: Bytes that one symbol of the suffix arrays stands for.
 SYMBOL = 80
 #: Widths of the ranges of distances, each level within the one before.
@@ -137,14 +137,16 @@ def _span(docs_rows: DataFrame) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
-    """``open_`` with the bytes around each anchor: ``context``, which begins ``hi`` bytes before it."""
-    listed = open_.groupBy("id", "mark").agg(F.collect_list(F.struct("at", "lo", "hi", "core", "full", "n")).alias("places"))
-    # One row per key: texts that share it are equal.
+    """``open_`` with the bytes around each anchor: ``context``, which begins ``hi`` bytes before it.
+
+    A text that occurs in several rows of one id gives its contexts as often.
+    """
+    listed = open_.groupBy("id", "mark").agg(F.collect_list(F.struct("at", "lo", "hi", "core", "full", "n", "m")).alias("places"))
     texts = pack(_keyed(docs)).join(listed, ["id", "mark"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["at", "lo", "hi", "core", "full", "n"]
-        kinds = [pa.int32()] * 3 + [pa.int64(), pa.binary(), pa.int64()]
+        names = ["at", "lo", "hi", "core", "full", "n", "m"]
+        kinds = [pa.int32()] * 3 + [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         for batch in batches:
             for id_, mark, packed, places in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "packed", "places"))):
                 text = zstandard.ZstdDecompressor().decompress(packed)
@@ -156,8 +158,7 @@ def _contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
                         ["id", "mark", *names, "context"],
                     )
 
-    found = texts.mapInArrow(run, f"{PLACE}, core bigint, full binary, n bigint, context binary")
-    return found.dropDuplicates(["core", "full"])
+    return texts.mapInArrow(run, f"{PLACE}, core bigint, full binary, n bigint, m bigint, context binary")
 
 
 def classes(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,6 +199,7 @@ def repeated(contexts: list[bytes], lo: np.ndarray, hi: np.ndarray, weight: np.n
 
 
 def _sorted_tile(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.drop_duplicates(["core", "full"])
     lo, hi, n = (rows[c].to_numpy() for c in ("lo", "hi", "n"))
     begin = rows["begin"].to_numpy()
     found = repeated([c[b:] for c, b in zip(rows["context"], (begin - hi).tolist())], lo, hi, n)
@@ -217,7 +219,8 @@ def _sizes(groups: DataFrame) -> DataFrame:
 def _sort(small: DataFrame) -> DataFrame:
     """Spans of contexts whose cores have few of them."""
     tasks = max(1, math.ceil(small.count() / TASK))
-    dealt = small.withColumn("task", F.pmod(F.xxhash64("core"), F.lit(tasks)))
+    columns = ["id", "mark", "at", "lo", "hi", "core", "full", "n", "begin", "context"]
+    dealt = small.select(*columns).withColumn("task", F.pmod(F.xxhash64("core"), F.lit(tasks)))
     return dealt.groupBy("task").applyInPandas(_sorted_tile, SPANS)
 
 
@@ -238,27 +241,26 @@ def repeats(docs: DataFrame) -> DataFrame:
     every = materialize(_anchored(docs), "anchors")
     shared = every.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
     candidates = materialize(every.join(shared, "core"), "candidates")
-    place = F.min_by(F.struct("id", "mark", "at", "lo", "hi"), F.struct("id", "mark", "at")).alias("place")
+    place = F.min(F.struct("id", "mark", "at", "lo", "hi")).alias("place")
     groups = materialize(candidates.groupBy("core", "full").agg(F.count("*").alias("n"), place), "groups")
     whole = groups.where("n > 1").select("core", "full")
     spans = [materialize(_span(candidates.join(whole, ["core", "full"])), "spans")]
-    sizes = _sizes(groups)
-    open_ = groups.join(sizes.select("core"), "core").select("place.*", "core", "full", "n")
+    # How many contexts its core has goes with each row, so contexts are dealt to tasks in one shuffle.
+    open_ = groups.join(_sizes(groups), "core").select("place.*", "core", "full", "n", "m")
     rows = _contexts(docs, open_).withColumn("from", F.lit(0)).withColumn("begin", F.col("hi"))
-    rows = materialize(rows, "contexts")
     for level in range(1, len(LEVELS) + 1):
-        sizes = materialize(_sizes(rows), "sizes")
-        spans.append(materialize(_sort(rows.join(sizes.where(F.col("m") <= GROUP).select("core"), "core")), "spans"))
-        big = sizes.where(F.col("m") > GROUP).select("core")
+        rows = materialize(rows, "contexts")
+        spans.append(materialize(_sort(rows.where(F.col("m") <= GROUP)), "spans"))
+        big = rows.where(F.col("m") > GROUP)
         if level == len(LEVELS) or big.isEmpty():
             break
-        cut = materialize(_split(rows.join(big, "core"), level), "ranges")
+        cut = materialize(_split(big.dropDuplicates(["core", "full"]), level), "ranges")
         found = cut.groupBy("core", "full").agg(F.sum("n").alias("total"))
         many = found.where("total > 1").select("core", "full")
         spans.append(materialize(_span(cut.where("n = 1").join(many, ["core", "full"])), "spans"))
         # One context of each kind goes on; those seen more than once only as partners.
-        rows = cut.join(found, ["core", "full"]).drop("n").withColumnRenamed("total", "n").dropDuplicates(["core", "full"])
-        rows = materialize(rows, "contexts")
+        kinds = found.join(_sizes(found), "core")
+        rows = cut.drop("n", "m").join(kinds, ["core", "full"]).withColumnRenamed("total", "n").dropDuplicates(["core", "full"])
     return reduce(DataFrame.union, spans)
 
 
