@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wallscope.llm.arrow import flat_bytes, slices
+from wallscope.llm.arrow import flat_bytes, pack, slices
 from wallscope.llm.grouping import suffix_array
 from wallscope.llm.words import BYTE, mix
 from wallscope.session import materialize
@@ -117,20 +117,6 @@ def _anchored(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, f"{PLACE}, core bigint, full binary")
 
 
-def pack(rows: DataFrame) -> DataFrame:
-    """The column ``text`` as compressed bytes in ``packed``, for a smaller shuffle; other columns stay."""
-    names = [c for c in rows.columns if c != "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            packed = pa.array([packer.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), packed], [*names, "packed"])
-
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, f"{kinds}, packed binary")
-
-
 def _span(docs_rows: DataFrame) -> DataFrame:
     """What the contexts of rows with a place cover."""
     return docs_rows.select("id", "mark", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + LENGTH).alias("stop"))

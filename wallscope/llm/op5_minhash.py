@@ -30,10 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wallscope.llm.arrow import flat_bytes, list_array, ranges, slices
+from wallscope.llm.arrow import SLICE_BYTES, flat_bytes, list_array, pack, ranges, slices
 from wallscope.llm.components import components
 from wallscope.llm.words import shingle_hashes, word_hashes
 from wallscope.session import materialize
@@ -56,22 +57,34 @@ def shingle_sets(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _sets(docs: DataFrame, retained: int | None) -> DataFrame:
-    """doc_id, n, digest and shingles: the ``retained`` smallest of the set, or all."""
+    """doc_id, n, digest and shingles: the ``retained`` smallest of the set, or all.
+
+    ``docs`` has doc_id and either ``text`` or ``packed``.
+    """
+    column = "packed" if "packed" in docs.columns else "text"
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+        for part in slices(batch, column, (1 << 20) if column == "packed" else SLICE_BYTES):
+            texts = part.column(column)
+            if column == "packed":
+                unpack = zstandard.ZstdDecompressor().decompress
+                texts = pa.array([unpack(t) for t in texts.to_pylist()], pa.large_binary())
+            yield part.column("doc_id"), texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                hashes, sizes = shingle_sets(*flat_bytes(part.column("text")))
+            for ids, texts in parts(batch):
+                hashes, sizes = shingle_sets(*flat_bytes(texts))
                 starts = np.cumsum(sizes) - sizes
                 digests = [hashlib.blake2b(hashes[s : s + n], digest_size=16).digest() for s, n in zip(starts, sizes)]
                 kept = sizes if retained is None else np.minimum(sizes, retained)
                 lists = list_array(pa.array(hashes[ranges(starts, kept)]), kept)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), lists],
+                    [ids, pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), lists],
                     ["doc_id", "n", "digest", "shingles"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), column)
     return rows.mapInArrow(run, "doc_id bigint, n bigint, digest binary, shingles array<bigint>")
 
 
@@ -185,13 +198,13 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, spanning: bo
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept."""
-    rows = materialize(_sets(docs, RETAINED), "sketches")
+    rows = materialize(_sets(docs.select("doc_id", "text"), RETAINED), "sketches")
     sound = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = sound.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     first = sound.select("digest", F.col("doc_id").alias("rep"), "shingles")
     members = materialize(_hubs(classes.join(first, ["digest", "rep"])), "hubs")
     wanted = members.select(F.explode(F.array("x", "hub")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    texts = pack(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).join(wanted, "doc_id", "left_semi")
     sets = materialize(_sets(texts, None).drop("digest"), "sets")
     edges = materialize(_verified(members.select(F.col("x").alias("a"), F.col("hub").alias("b")), sets), "edges")
     labels = components(edges)
