@@ -214,7 +214,8 @@ def read(spark: SparkSession, root: str, index: DataFrame) -> DataFrame:
 
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.read.schema(schema).format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(root)
-    named = index.select("bundle").distinct()
+    # A stored list of names, a row per bundle, shows Catalyst how small it is: contents needn't be shuffled.
+    named = materialize(index.select("bundle").distinct(), "bundles")
     files = files.select("content", F.element_at(F.split("path", "/"), -1).alias("bundle"))
     return files.join(named, "bundle", "left_semi").select("content").mapInArrow(run, RECORDS)
 
