@@ -16,12 +16,12 @@ HEAD = "fw.example.net pf[1] 00:00:05.6 rule 1.a.4/0(match):"
 
 def log_line(i, src):
     return (
-        f"2025-03-17T1{i % 10}:54:08+02:00 {HEAD} block in on igb{i % 2}: {src}.{1024 + i} > 70.35.182.103.22: "
+        f"2025-03-17T1{i % 10}:54:08+02:00 {HEAD} block in on igb{i % 2}: {src}.{1024 + i} > 81.17.24.103.22: "
         f"Flags [S], seq {i}, win 1024, length 0"
     )
 
 
-SOURCES = ["8.8.8.8", "192.0.2.2", "198.51.100.7", "9.9.9.9", "10.0.0.1"]
+SOURCES = ["8.8.8.8", "185.220.101.9", "45.95.146.77", "9.9.9.9", "10.0.0.1"]
 
 
 @pytest.fixture()
@@ -72,8 +72,8 @@ def test_whole_chain(spark, inputs, capsys):
     by_ip = {r.src_ip: (r.geo_city, r.geo_asn, r.threat_is_malicious) for r in rows}
     assert by_ip == {
         "8.8.8.8": ("New York", 15169, False),
-        "192.0.2.2": (None, None, True),
-        "198.51.100.7": (None, None, True),
+        "185.220.101.9": (None, None, True),
+        "45.95.146.77": (None, None, True),
         "9.9.9.9": (None, None, False),
         "10.0.0.1": (None, None, False),
     }

@@ -2,9 +2,11 @@
 
 import random
 from collections import Counter, defaultdict
+from datetime import datetime
 
 import pytest
 
+from wallscope import cli
 from wallscope.functions.services import SERVICE_NAMES
 from wallscope.plans import jobs, reports
 
@@ -212,3 +214,14 @@ def test_rows_are_aggregated_once_for_their_shares(spark, df, tmp_path):
     report.collect()
     plan = report._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan
+
+
+def test_samples_are_ordered_to_the_last_column(spark):
+    rows = [(None, "c", 1), (datetime(2025, 1, 1), "b", 2), (datetime(2025, 1, 1), "a", 9), (datetime(2024, 1, 1), "z", 0)]
+    df = spark.createDataFrame(rows, "timestamp timestamp, src_ip string, length int")
+    assert [row.src_ip for row in reports.sample_parsed(df, 4).collect()] == ["z", "a", "b", "c"]
+
+
+def test_every_printed_row_is_printed(spark, capsys):
+    cli._show("Rows", spark.range(2500))
+    assert len(capsys.readouterr().out.splitlines()) == 2503

@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wallscope.operators.enrich import MALICIOUS
 from wallscope.plans import jobs, reports
-from wallscope.session import build_session
+from wallscope.session import build_session, materialize, scratch_scope
 from wallscope.sources.feeds import DEFAULT_SOURCES, EXTRA_SOURCES
 
 
-def _show(title: str, df: DataFrame, limit: int = 1000) -> None:
+def _show(title: str, df: DataFrame) -> None:
+    """Print every row; rows come to the driver one partition after another."""
     print(f"\n{title}")
-    df.show(limit, truncate=False)
+    print(" | ".join(df.columns))
+    for row in df.toLocalIterator():
+        print(" | ".join("NULL" if value is None else str(value) for value in row))
 
 
 def _parse(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -24,9 +27,12 @@ def _parse(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.output:
         print(f"parsed logs saved to {args.output}")
         return
-    _show("Total entries", reports.row_total(parsed))
-    _show("Protocol distribution", reports.protocol_distribution(parsed))
-    _show("Sample entries", reports.sample_parsed(parsed, args.sample), args.sample)
+    with scratch_scope(spark):
+        # Stored once: the lines are parsed a single time for all summaries.
+        parsed = materialize(parsed, "parsed")
+        _show("Total entries", reports.row_total(parsed))
+        _show("Protocol distribution", reports.protocol_distribution(parsed))
+        _show("Sample entries", reports.sample_parsed(parsed, args.sample))
 
 
 def _enrich(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -35,31 +41,34 @@ def _enrich(spark: SparkSession, args: argparse.Namespace) -> None:
         return
     if not args.input:
         raise ValueError("an input table is required")
-    enriched = jobs.enrich_logs(
-        spark,
-        args.input,
-        args.column,
-        geo_path=getattr(args, "geo", None),
-        asn_path=getattr(args, "asn", None),
-        feeds_path=getattr(args, "threats", None),
-        output_path=args.output,
-    )
-    if args.output:
-        print(f"enriched logs saved to {args.output}")
-    if MALICIOUS in enriched.columns:
-        _show("Malicious connections", reports.threat_summary(enriched))
-        if reports.threat_source_columns(enriched):
-            _show("By source", reports.threat_by_source(enriched))
-    if "geo_country_name" in enriched.columns:
-        _show("Enrichment summary", reports.enrichment_summary(enriched))
-        _show("Top countries", reports.leading_countries(enriched))
-    if args.sample > 0:
-        if args.job == "threat":
-            sample = reports.sample_malicious(enriched, args.column, args.sample)
-        else:
-            shown = 3 if args.job == "enrich" else None
-            sample = reports.sample_enriched(enriched, args.column, args.sample, per_kind=shown)
-        _show("Sample entries", sample, args.sample)
+    with scratch_scope(spark):
+        enriched = jobs.enrich_logs(
+            spark,
+            args.input,
+            args.column,
+            geo_path=getattr(args, "geo", None),
+            asn_path=getattr(args, "asn", None),
+            feeds_path=getattr(args, "threats", None),
+            output_path=args.output,
+        )
+        if not args.output:
+            enriched = materialize(enriched, "enriched")
+        if args.output:
+            print(f"enriched logs saved to {args.output}")
+        if MALICIOUS in enriched.columns:
+            _show("Malicious connections", reports.threat_summary(enriched))
+            if reports.threat_source_columns(enriched):
+                _show("By source", reports.threat_by_source(enriched))
+        if "geo_country_name" in enriched.columns:
+            _show("Enrichment summary", reports.enrichment_summary(enriched))
+            _show("Top countries", reports.leading_countries(enriched))
+        if args.sample > 0:
+            if args.job == "threat":
+                sample = reports.sample_malicious(enriched, args.column, args.sample)
+            else:
+                shown = 3 if args.job == "enrich" else None
+                sample = reports.sample_enriched(enriched, args.column, args.sample, per_kind=shown)
+            _show("Sample entries", sample)
 
 
 def _report(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -76,7 +85,7 @@ def _report(spark: SparkSession, args: argparse.Namespace) -> None:
     )
     for name, report in chosen.items():
         if args.output:
-            report.coalesce(1).write.mode("overwrite").parquet(f"{args.output}/{name}")
+            report.write.mode("overwrite").parquet(f"{args.output}/{name}")
         else:
             _show(name.replace("_", " ").capitalize(), report)
 

@@ -44,10 +44,15 @@ def float_text(number: Column) -> Column:
     Spark prints ``1.6094592E9``; fixed-point text with the trailing zeros cut
     (one digit stays after the point) gives ``1609459200.0``.
     """
-    fixed = number.cast("decimal(20,7)").cast("string")
+    fixed = number.try_cast("decimal(38,20)").cast("string")
     return F.regexp_replace(F.rtrim(fixed, F.lit("0")), r"\.$", ".0")
 
 
+def usable_time(seconds: Column) -> Column:
+    """Are these epoch seconds a date of the years 1 to 9999? NULL, NaN and infinite values are not."""
+    return F.coalesce((seconds >= F.lit(-62135596800.0)) & (seconds < F.lit(253402300800.0)), F.lit(False))
+
+
 def age_text(seconds: Column) -> Column:
     """Whole seconds as ``D day(s), H:MM:SS``; days are left out when zero."""
     days = F.floor(seconds / F.lit(86400))

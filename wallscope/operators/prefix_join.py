@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wallscope.functions.addresses import masked, width_of, with_address_key
+from wallscope.functions.addresses import masked, with_address_key
 from wallscope.schemas import NETWORK_KEY
 
 KEY = NETWORK_KEY.fieldNames()
@@ -19,17 +19,6 @@ KEY = NETWORK_KEY.fieldNames()
 SELF = -1
 
 
-def _parts(family: str, plen: str) -> str:
-    """In how many parts a network is joined, by the addresses it can own.
-
-    Up to 65,536 addresses need no split. IPv4 networks of up to a /8 stay below a
-    million rows per part; the few shorter ones (a /0 owns everything) are split
-    further. AQE's skew join splits what still is too big.
-    """
-    free = f"({width_of(family)} - {plen})"
-    return f"CASE WHEN {family} = 4 AND {free} > 24 THEN 256 WHEN {free} > 16 THEN 16 ELSE 1 END"
-
-
 def join_networks(addresses: DataFrame, networks: DataFrame, plen: str, how: str = "inner") -> DataFrame:
     """Join addresses (ip, family, hi, lo, ...) to ``networks`` at the length that
     their column ``plen`` names.
@@ -39,14 +28,10 @@ def join_networks(addresses: DataFrame, networks: DataFrame, plen: str, how: str
     itself: it finds nothing, and such addresses do not share one join key.
     """
     values = [name for name in networks.columns if name not in KEY]
-    salts = f"explode(sequence(0, {_parts('family', 'plen')} - 1)) AS __salt"
-    right = networks.selectExpr(*[f"{name} AS __{name}" for name in KEY], salts, *values)
+    right = networks.selectExpr(*[f"{name} AS __{name}" for name in KEY], *values)
     left = addresses.selectExpr(*addresses.columns, f"coalesce({plen}, {SELF}) AS __length")
     hi, lo = masked(f"(CASE WHEN __length = {SELF} THEN 128 ELSE __length END)")
-    matches = F.expr(
-        f"""family = __family AND __length = __plen AND {hi} = __hi AND {lo} = __lo
-        AND CAST(pmod(xxhash64(ip), {_parts('family', '__length')}) AS INT) = __salt"""
-    )
+    matches = F.expr(f"family = __family AND __length = __plen AND {hi} = __hi AND {lo} = __lo")
     return left.join(right, matches, how).select(*addresses.columns, *values)
 
 

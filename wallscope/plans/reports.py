@@ -20,7 +20,6 @@ TOP_LOCATIONS = 10
 TOP_PORTS = 5
 TOP_SOURCE_PORTS = 10
 TOP_THREATS = 10
-MAX_BROADCAST_KEYS = 10_000
 
 
 def _with_shares(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -94,12 +93,9 @@ def _top_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
 def _rows_of_top_keys(df: DataFrame, key: str, limit: int, columns: Sequence[str]) -> DataFrame:
     """Rows of the most frequent keys only, each with its key's ``connections``.
 
-    The list of keys is as short as the limit, so it is broadcast, unless a very
-    long report was asked for; then Catalyst decides.
+    Catalyst sees the limit, so it knows whether the list is small enough to be broadcast.
     """
     top = _top_keys(df, key, limit).withColumnRenamed(key, "__key")
-    if limit <= MAX_BROADCAST_KEYS:
-        top = F.broadcast(top)
     rows = df.select(key, *[c for c in columns if c != key])
     return rows.join(top, F.col(key) == F.col("__key")).select(*rows.columns, "connections")
 
@@ -289,9 +285,15 @@ def leading_countries(df: DataFrame, limit: int = 3) -> DataFrame:
     return counts.orderBy(F.desc("connections"), "geo_country_name").limit(limit)
 
 
+def _first(df: DataFrame, limit: int, order: Sequence[str]) -> DataFrame:
+    """The first rows by ``order``, NULL last; ties are broken by all other columns that can be sorted."""
+    ties = [f.name for f in df.schema if f.name not in order and f.dataType.typeName() not in ("map", "variant")]
+    return df.orderBy(*[F.asc_nulls_last(name) for name in [*order, *ties]]).limit(limit)
+
+
 def sample_parsed(df: DataFrame, limit: int = 5, order: Sequence[str] = ("timestamp",)) -> DataFrame:
     """The first rows by time."""
-    return df.orderBy(*order).limit(limit)
+    return _first(df, limit, order)
 
 
 def sample_enriched(
@@ -309,7 +311,7 @@ def sample_enriched(
     shown = [ip_column]
     for prefix in ("geo_", "threat_"):
         shown += [name for name in df.columns if name.startswith(prefix)][:per_kind]
-    return df.orderBy(*order).limit(limit).select(*keep, *shown)
+    return _first(df, limit, order).select(*keep, *shown)
 
 
 def sample_malicious(
@@ -322,4 +324,4 @@ def sample_malicious(
     """The first malicious rows by time: the address and all threat columns."""
     require_columns(df, MALICIOUS)
     flags = [name for name in df.columns if name.startswith("threat_")]
-    return df.where(F.col(MALICIOUS)).orderBy(*order).limit(limit).select(*keep, ip_column, *flags)
+    return _first(df.where(F.col(MALICIOUS)), limit, order).select(*keep, ip_column, *flags)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wallscope.functions.addresses import with_network_key
-from wallscope.functions.text import WHITESPACE_CLASS, float_text, strip
+from wallscope.functions.text import WHITESPACE_CLASS, float_text, strip, usable_time
 from wallscope.schemas import FEED_META, THREAT_NETWORK
 from wallscope.session import materialize, scratch_scope
 from wallscope.sources.logs import path_exists
@@ -126,13 +126,15 @@ def parse_meta(contents: DataFrame) -> DataFrame:
     part = F.col("parts")
     rows = rows.select(
         "source",
-        F.when(is_json, from_json("timestamp", "double", 0.0))
+        # A stamp that JSON has as text is no number.
+        F.when(is_json & (F.schema_of_variant(F.try_variant_get("json", "$.timestamp", "variant")) == "STRING"), None)
+        .when(is_json, from_json("timestamp", "double", 0.0))
         .otherwise(part[0].try_cast("double"))
         .alias("timestamp"),
         F.when(is_json, from_json("count", "bigint", 0)).otherwise(part[1].try_cast("bigint")).alias("count"),
         F.when(is_json, from_json("url", "string", "")).otherwise(part[2]).alias("url"),
     )
-    usable = F.col("timestamp").isNotNull() & F.col("count").isNotNull()
+    usable = usable_time(F.col("timestamp")) & F.col("count").isNotNull()
     rows = rows.select("source", *[F.when(usable, F.col(c)).alias(c) for c in ("timestamp", "count", "url")])
     digest = F.when(usable, meta_hash(F.col("timestamp"), F.col("count"), F.col("url")))
     return rows.withColumn("hash", digest).select(*FEED_META.fieldNames())

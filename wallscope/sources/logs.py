@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wallscope.session import spread
-
 DEFAULT_PATTERN = "*.log*"
 
 
@@ -23,6 +22,14 @@ def _is_directory(spark: SparkSession, path: str) -> bool:
     return status.isDirectory()
 
 
+def _matching_files(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """Files of a directory that match ``pattern``, but for hidden ones."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path, pattern)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    names = [status.getPath().toString() for status in found or [] if status.isFile()]
+    return [name for name in names if name.rpartition("/")[2][0] not in "_."]
+
+
 def read_lines(
     spark: SparkSession,
     path: str,
@@ -32,17 +39,22 @@ def read_lines(
     """Lines of one file, or of a directory's files that match ``pattern``.
 
     Sub-directories are not entered, ``.gz`` files are unpacked while reading. A
-    gzip file cannot be split: where a few files would leave most of the cluster
-    idle, their lines are spread before parsing, over ``partitions`` if given.
+    gzip file cannot be split, so its lines are dealt anew before parsing, over
+    ``partitions`` if given; lines of other files are never shuffled.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(f"log path not found: {path}")
-    reader = spark.read
     # A directly named file is read whatever it is called.
-    if _is_directory(spark, path):
-        reader = reader.option("pathGlobFilter", pattern)
-    lines = reader.text(path)
-    return lines.repartition(partitions) if partitions else spread(lines)
+    names = _matching_files(spark, path, pattern) if _is_directory(spark, path) else [path]
+    packed = [name for name in names if name.endswith(".gz")]
+    plain = [name for name in names if not name.endswith(".gz")]
+    if not names:
+        return spark.createDataFrame([], "value string")
+    parts = [spark.read.text(plain)] if plain else []
+    if packed:
+        lines = spark.read.text(packed)
+        parts.append(lines.repartition(partitions) if partitions else lines.hint("rebalance"))
+    return reduce(DataFrame.union, parts)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -201,7 +201,7 @@ def feed_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoiled = F.when(F.col("source") == "firehol_level1", F.lit("# empty")).otherwise(F.col("line"))
     meta = feeds.publish(raw.withColumn("line", spoiled), path, views.NOW + 60)
     entries = feeds.read_published(spark, path).select("source", "entry")
-    return entries.join(F.broadcast(meta.select("source", "timestamp", "count", "hash")), "source")
+    return entries.join(meta.select("source", "timestamp", "count", "hash"), "source")
 
 
 # --- geography ----------------------------------------------------------------------------

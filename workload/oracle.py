@@ -320,13 +320,13 @@ SELECT total, geo_resolved, asn_resolved, malicious_connections, {pct('geo_resol
 FROM (SELECT count(*) AS total, count(geo_country_name) AS geo_resolved, count(geo_asn) AS asn_resolved,
  count(*) FILTER ({MALICIOUS}) AS malicious_connections FROM enriched)""",
     "enrich_top3": _distribution("geo_country_name", "enriched") + " ORDER BY connections DESC, geo_country_name LIMIT 3",
-    "sample_parsed": f"SELECT event_id, {_parsed} FROM parsed ORDER BY epoch_seconds NULLS FIRST, event_id LIMIT 5",
+    "sample_parsed": f"SELECT event_id, {_parsed} FROM parsed ORDER BY epoch_seconds NULLS LAST, event_id LIMIT 5",
     "sample_enriched": f"""
 SELECT event_id, src_ip, geo_country_code, geo_country_name, geo_city, {MALICIOUS}, {', '.join(_flags)}
-FROM enriched ORDER BY epoch_seconds NULLS FIRST, event_id LIMIT 20""",
+FROM enriched ORDER BY epoch_seconds NULLS LAST, event_id LIMIT 20""",
     "sample_malicious": f"""
 SELECT event_id, src_ip, {MALICIOUS}, {', '.join(_flags)} FROM enriched WHERE {MALICIOUS}
-ORDER BY epoch_seconds NULLS FIRST, event_id LIMIT 20""",
+ORDER BY epoch_seconds NULLS LAST, event_id LIMIT 20""",
     "protocol_dist": _distribution("protocol"),
     "hourly": _distribution("local_hour").replace("SELECT local_hour,", "SELECT local_hour AS hour,", 1),
     "top_src_ports": f"SELECT *, {_service('d.src_port')} AS service FROM ({_distribution('src_port')} ORDER BY connections DESC, src_port LIMIT 10) d",

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wallscope.operators.parse import parse_lines
-from wallscope.session import materialize, scratch_path, spread
+from wallscope.session import materialize, scratch_path
 from wallscope.sources import feeds
 from wallscope.sources.networks import asn_networks, geo_networks
 
@@ -31,7 +31,7 @@ SELECT event_id, CASE
   CASE WHEN event_id % 67 = 0 THEN '2025-13-17T14:58:10' ELSE {time} END,
   CASE WHEN event_id % 71 = 0 THEN '-05:00' WHEN event_id % 2 = 0 THEN '+00:00' ELSE '+02:00' END,
   ' fw', user_id % 3, '.example.net pf[', 1000 + user_id % 7, '] 00:00:0', event_id % 10,
-  '.606036 rule 1.fRXG.', user_id % 50, '/0(match): ',
+  '.606036 rule 7.qLmn.', user_id % 50, '/0(match): ',
   CASE WHEN event_id % 5 = 0 THEN 'pass' ELSE 'block' END, ' ',
   CASE WHEN event_id % 3 = 0 THEN 'out' ELSE 'in' END, ' on ',
   CASE WHEN event_id % 73 = 0 THEN 'vlan0.100' ELSE concat('igb', user_id % 2) END, ': ',
@@ -41,13 +41,13 @@ SELECT event_id, CASE
        WHEN event_id % 41 = 0 THEN concat('224.0.0.', user_id % 250)
        WHEN event_id % 43 = 0 THEN '999.1.1.1'
        ELSE concat(20 + user_id % 30, '.', (user_id * 7) % 256, '.', event_id % 3, '.', 1 + user_id % 250) END,
-  CASE WHEN event_id % 47 = 0 THEN concat(' > 70.35.182.', event_id % 250, ': ICMP echo request, id 1, seq 2, length 64')
-  ELSE concat('.', 1024 + event_id % 4000, ' > 70.35.182.', event_id % 250, '.',
+  CASE WHEN event_id % 47 = 0 THEN concat(' > 81.17.24.', event_id % 250, ': ICMP echo request, id 1, seq 2, length 64')
+  ELSE concat('.', 1024 + event_id % 4000, ' > 81.17.24.', event_id % 250, '.',
    CASE event_id % 7 WHEN 0 THEN 22 WHEN 1 THEN 23 WHEN 2 THEN 443 WHEN 3 THEN 3389 WHEN 4 THEN 8080 WHEN 5 THEN 443 ELSE 5984 END, ': ',
    CASE event_type
-    WHEN 'click' THEN concat('Flags [S], seq ', 2792467998 + event_id, ', win 1024, options [mss 1460], length 0')
+    WHEN 'click' THEN concat('Flags [S], seq ', 305419896 + event_id, ', win 1024, options [mss 1460], length 0')
     WHEN 'view' THEN concat('UDP, length ', CASE WHEN event_id % 83 = 0 THEN '99999999999999999999' ELSE concat('', event_id % 1400) END)
-    WHEN 'error' THEN 'ICMP 70.35.182.1 udp port 53 unreachable, length 36'
+    WHEN 'error' THEN 'ICMP 81.17.24.1 udp port 53 unreachable, length 36'
     WHEN 'signup' THEN concat('Flags [P.], seq ', event_id, ':', event_id + 9, ', ack 1, win 512, length 9')
     ELSE 'igmp query v2' END) END,
   CASE WHEN event_id % 59 = 0 THEN '  ' ELSE '' END)
@@ -66,7 +66,7 @@ SELECT concat(20 + s_nationkey, '.', 16 * (s_suppkey % 16), '.0.0'), 12, concat(
  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
  GROUP BY s_nationkey, s_suppkey % 16, n_name, r_name
 UNION ALL
-SELECT concat('70.35.182.', 32 * r_regionkey), 27, concat('R', r_regionkey), concat('LAND_', r_name),
+SELECT concat('81.17.24.', 32 * r_regionkey), 27, concat('R', r_regionkey), concat('LAND_', r_name),
  concat('CAPITAL_', r_regionkey), CAST(r_regionkey AS double), r_name FROM region
 """
 
@@ -148,9 +148,10 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     for name in TABLES:
         if re.search(rf"\b{name}\b", sql):
-            # A small test table is one file; a parse of it should use all cores.
+            # A test table is one file of one row group; the lines made from it should be many tasks' work.
             table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-            (spread(table) if name == "events" else table).createOrReplaceTempView(name)
+            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            (table.repartition(parts) if name == "events" else table).createOrReplaceTempView(name)
     return spark.sql(sql.format(time=SPARK_TIME))
 
 
