@@ -28,7 +28,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     """Cut a batch into runs of whole rows of about ``limit`` bytes of ``column``, one row at least."""
     if not batch.num_rows:
         return
-    ends = np.cumsum([len(x) for x in binary(batch.column(column)).to_pylist()])
+    ends = np.cumsum(np.diff(offsets_of(binary(batch.column(column)))))
     start = 0
     while start < len(ends):
         before = ends[start - 1] if start else 0
@@ -37,10 +37,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
+def offsets_of(values: pa.LargeBinaryArray) -> np.ndarray:
+    """The n + 1 offsets of the rows of a large_binary array in its buffer."""
+    if not len(values):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a column end to end, and the n + 1 offsets of its rows."""
     values = binary(column)
-    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    offsets = offsets_of(values)
     data = values.buffers()[2]
     flat = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -67,7 +74,7 @@ def pack(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            packed = pa.array([packer.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())
+            packed = pa.array((packer.compress((t.as_py() or "").encode()) for t in batch.column("text")), pa.binary(), size=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), packed], [*names, "packed"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)

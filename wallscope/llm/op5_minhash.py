@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wallscope.llm.arrow import SLICE_BYTES, flat_bytes, list_array, pack, ranges, slices
+from wallscope.llm.arrow import flat_bytes, list_array, pack, ranges, slices
 from wallscope.llm.components import components
 from wallscope.llm.words import shingle_hashes, word_hashes
 from wallscope.session import materialize
@@ -42,6 +42,8 @@ from wallscope.session import materialize
 RETAINED, SHARED = 64, 0.42
 SKETCH = 256
 TILE = 512
+#: Bytes of texts that a task hashes at once; each takes about 60 bytes of temporary arrays.
+TEXT_BYTES, PACKED_BYTES = 1 << 20, 1 << 18
 #: Standard deviations by which an estimate may miss.
 SIGMAS = 6.0
 
@@ -64,7 +66,7 @@ def _sets(docs: DataFrame, retained: int | None) -> DataFrame:
     column = "packed" if "packed" in docs.columns else "text"
 
     def parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
-        for part in slices(batch, column, (1 << 20) if column == "packed" else SLICE_BYTES):
+        for part in slices(batch, column, PACKED_BYTES if column == "packed" else TEXT_BYTES):
             texts = part.column(column)
             if column == "packed":
                 unpack = zstandard.ZstdDecompressor().decompress
