@@ -51,6 +51,9 @@ SYMBOL = 80
 #: Widths of the ranges of distances, each level within the one before.
 LEVELS = (320, 80, 20, 5, 1)
 
+#: Keys with more than one in ``HOT`` rows are broadcast; there are fewer than ``HOT`` of them.
+HOT = 1000
+
 PLACE = "id bigint, mark bigint, at int, lo int, hi int"
 SPANS = "id bigint, mark bigint, start int, stop int"
 
@@ -117,6 +120,16 @@ def _anchored(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, f"{PLACE}, core bigint, full binary")
 
 
+def _with_keys(rows: DataFrame, keys: DataFrame, on: list[str], size: str) -> DataFrame:
+    """``rows`` joined with stored ``keys``, of which ``size`` tells how many rows each has.
+
+    The rows of hot keys, which are few by arithmetic, don't move; all others are shuffled.
+    """
+    hot = keys.where(F.col(size) > rows.count() // HOT)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(keys, on))
+
+
 def _span(docs_rows: DataFrame) -> DataFrame:
     """What the contexts of rows with a place cover."""
     return docs_rows.select("id", "mark", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + LENGTH).alias("stop"))
@@ -225,14 +238,14 @@ def _split(large: DataFrame, level: int) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """Spans (id, mark, start, stop) of repeated bytes; they may overlap and occur more than once."""
     every = materialize(_anchored(docs), "anchors")
-    shared = every.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
-    candidates = materialize(every.join(shared, "core"), "candidates")
+    cores = materialize(every.groupBy("core").agg(F.count("*").alias("c")).where("c > 1"), "cores")
+    candidates = materialize(_with_keys(every, cores, ["core"], "c").drop("c"), "candidates")
     place = F.min(F.struct("id", "mark", "at", "lo", "hi")).alias("place")
     groups = materialize(candidates.groupBy("core", "full").agg(F.count("*").alias("n"), place), "groups")
-    whole = groups.where("n > 1").select("core", "full")
-    spans = [materialize(_span(candidates.join(whole, ["core", "full"])), "spans")]
+    whole = groups.where("n > 1").select("core", "full", "n")
+    spans = [materialize(_span(_with_keys(candidates, whole, ["core", "full"], "n")), "spans")]
     # How many contexts its core has goes with each row, so contexts are dealt to tasks in one shuffle.
-    open_ = groups.join(_sizes(groups), "core").select("place.*", "core", "full", "n", "m")
+    open_ = _with_keys(groups, materialize(_sizes(groups), "sizes"), ["core"], "m").select("place.*", "core", "full", "n", "m")
     rows = _contexts(docs, open_).withColumn("from", F.lit(0)).withColumn("begin", F.col("hi"))
     for level in range(1, len(LEVELS) + 1):
         rows = materialize(rows, "contexts")
@@ -241,12 +254,14 @@ def repeats(docs: DataFrame) -> DataFrame:
         if level == len(LEVELS) or big.isEmpty():
             break
         cut = materialize(_split(big.dropDuplicates(["core", "full"]), level), "ranges")
-        found = cut.groupBy("core", "full").agg(F.sum("n").alias("total"))
-        many = found.where("total > 1").select("core", "full")
-        spans.append(materialize(_span(cut.where("n = 1").join(many, ["core", "full"])), "spans"))
+        found = cut.groupBy("core", "full").agg(F.sum("n").alias("total"), F.count("*").alias("k"))
+        found = materialize(found, "found")
+        many = found.where("total > 1").select("core", "full", "k")
+        spans.append(materialize(_span(_with_keys(cut.where("n = 1"), many, ["core", "full"], "k")), "spans"))
         # One context of each kind goes on; those seen more than once only as partners.
-        kinds = found.join(_sizes(found), "core")
-        rows = cut.drop("n", "m").join(kinds, ["core", "full"]).withColumnRenamed("total", "n").dropDuplicates(["core", "full"])
+        kinds = materialize(_with_keys(found, materialize(_sizes(found), "sizes"), ["core"], "m"), "kinds")
+        rows = _with_keys(cut.drop("n", "m"), kinds, ["core", "full"], "k").drop("k")
+        rows = rows.withColumnRenamed("total", "n").dropDuplicates(["core", "full"])
     return reduce(DataFrame.union, spans)
 
 
