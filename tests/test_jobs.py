@@ -1,12 +1,14 @@
 """The command line from raw files to reports, and the streaming jobs."""
 
+import gzip
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_feeds import ADDRESS_ONLY, NETSET
 from wallscope import cli
-from wallscope.plans import jobs
+from wallscope.plans import jobs, reports
 from wallscope.sources.logs import write_table
 from wallscope.session import scratch_path, scratch_root, scratch_scope
 from wallscope.streaming import pipelines
@@ -86,6 +88,48 @@ def test_whole_chain(spark, inputs, capsys):
     assert (summary.malicious_connections, summary.total, summary.pct) == (16, 40, 40.0)
 
 
+def test_compact_rows_give_the_same_reports(spark, inputs):
+    jobs.publish_feeds(spark, str(inputs / "landing"), str(inputs / "feeds"), 5.0)
+    parsed = jobs.parse_logs(spark, str(inputs / "logs"), str(inputs / "parsed"))
+    df = jobs.enrich_logs(
+        spark, parsed, geo_path=str(inputs / "geo"), asn_path=str(inputs / "asn"),
+        feeds_path=str(inputs / "feeds"), output_path=str(inputs / "enriched"),
+    )
+    some = {name: True for name in ("protocol", "hourly", "source_ports", "interfaces", "asn", "threat_intel")}
+    with scratch_scope(spark):
+        chosen = jobs.traffic_reports(df, **some)
+        assert len(chosen) == 15
+        direct = {name: getattr(reports, name)(df) for name in chosen}
+        for name, report in chosen.items():
+            assert report.schema.simpleString() == direct[name].schema.simpleString()
+            assert report.collect() == direct[name].collect(), name
+        log = [name for name, report in chosen.items() if str(inputs / "enriched") in "".join(report.inputFiles())]
+        assert log == ["hourly_traffic", "source_ports"]
+        empty = jobs.traffic_reports(df.limit(0), **some)
+        assert empty["threat_summary"].collect() == reports.threat_summary(df.limit(0)).collect()
+
+        skipped = []
+        few = df.select("geo_city", "geo_country_name", "dst_port", "src_ip", F.col("timestamp_raw").alias("timestamp"))
+        left = jobs.traffic_reports(few, **some, on_skip=lambda name, columns: skipped.append(name))
+        assert set(left) | set(skipped) == set(chosen) and len(left) == 5
+        assert left["hourly_traffic"].collect() == direct["hourly_traffic"].collect()
+
+
+def test_publish_tells_what_failed(spark, inputs, capsys):
+    (inputs / "landing" / "emerging_threats.txt").write_text("# nothing\n")
+    netset = inputs / "landing" / "firehol_level1.netset"
+    (inputs / "landing" / "firehol_level1.netset.gz").write_bytes(gzip.compress(netset.read_bytes()))
+    netset.unlink()
+    assert run("publish", inputs / "landing", inputs / "feeds") == 1
+    assert "not published: emerging_threats" in capsys.readouterr().err
+    assert run("publish", inputs / "landing", inputs / "feeds", "--source", "firehol_level1") == 0
+    (inputs / "landing" / "emerging_threats.txt").write_text(ADDRESS_ONLY)
+    assert run("publish", inputs / "landing", inputs / "feeds") == 0
+    asked = ["firehol_level1", "blocklist_de"]
+    outcome = jobs.publish_outcome(spark, str(inputs / "feeds"), 1.0, asked).collect()
+    assert [tuple(row) for row in outcome] == [("blocklist_de", "missing"), ("firehol_level1", "kept")]
+
+
 def test_errors(inputs, capsys):
     assert run("parse", inputs / "missing") == 1
     assert run("report", inputs / "missing") == 1
@@ -135,6 +179,7 @@ def test_streams(spark, inputs):
             geo=lambda: spark.read.parquet(str(inputs / "geo")),
             feeds_path=str(inputs / "feeds"),
             available_now=True,
+            max_files_per_trigger=1,
         ).awaitTermination()
         return spark.read.parquet(str(enriched))
 

@@ -72,28 +72,37 @@ def _enrich(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _report(spark: SparkSession, args: argparse.Namespace) -> None:
-    chosen = jobs.traffic_reports(
-        jobs.read_table(spark, args.input),
-        args.number,
-        args.ports,
-        args.protocol,
-        args.hourly,
-        args.source_ports,
-        args.interfaces,
-        args.asn,
-        args.threat_intel,
-    )
-    for name, report in chosen.items():
-        if args.output:
-            report.write.mode("overwrite").parquet(f"{args.output}/{name}")
-        else:
-            _show(name.replace("_", " ").capitalize(), report)
+    with scratch_scope(spark):
+        chosen = jobs.traffic_reports(
+            jobs.read_table(spark, args.input),
+            args.number,
+            args.ports,
+            args.protocol,
+            args.hourly,
+            args.source_ports,
+            args.interfaces,
+            args.asn,
+            args.threat_intel,
+            on_skip=lambda name, columns: print(f"skipped {name}: the table lacks {columns}", file=sys.stderr),
+        )
+        for name, report in chosen.items():
+            if args.output:
+                report.write.mode("overwrite").parquet(f"{args.output}/{name}")
+            else:
+                _show(name.replace("_", " ").capitalize(), report)
 
 
 def _publish(spark: SparkSession, args: argparse.Namespace) -> None:
     # Asking for the extra feeds replaces the default list (D7).
     sources = args.source or list(EXTRA_SOURCES if args.add_sources else DEFAULT_SOURCES)
-    _show("Feeds", jobs.publish_feeds(spark, args.landing, args.feeds, time.time(), sources))
+    now = time.time()
+    _show("Feeds", jobs.publish_feeds(spark, args.landing, args.feeds, now, sources))
+    outcome = jobs.publish_outcome(spark, args.feeds, now, sources)
+    _show("Outcome", outcome)
+    # One row per source asked for on the command line.
+    failed = [row.source for row in outcome.where("outcome <> 'published'").collect()]
+    if failed:
+        raise ValueError(f"not published: {', '.join(failed)}")
 
 
 def _networks(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wallscope.operators import enrich as enrichment
 from wallscope.operators.feedinfo import feed_info, staleness
 from wallscope.operators.parse import parse_lines
 from wallscope.plans import reports
-from wallscope.session import scratch_scope
+from wallscope.session import materialize, scratch_scope
 from wallscope.sources import feeds
 from wallscope.sources.logs import DEFAULT_PATTERN, read_lines, read_table, write_table
 from wallscope.sources.networks import asn_networks, geo_networks
@@ -102,35 +103,55 @@ def traffic_reports(
     interfaces: bool = False,
     asn: bool = False,
     threat_intel: bool = False,
+    on_skip: Callable[[str, str], None] = lambda report, columns: None,
 ) -> dict[str, DataFrame]:
-    """The selected reports by name; cities and countries are always included."""
-    enrichment.require_columns(df, "geo_city", "geo_country_name", "dst_port")
+    """The selected reports by name; cities and countries are always included.
+
+    The log is read for one stored ``reports.compact`` table, which serves all reports but
+    hours and source ports, and once for each of these. A selected report whose columns
+    are missing is left out; ``on_skip`` gets its name and the columns.
+    """
+    enrichment.require_columns(df, "geo_city", "geo_country_name", "dst_port", "src_ip")
+    rows = materialize(reports.compact(df), "report-rows")
     selected = {
-        "top_cities": reports.top_cities(df, number),
-        "city_ports": reports.city_ports(df, number, ports),
-        "top_countries": reports.top_countries(df, number),
-        "country_ports": reports.country_ports(df, number, ports),
+        "top_cities": reports.top_cities(rows, number),
+        "city_ports": reports.city_ports(rows, number, ports),
+        "top_countries": reports.top_countries(rows, number),
+        "country_ports": reports.country_ports(rows, number, ports),
     }
+
+    def add(name: str, present: bool, needed: str, report: Callable[[], DataFrame]) -> None:
+        if present:
+            selected[name] = report()
+        else:
+            on_skip(name, needed)
+
+    def has(*columns: str) -> bool:
+        return all(column in df.columns for column in columns)
+
     if protocol:
-        selected["protocol_distribution"] = reports.protocol_distribution(df)
+        add("protocol_distribution", has("protocol"), "protocol", lambda: reports.protocol_distribution(rows))
     if hourly:
-        selected["hourly_traffic"] = reports.hourly_traffic(df)
+        timed = has("timestamp_local") or has("timestamp")
+        add("hourly_traffic", timed, "timestamp_local or timestamp", lambda: reports.hourly_traffic(df))
     if source_ports:
-        selected["source_ports"] = reports.source_ports(df)
+        add("source_ports", has("src_port"), "src_port", lambda: reports.source_ports(df))
     if interfaces:
-        selected["interface_distribution"] = reports.interface_distribution(df)
-        selected["interface_directions"] = reports.interface_directions(df)
+        add("interface_distribution", has("interface"), "interface", lambda: reports.interface_distribution(rows))
+        both = has("interface", "direction")
+        add("interface_directions", both, "interface, direction", lambda: reports.interface_directions(rows))
     has_asn = reports.asn_columns(df) is not None
-    if asn and has_asn:
-        selected["top_asns"] = reports.top_asns(df, number)
-        selected["asn_ports"] = reports.asn_ports(df, number, ports)
-    if threat_intel and enrichment.MALICIOUS in df.columns:
-        selected["threat_summary"] = reports.threat_summary(df)
-        if reports.threat_source_columns(df):
-            selected["threat_by_source"] = reports.threat_by_source(df)
-        selected["threat_by_country"] = reports.threat_by_country(df)
-        if has_asn:
-            selected["threat_by_asn"] = reports.threat_by_asn(df)
+    if asn:
+        add("top_asns", has_asn, "asn, asn_org", lambda: reports.top_asns(rows, number))
+        add("asn_ports", has_asn, "asn, asn_org", lambda: reports.asn_ports(rows, number, ports))
+    if threat_intel:
+        flag = enrichment.MALICIOUS
+        known = has(flag)
+        sources = known and bool(reports.threat_source_columns(df))
+        add("threat_summary", known, flag, lambda: reports.threat_summary(rows))
+        add("threat_by_source", sources, "threat_<source>", lambda: reports.threat_by_source(rows))
+        add("threat_by_country", known, flag, lambda: reports.threat_by_country(rows))
+        add("threat_by_asn", known and has_asn, f"{flag}, asn, asn_org", lambda: reports.threat_by_asn(rows))
     return selected
 
 
@@ -151,6 +172,19 @@ def publish_feeds(
     return feeds.publish(feeds.select_sources(lines, wanted), feeds_path, now)
 
 
+def publish_outcome(spark: SparkSession, feeds_path: str, now: float, sources: Sequence[str]) -> DataFrame:
+    """What publishing at ``now`` did for each source: published, kept (its old snapshot) or missing."""
+    asked = spark.createDataFrame([(source,) for source in sources], "source string").distinct()
+    found = feeds.read_published_meta(spark, feeds_path).select("source", "timestamp")
+    outcome = (
+        F.when(F.col("timestamp") == F.lit(float(now)), "published")
+        .when(F.col("found"), "kept")
+        .otherwise("missing")
+    )
+    joined = asked.join(found.withColumn("found", F.lit(True)), "source", "left")
+    return joined.select("source", outcome.alias("outcome")).orderBy("source")
+
+
 def describe_feeds(spark: SparkSession, feeds_path: str, now: float) -> DataFrame:
     """Count, update time, URL, age and staleness of the published feeds."""
     meta = feeds.read_published_meta(spark, feeds_path)

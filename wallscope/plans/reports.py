@@ -16,12 +16,37 @@ from wallscope.functions.services import UNKNOWN, service_name
 from wallscope.functions.text import percent
 from wallscope.operators.enrich import MALICIOUS, require_columns
 
+#: Column of ``compact`` tables: how many log rows a row stands for.
+ROWS = "__rows"
+COMPACT_COLUMNS = (
+    "geo_city", "geo_country_name", "asn", "asn_org", "geo_asn", "geo_asn_org",
+    "dst_port", "src_ip", "protocol", "interface", "direction",
+)
+
 TOP_LOCATIONS = 10
 TOP_PORTS = 5
 TOP_SOURCE_PORTS = 10
 TOP_THREATS = 10
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """One row per combination of what locations, threats, protocols and interfaces are reported by.
+
+    Source ports and times are left out: with them hardly two log rows would be alike.
+    Stored once, it serves every other report, with the same results as the log itself.
+    """
+    keys = [name for name in (*COMPACT_COLUMNS, MALICIOUS, *threat_source_columns(df)) if name in df.columns]
+    return df.groupBy(*keys).agg(F.count("*").alias(ROWS))
+
+
+def _rows(df: DataFrame, condition: Column | None = None) -> Column:
+    """The number of log rows that the rows of ``df`` stand for, of all or those of a condition."""
+    if ROWS not in df.columns:
+        return F.count("*") if condition is None else F.count_if(condition)
+    rows = F.col(ROWS) if condition is None else F.when(condition, F.col(ROWS))
+    return F.coalesce(F.sum(rows), F.lit(0).cast("bigint"))
+
+
 def _with_shares(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Count and share of all rows per combination of ``keys`` without a NULL.
 
@@ -30,7 +55,7 @@ def _with_shares(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     move a filter on the keys under the aggregation of one side only, and the two
     sides could not share it any more.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("connections"))
+    counts = df.groupBy(*keys).agg(_rows(df).alias("connections"))
     total = counts.agg(F.sum("connections")).scalar()
     known = F.lit(True)
     for key in keys:
@@ -40,7 +65,7 @@ def _with_shares(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def row_total(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("rows"))
+    return df.agg(_rows(df).alias("rows"))
 
 
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
@@ -58,9 +83,14 @@ def interface_distribution(df: DataFrame) -> DataFrame:
 
 
 def hourly_traffic(df: DataFrame) -> DataFrame:
-    """Connections per hour of the log's own wall clock; empty hours are left out."""
-    require_columns(df, "timestamp_local")
-    hours = df.select(F.hour("timestamp_local").cast("int").alias("hour"))
+    """Connections per hour of the log's own wall clock; empty hours are left out.
+
+    A table without ``timestamp_local`` may have ``timestamp``, as a time (of the session's
+    zone) or as text, whose zone is not applied; text that is no time counts as NULL.
+    """
+    name = "timestamp_local" if "timestamp_local" in df.columns else "timestamp"
+    require_columns(df, name)
+    hours = df.select(F.hour(F.col(name).try_cast("timestamp_ntz")).cast("int").alias("hour"))
     return value_distribution(hours, "hour").orderBy("hour")
 
 
@@ -70,7 +100,7 @@ def source_ports(df: DataFrame, limit: int = TOP_SOURCE_PORTS) -> DataFrame:
 
 
 def top_source_addresses(df: DataFrame, limit: int = 10) -> DataFrame:
-    counts = df.where(F.col("src_ip").isNotNull()).groupBy("src_ip").agg(F.count("*").alias("connections"))
+    counts = df.where(F.col("src_ip").isNotNull()).groupBy("src_ip").agg(_rows(df).alias("connections"))
     return counts.orderBy(F.desc("connections"), "src_ip").limit(limit)
 
 
@@ -86,7 +116,7 @@ def interface_directions(df: DataFrame) -> DataFrame:
 
 def _top_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
     """The most frequent values of ``key`` as (``key``, ``connections``)."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("connections"))
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(_rows(df).alias("connections"))
     return counts.orderBy(F.desc("connections"), key).limit(limit)
 
 
@@ -125,12 +155,13 @@ def location_ports(
 ) -> DataFrame:
     """The most used destination ports of each of the most frequent locations."""
     require_columns(df, key, "dst_port", "src_ip")
-    rows = _rows_of_top_keys(df, key, limit, ["dst_port", "src_ip"])
+    weight = [ROWS] if ROWS in df.columns else []
+    rows = _rows_of_top_keys(df, key, limit, ["dst_port", "src_ip", *weight])
     # A busy location or port is spread over its sources before it is summed up.
     per_source = (
         rows.where(F.col("dst_port").isNotNull())
         .groupBy(key, "connections", "dst_port", "src_ip")
-        .agg(F.count("*").alias("n"))
+        .agg(_rows(rows).alias("n"))
     )
     per_port = per_source.groupBy(key, "connections", "dst_port").agg(
         F.sum("n").alias("port_connections"), F.count("src_ip").alias("port_unique_sources")
@@ -202,7 +233,7 @@ def threat_source_columns(df: DataFrame) -> list[str]:
 def threat_summary(df: DataFrame) -> DataFrame:
     """Malicious connections (rows, not addresses: D11) and their share."""
     require_columns(df, MALICIOUS)
-    counts = df.agg(F.count_if(F.col(MALICIOUS)).alias("malicious_connections"), F.count("*").alias("total"))
+    counts = df.agg(_rows(df, F.col(MALICIOUS)).alias("malicious_connections"), _rows(df).alias("total"))
     return counts.withColumn("pct", percent(F.col("malicious_connections"), F.col("total")))
 
 
@@ -212,8 +243,8 @@ def threat_by_source(df: DataFrame) -> DataFrame:
     if not flags:
         raise ValueError("no threat source columns found")
     counts = df.agg(
-        F.count("*").alias("total"),
-        *[F.count_if(F.col(flag)).alias(flag.removeprefix("threat_")) for flag in flags],
+        _rows(df).alias("total"),
+        *[_rows(df, F.col(flag)).alias(flag.removeprefix("threat_")) for flag in flags],
     )
     rows = counts.unpivot("total", [flag.removeprefix("threat_") for flag in flags], "source", "hits")
     return rows.where(F.col("hits") > 0).select(
@@ -226,7 +257,7 @@ def threat_by_country(df: DataFrame, limit: int = TOP_THREATS) -> DataFrame:
     require_columns(df, "geo_country_name", MALICIOUS)
     known = df.where(F.col("geo_country_name").isNotNull())
     counts = known.groupBy("geo_country_name").agg(
-        F.count_if(F.col(MALICIOUS)).alias("malicious"), F.count("*").alias("total")
+        _rows(df, F.col(MALICIOUS)).alias("malicious"), _rows(df).alias("total")
     )
     ranked = counts.where(F.col("malicious") > 0).orderBy(F.desc("malicious"), "geo_country_name")
     return ranked.limit(limit).withColumn("rate", percent(F.col("malicious"), F.col("total")))
@@ -237,7 +268,7 @@ def threat_by_asn(df: DataFrame, limit: int = TOP_THREATS) -> DataFrame:
     require_columns(df, MALICIOUS)
     known = _with_asn(df).where(F.col("asn").isNotNull())
     counts = known.groupBy("asn", "asn_org").agg(
-        F.count_if(F.col(MALICIOUS)).alias("malicious"), F.count("*").alias("n")
+        _rows(known, F.col(MALICIOUS)).alias("malicious"), _rows(known).alias("n")
     )
     # Few rows by now: one per owner and organisation name.
     totals = counts.withColumn("total", F.sum("n").over(Window.partitionBy("asn")))

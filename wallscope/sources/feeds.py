@@ -32,8 +32,8 @@ META_FOLDER = "meta"
 
 
 def _source_of_file() -> Column:
-    """``firehol_level1.netset`` belongs to source ``firehol_level1``."""
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)\.[^.]*$", 1)
+    """``firehol_level1.netset`` belongs to source ``firehol_level1``; so does its gzip file."""
+    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)\.[^.]*(\.gz)?$", 1)
 
 
 def read_feed_lines(spark: SparkSession, path: str, pattern: str = "*.netset") -> DataFrame:

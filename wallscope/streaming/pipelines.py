@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wallscope.operators.enrich import enrich
 from wallscope.operators.parse import parse_lines
 from wallscope.schemas import PARSED
-from wallscope.session import materialize, scratch_scope
+from wallscope.session import scratch_scope
 from wallscope.sources.feeds import published_sources, read_published
 from wallscope.sources.logs import DEFAULT_PATTERN
 
@@ -54,12 +54,15 @@ def start_enrich(
     feeds_path: str | None = None,
     available_now: bool = False,
     interval: str = "1 minute",
+    max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Enrich a parsed folder as it grows, with the batch operators.
 
     Network tables and feed snapshots are looked up anew for every micro-batch,
     so a refreshed feed takes effect without a restart. A batch that is repeated
-    after a failure replaces its own folder ``batch_id=<n>``.
+    after a failure replaces its own folder ``batch_id=<n>``. Its files are read
+    twice, for addresses and for rows, and not copied; ``max_files_per_trigger``
+    bounds a batch, the first one too.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
@@ -68,7 +71,7 @@ def start_enrich(
         sources = published_sources(session, feeds_path) if feeds_path else None
         with scratch_scope(session):
             enriched = enrich(
-                materialize(batch, "stream-batch"),
+                batch,
                 ip_column,
                 geo=geo() if geo else None,
                 asn=asn() if asn else None,
@@ -77,7 +80,10 @@ def start_enrich(
             )
             enriched.write.mode("overwrite").parquet(f"{output}/{BATCH_COLUMN}={batch_id}")
 
-    stream = spark.readStream.schema(PARSED).parquet(parsed_path)
+    reader = spark.readStream.schema(PARSED)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(parsed_path)
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start()
