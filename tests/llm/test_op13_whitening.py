@@ -1,0 +1,72 @@
+import math
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from wallscope.llm import op13_whitening as op
+
+SHAPE = "vec_id bigint, embedding array<float>, n int, deviation string"
+
+
+def brute(vectors):
+    x = [[math.floor(1024 * float(c)) + 100000 for c in v] for v in vectors]
+    n, dim = len(x), len(x[0])
+    mean = [Fraction(sum(r[d] for r in x), n) for d in range(dim)]
+    v = np.array([[float(sum((r[i] - mean[i]) * (r[j] - mean[j]) for r in x) / n) for j in range(dim)] for i in range(dim)])
+    e, u = np.linalg.eigh(v)
+    e, u = e[::-1], u[:, ::-1]
+    gap = np.array([[float(r[d] - mean[d]) for d in range(dim)] for r in x])
+    deviation = [int(sum((n * r[d] - n * mean[d]) ** 2 for d in range(dim))) for r in x]
+    return n, deviation, gap @ u / np.sqrt(e), e / e.sum()
+
+
+def test_cross_products_are_exact():
+    random = np.random.default_rng(1)
+    for rows, most in ((1, 3), (63, 9), (64, 1), (200, 1 << 44)):
+        x = random.integers(-most, most, (rows, 5))
+        exact = [[sum(int(a) * int(b) for a, b in zip(x[:, i], x[:, j])) for j in range(5)] for i in range(5)]
+        assert op.cross_products(x).tolist() == exact
+
+
+def test_limbs_carry_large_and_negative_sums():
+    values = [0, -1, 1 << 130, -(1 << 130) + 7, 12345]
+    parts = [p.to_pylist() for p in op._limbs(values)]
+    assert [sum(p[k] << (op.LIMB * i) for i, p in enumerate(parts)) for k in range(5)] == values
+
+
+def test_against_plain_arithmetic(spark, monkeypatch):
+    monkeypatch.setattr(op, "ROWS", 37)
+    random = np.random.default_rng(2)
+    vectors = (random.normal(size=(150, 12)) @ random.normal(size=(12, 12)) / 8).astype(np.float32)
+    rows = [(k, v.tolist(), 5, "other") for k, v in enumerate(vectors)]
+    bad = [(900, None, 1, ""), (901, [0.1] * 11 + [None], 1, ""), (902, [float("nan")] * 12, 1, ""), (903, [float("inf")] * 12, 1, ""), (904, [], 1, "")]
+    found = op.whiten(spark.createDataFrame(rows + bad, SHAPE).repartition(5)).toPandas()
+    n, deviation, white, explained = brute(vectors)
+    assert len(found) == 150 * 8 and set(found["n"]) == {n}
+    assert found["identity_error"].nunique() == 1 and found["identity_error"].max() < 1e-9
+    for k in range(1, 9):
+        own = found[found["component"] == k].sort_values("vec_id")
+        assert own["deviation"].tolist() == deviation and own["deviation_text"].tolist() == [str(d) for d in deviation]
+        w = own["whitened"].to_numpy()
+        assert min(np.abs(w - white[:, k - 1]).max(), np.abs(w + white[:, k - 1]).max()) < 1e-8
+        assert own["explained"].iloc[0] == pytest.approx(explained[k - 1], rel=1e-10)
+
+
+def test_few_dimensions_repeated_rows_lengths_and_no_variance(spark):
+    rows = [(1, [1.0, 2.0], 0, ""), (1, [1.0, 2.0], 0, ""), (None, [1.0, 4.0], 0, ""), (2, [5.0], 0, "")]
+    found = op.whiten(spark.createDataFrame(rows, SHAPE)).collect()
+    pairs = [r for r in found if r.n == 3]
+    assert len(pairs) == 6 and {r.component for r in pairs} == {1, 2}
+    assert all(r.whitened == 0 and r.explained == 0 for r in pairs if r.component == 2)
+    assert sorted(abs(r.whitened) for r in pairs if r.component == 1) == pytest.approx([0.5**0.5, 0.5**0.5, 2**0.5])
+    assert [(r.vec_id, r.n, r.deviation, r.whitened) for r in found if r.n == 1] == [(2, 1, 0, 0.0)]
+
+
+def test_huge_entries_and_empty_table(spark):
+    rows = [(1, [3e38, 0.0], 0, ""), (2, [-3e38, 1.0], 0, "")]
+    found = op.whiten(spark.createDataFrame(rows, SHAPE)).collect()
+    gap = 2 * (2**52 + 100000) - 2 * 100000
+    assert {r.deviation for r in found} == {None}
+    assert {r.deviation_text for r in found} == {str(gap**2 + 1024**2)}
+    assert op.whiten(spark.createDataFrame([], SHAPE)).collect() == []

@@ -17,6 +17,9 @@ from wallscope.llm import (
     op8_embeddings,
     op9_warc,
     op10_repeats,
+    op11_neighbours,
+    op12_spelling,
+    op13_whitening,
 )
 
 #: File of the byte-level tokenizer; installed on every executor.
@@ -83,6 +86,19 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(op10_repeats.cut(_table(spark, sf_dir, "documents")))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return op11_neighbours.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_fingerprint": _op1,
     "op2_mixture": _op2,
@@ -94,4 +110,7 @@ QUERIES = {
     "op8_embeddings": _op8,
     "op9_warc": _op9,
     "op10_repeats": _op10,
+    "op11_neighbours": _op11,
+    "op12_spelling": _op12,
+    "op13_whitening": _op13,
 }
