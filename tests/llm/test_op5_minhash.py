@@ -86,3 +86,60 @@ def test_estimates_are_exact_for_whole_sets():
     i, j, _ = op.promising(sets, np.array([len(s) for s in sets]))
     want = {(a, b) for b in range(30) for a in range(b) if 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})}
     assert set(zip(i.tolist(), j.tolist())) == want and want
+
+
+def row_groups(rows):
+    """Groups of row numbers linked by their own sets, whatever their doc_ids."""
+    sets = [shingles(t) if i is not None else set() for i, t in rows]
+    group = list(range(len(rows)))
+    for a, s in enumerate(sets):
+        for b, t in enumerate(sets[:a]):
+            if s and t and 100 * len(s & t) >= 75 * len(s | t):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    return [[k for k, g in enumerate(group) if g == own] for own in set(group)]
+
+
+def test_doc_ids_with_several_texts(spark):
+    rows = [(3, "a b c"), (5, "a b c"), (5, "x y z"), (7, "x y z"), (7, ""), (9, "q"), (9, None), (11, "q"), (9, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(op.near_duplicates(docs)) == expected(rows)
+    kept = sorted((r.doc_id, r.text) for r in op.keep_one(docs).collect() if r.text)
+    assert kept == [(3, "a b c"), (5, "x y z"), (9, "q")]
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_random_repeated_doc_ids(spark, monkeypatch, exact):
+    monkeypatch.setattr(op, "TILE", 8)
+    rng = random.Random(7)
+    bases = [[f"w{rng.randrange(60)}" for _ in range(rng.choice([3, 30, 200]))] for _ in range(25)]
+    rows = [(rng.randrange(120), edited(rng, rng.choice(bases), rng.choice([0, 0, 0.01, 0.03]))) for _ in range(160)]
+    rows += [(rng.randrange(120), "") for _ in range(5)] + rows[:10]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert result(op.near_duplicates(docs, exact)) == expected(rows)
+    kept = [(r.doc_id, r.text) for r in op.keep_one(docs, exact).collect()]
+    left = list(kept)
+    for group in row_groups(rows):
+        if not shingles(rows[group[0]][1]):
+            left.remove(rows[group[0]])
+            continue
+        own = [k for k in left if k in {rows[g] for g in group}]
+        assert len(own) == 1 and own[0][0] == min(rows[g][0] for g in group)
+        left.remove(own[0])
+    assert not left
+
+
+def test_numbers_of_sets_that_collide_are_drawn_again(spark, monkeypatch):
+    hashed, salts = op.F.xxhash64, []
+
+    def poor(*columns):
+        if len(columns) == 2 and isinstance(columns[1], str) and columns[1] == "digest":
+            salts.append(columns[0])
+            if len(salts) == 1:
+                return op.F.lit(1).cast("long")
+        return hashed(*columns)
+
+    monkeypatch.setattr(op.F, "xxhash64", poor)
+    rows = [(1, "a b"), (2, "c d"), (3, "a b")]
+    found = op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert result(found) == expected(rows) and len(salts) == 2

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 #: Bytes of text that a task works on at once; bounds the temporary arrays, not the result.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def binary(column: pa.Array) -> pa.Array:

@@ -7,12 +7,16 @@ sure of, and the other learns from them. Both are then calibrated on labelled do
 out of training, and a last regression combines the two calibrated views. All documents are
 scored in one narrow stage without a shuffle.
 
-The model is fitted on at most ``labelled`` labelled documents and a pool of ``pool``
-documents, drawn by a hash of doc_id; only their feature vectors reach the driver.
+The model is fitted on about ``labelled`` of the labelled documents that the corpus holds,
+and a pool of about ``pool`` others, drawn by a hash of doc_id; only their feature vectors
+reach the driver. Labels of documents outside the corpus play no part.
 
 Defined cases: a null text counts as an empty one, null source or lang as a value of its
 own; documents with contradicting labels are not learned from; without labels of both kinds
-every document is kept with score 1; ties (a score of exactly 0.5) are kept.
+every document is kept with score 1; ties (a score of exactly 0.5) are kept; repeated rows
+and rows with a null doc_id are each scored by their own text, and of the rows that share a
+doc_id at most one is learned from; an empty table gives no rows. A very long text is taken
+on its own and needs about 60 times its size while its features are computed.
 """
 
 from __future__ import annotations
@@ -29,9 +33,12 @@ from pyspark.sql import functions as F
 
 from wallscope.llm.arrow import flat_bytes, slices
 from wallscope.llm.words import word_hashes
+from wallscope.session import materialize
 
 LABELLED, POOL = 12_000, 6_000
 ROUNDS, SURE, GROWTH = 4, 0.98, 200
+#: Bytes of texts whose features a task computes at once; each takes about 60 bytes of temporary arrays.
+TEXT_BYTES = 1 << 20
 #: Character classes: letters, digits, blanks, line ends, frequent marks, rest, and parts of characters beyond ASCII.
 CLASSES = np.full(256, 9, np.uint8)
 for _class, _members in enumerate([range(97, 123), range(65, 91), range(48, 58), b" \t", b"\r\n", b".,;:", b"!?", b"|<>[]{}", b"*#$%&=+_~"]):
@@ -162,12 +169,18 @@ def _views(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return content_view(flat, offsets), meta
 
 
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One row of each doc_id, the same one however rows are dealt."""
+    mark = F.struct(F.xxhash64("text", "source", "lang"), "text", "source", "lang")
+    return rows.groupBy("doc_id").agg(F.min(mark).alias("least")).select("doc_id", "least.text", "least.source", "least.lang")
+
+
 def _features(rows: DataFrame) -> pd.DataFrame:
     """doc_id and both views of bounded sample rows, on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 both = [pa.array([r.tobytes() for r in v], pa.binary()) for v in _views(part)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *both], ["doc_id", "content", "meta"])
 
@@ -175,19 +188,26 @@ def _features(rows: DataFrame) -> pd.DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, content binary, meta binary").toPandas()
 
 
+def _drawn(rows: DataFrame, wanted: int) -> pd.DataFrame:
+    """About ``wanted`` of the rows, at most twice as many, by a hash of doc_id in the column ``draw``."""
+    total = rows.count()
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 40)))
+    some = rows if total <= wanted else rows.where(F.col("draw") < int((1 << 40) * wanted / total))
+    return some.limit(2 * wanted).toPandas()
+
+
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.avg("quality").alias("y"))
     own = docs.select("doc_id", "text", "source", "lang")
-    order = F.xxhash64("doc_id", F.lit("quality"))
-    known = known.where("y IN (0, 1)").select("doc_id", "y", order.alias("draw")).orderBy("draw").limit(labelled)
-    known = known.toPandas()
+    present = materialize(own.select("doc_id").where("doc_id IS NOT NULL").distinct(), "present")
+    known = materialize(known.where("y IN (0, 1)").join(present, "doc_id", "left_semi"), "labelled")
+    known, others = _drawn(known, labelled), _drawn(present, pool)
     if known["y"].nunique() < 2:
         return None
-    drawn = own.select("doc_id").where("doc_id IS NOT NULL").orderBy(order, "doc_id").limit(pool).toPandas()
-    ids = pd.concat([known[["doc_id"]], drawn]).drop_duplicates()
-    # At most labelled + pool identifiers.
+    ids = pd.concat([known[["doc_id"]], others[["doc_id"]]]).drop_duplicates()
+    # At most 2 * (labelled + pool) identifiers.
     wanted = F.broadcast(docs.sparkSession.createDataFrame(ids, f"doc_id {dict(own.dtypes)['doc_id']}"))
-    rows = _features(own.join(wanted, "doc_id")).drop_duplicates("doc_id").merge(known, "left", "doc_id").sort_values(["draw", "doc_id"])
+    rows = _features(_one_each(own.join(wanted, "doc_id"))).merge(known, "left", "doc_id").sort_values(["draw", "doc_id"])
     sides = []
     for part in (rows[rows["y"].notna()], rows[rows["y"].isna()]):
         sides.append(
@@ -200,27 +220,30 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     return cotrain(sides[0], y, sides[1]) if len(y) else None
 
 
-def _score(rows: DataFrame, carried: str, model: Model | None) -> DataFrame:
-    """The column ``carried`` and the three probabilities of every row."""
+def _score(rows: DataFrame, carried: list[str], model: Model | None) -> DataFrame:
+    """The columns ``carried`` and the three probabilities of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 found = model.score(_views(part)) if model else [np.ones(part.num_rows)] * 3
-                columns = [part.column(carried), *(pa.array(p, pa.float64()) for p in found)]
-                yield pa.RecordBatch.from_arrays(columns, [carried, "content_score", "meta_score", "quality"])
+                columns = [*(part.column(c) for c in carried), *(pa.array(p, pa.float64()) for p in found)]
+                yield pa.RecordBatch.from_arrays(columns, [*carried, "content_score", "meta_score", "quality"])
 
-    kind = rows.schema[carried].dataType.simpleString()
-    return rows.mapInArrow(run, f"{carried} {kind}, content_score double, meta_score double, quality double")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
+    return rows.mapInArrow(run, f"{kinds}, content_score double, meta_score double, quality double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, content_score, meta_score, quality, kept."""
-    found = _score(docs.select("doc_id", "text", "source", "lang"), "doc_id", fit(docs, labels))
+    found = _score(docs.select("doc_id", "text", "source", "lang"), ["doc_id"], fit(docs, labels))
     return found.withColumn("kept", F.col("quality") >= threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents, with all their columns, that are not rejected."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text", "source", "lang")
-    return _score(rows, "row", fit(docs, labels)).where(F.col("quality") >= threshold).select("row.*")
+    # Texts go to Python once and come back; the other columns travel beside them.
+    rest = F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")
+    found = _score(docs.select(rest, "text", "source", "lang"), ["row", "text"], fit(docs, labels))
+    columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return found.where(F.col("quality") >= threshold).select(*columns)
