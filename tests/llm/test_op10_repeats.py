@@ -65,6 +65,28 @@ def test_passages_of_all_lengths_and_edits(spark, monkeypatch, group):
     assert result(queries.digest(op.cut(docs))) == expected(rows)
 
 
+def test_planted_passages_on_both_sides_of_the_length(spark):
+    """Passages of over 50 words, 300 to 800 bytes, in documents of the given table: only 400 bytes or more count."""
+    rng = random.Random(12)
+    sf_dir = "/root/testdata/sf0.001"
+    rows = [list(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    planted = {}
+    for size in (300, 323, 360, 398, 399, 400, 401, 402, 440, 520, 640, 800):
+        passage = ""
+        while len(passage) < size:
+            passage += noise(rng, rng.randint(3, 7)).replace(" ", "x") + " "
+        passage = passage[: size - 1] + "."
+        for own in rng.sample(rows, 3):
+            text, at = own[1] or "", rng.randrange(len(own[1] or "") + 1)
+            own[1] = text[:at] + "|" + passage + "|" + text[at:]
+            planted.setdefault(size, []).append(own[0])
+    rows = [tuple(r) for r in rows]
+    found = queries.digest(op.cut(spark.createDataFrame(rows, "doc_id long, text string"))).cache()
+    assert result(found) == expected(rows)
+    removed = {r.doc_id: r.n_removed for r in found.collect()}
+    assert all(removed[i] >= 400 for size, ids in planted.items() if size >= 400 for i in ids)
+
+
 def test_odd_rows(spark):
     rng = random.Random(9)
     same = noise(rng, 1000)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 
 #: Bytes of text that a task works on at once; bounds the temporary arrays, not the result.
 SLICE_BYTES = 1 << 20
+#: Bytes of text in a batch of compressed rows.
+PACK_BYTES = 16 << 20
 
 
 def binary(column: pa.Array) -> pa.Array:
@@ -73,7 +75,7 @@ def pack(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", PACK_BYTES)):
             packed = pa.array((packer.compress((t.as_py() or "").encode()) for t in batch.column("text")), pa.binary(), size=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), packed], [*names, "packed"])
 

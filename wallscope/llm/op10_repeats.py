@@ -20,7 +20,9 @@ Strings are judged on the input. No step gathers an unbounded group, and none dr
 
 Defined cases: a null text is an empty one; texts shorter than ``LENGTH`` bytes stay; rows
 that repeat a doc_id count as documents of their own, so equal ones repeat each other; a null
-doc_id is allowed. Kept texts lose the rest of a character that a cut leaves incomplete.
+doc_id is allowed; an empty table gives no rows; other columns are carried along. Kept texts
+lose the rest of a character that a cut leaves incomplete. A very long text is taken on its
+own and needs about 60 times its size while its anchors are found.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ from pyspark.sql import functions as F
 
 from wallscope.llm.arrow import flat_bytes, pack, slices
 from wallscope.llm.grouping import suffix_array
+from wallscope.llm.hot import with_keys
 from wallscope.llm.words import BYTE, mix
 from wallscope.session import materialize
 
@@ -48,12 +51,11 @@ CORE = LENGTH - WINDOW + 1
 GROUP, TASK = 2000, 4000
 #: Bytes that one symbol of the suffix arrays stands for.
 SYMBOL = 80
+#: Compressed bytes of texts that a task cuts at once.
+PACKED_BYTES = 1 << 18
 #: Widths of the ranges of distances, each level within the one before.
 LEVELS = (320, 80, 20, 5, 1)
 
-#: Keys with more than one in ``HOT`` rows are broadcast; there are fewer than ``HOT`` of them.
-HOT = 1000
-
 PLACE = "id bigint, mark bigint, at int, lo int, hi int"
 SPANS = "id bigint, mark bigint, start int, stop int"
 
@@ -120,16 +122,6 @@ def _anchored(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, f"{PLACE}, core bigint, full binary")
 
 
-def _with_keys(rows: DataFrame, keys: DataFrame, on: list[str], size: str) -> DataFrame:
-    """``rows`` joined with stored ``keys``, of which ``size`` tells how many rows each has.
-
-    The rows of hot keys, which are few by arithmetic, don't move; all others are shuffled.
-    """
-    hot = keys.where(F.col(size) > rows.count() // HOT)
-    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
-    return rows.join(F.broadcast(hot), on).unionByName(rest.join(keys, on))
-
-
 def _span(docs_rows: DataFrame) -> DataFrame:
     """What the contexts of rows with a place cover."""
     return docs_rows.select("id", "mark", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + LENGTH).alias("stop"))
@@ -175,7 +167,7 @@ def classes(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated(contexts: list[bytes], lo: np.ndarray, hi: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """For every context the least and largest distance at which its string is repeated (-1: none)."""
+    """For every context the least and largest distance at which another one has its string (-1: none)."""
     count = len(contexts)
     right, left = np.zeros((count, LENGTH), np.uint8), np.zeros((count, WINDOW), np.uint8)
     for k, (c, h) in enumerate(zip(contexts, hi.tolist())):
@@ -188,7 +180,11 @@ def repeated(contexts: list[bytes], lo: np.ndarray, hi: np.ndarray, weight: np.n
     for distance in range(int(lo.min()), int(hi.max()) + 1):
         number_l[by_left] = np.cumsum(same_left < distance)
         number_r[by_right] = np.cumsum(same_right < LENGTH - distance)
-        valid = np.flatnonzero((lo <= distance) & (distance <= hi))
+        # A context that is alone on either side has no partner at this distance.
+        shared = (np.bincount(number_l)[number_l] > 1) & (np.bincount(number_r)[number_r] > 1)
+        valid = np.flatnonzero(shared & (lo <= distance) & (distance <= hi))
+        if not len(valid):
+            continue
         key = number_l[valid] * (count + 2) + number_r[valid]
         _, place = np.unique(key, return_inverse=True)
         hit = valid[np.bincount(place, weight[valid])[place] >= 2]
@@ -239,13 +235,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     """Spans (id, mark, start, stop) of repeated bytes; they may overlap and occur more than once."""
     every = materialize(_anchored(docs), "anchors")
     cores = materialize(every.groupBy("core").agg(F.count("*").alias("c")).where("c > 1"), "cores")
-    candidates = materialize(_with_keys(every, cores, ["core"], "c").drop("c"), "candidates")
+    candidates = materialize(with_keys(every, cores, ["core"], "c", every.count()).drop("c"), "candidates")
     place = F.min(F.struct("id", "mark", "at", "lo", "hi")).alias("place")
     groups = materialize(candidates.groupBy("core", "full").agg(F.count("*").alias("n"), place), "groups")
     whole = groups.where("n > 1").select("core", "full", "n")
-    spans = [materialize(_span(_with_keys(candidates, whole, ["core", "full"], "n")), "spans")]
+    spans = [materialize(_span(with_keys(candidates, whole, ["core", "full"], "n", candidates.count())), "spans")]
     # How many contexts its core has goes with each row, so contexts are dealt to tasks in one shuffle.
-    open_ = _with_keys(groups, materialize(_sizes(groups), "sizes"), ["core"], "m").select("place.*", "core", "full", "n", "m")
+    open_ = with_keys(groups, materialize(_sizes(groups), "sizes"), ["core"], "m", groups.count()).select("place.*", "core", "full", "n", "m")
     rows = _contexts(docs, open_).withColumn("from", F.lit(0)).withColumn("begin", F.col("hi"))
     for level in range(1, len(LEVELS) + 1):
         rows = materialize(rows, "contexts")
@@ -257,10 +253,11 @@ def repeats(docs: DataFrame) -> DataFrame:
         found = cut.groupBy("core", "full").agg(F.sum("n").alias("total"), F.count("*").alias("k"))
         found = materialize(found, "found")
         many = found.where("total > 1").select("core", "full", "k")
-        spans.append(materialize(_span(_with_keys(cut.where("n = 1"), many, ["core", "full"], "k")), "spans"))
+        rows_cut = cut.count()
+        spans.append(materialize(_span(with_keys(cut.where("n = 1"), many, ["core", "full"], "k", rows_cut)), "spans"))
         # One context of each kind goes on; those seen more than once only as partners.
-        kinds = materialize(_with_keys(found, materialize(_sizes(found), "sizes"), ["core"], "m"), "kinds")
-        rows = _with_keys(cut.drop("n", "m"), kinds, ["core", "full"], "k").drop("k")
+        kinds = materialize(with_keys(found, materialize(_sizes(found), "sizes"), ["core"], "m", found.count()), "kinds")
+        rows = with_keys(cut.drop("n", "m"), kinds, ["core", "full"], "k", rows_cut).drop("k")
         rows = rows.withColumnRenamed("total", "n").dropDuplicates(["core", "full"])
     return reduce(DataFrame.union, spans)
 
@@ -284,7 +281,7 @@ def cut(docs: DataFrame) -> DataFrame:
     joined = pack(keyed).join(listed, ["id", "mark"], "left").select("row", "absent", "packed", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "packed", PACKED_BYTES)):
             columns = [[], [], [], []]
             for packed, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist()):
                 text = zstandard.ZstdDecompressor().decompress(packed)
@@ -311,7 +308,7 @@ def remove(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, without repeated strings; texts that nothing is cut from stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "kept")):
             texts = [None if a else trim(k) for a, k in zip(batch.column("absent").to_pylist(), batch.column("kept").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
