@@ -18,8 +18,8 @@ from wallscope.operators.prefix_join import (
     containing_networks,
     join_networks,
     with_any_key,
-    with_containing_networks,
 )
+from wallscope.operators.ranges import match_layers
 from wallscope.schemas import ASN, CITY
 from wallscope.session import materialize
 from wallscope.sources.networks import special_networks
@@ -75,10 +75,10 @@ def build_address_table(
 ) -> DataFrame:
     """Look up distinct addresses (``ip`` and any further columns) in all tables.
 
-    One pass: the keys of all network tables form one key table, each address is
-    expanded to its prefixes once, and one hash aggregation keeps the longest
-    special, city and owner prefix and a flag per blocklist source. The city and
-    owner records are then fetched by their exact keys.
+    One pass: all network tables are layers of one sweep (``ranges``), in which an
+    address is one row and gets the longest special, city and owner prefix and a
+    flag per blocklist source. The city and owner records are then fetched by their
+    exact keys.
 
     Adds ``is_private``; ``geo_*`` if ``geo`` is given (owner columns stay NULL
     without ``asn``); ``threat_is_malicious`` and ``threat_<source>`` for the
@@ -110,20 +110,11 @@ def build_address_table(
     for layer in layers[1:]:
         keys = keys.unionByName(layer)
 
-    def best(code: int) -> Column:
-        return F.max(F.when(F.col("layer") == code, F.col("score")))
-
     keyed = with_any_key(addresses)
-    summary = (
-        with_containing_networks(keyed, keys)
-        .groupBy(*keyed.columns)
-        .agg(
-            best(_SPECIAL).alias("special"),
-            best(_GEO).alias("geo_plen"),
-            best(_ASN).alias("asn_plen"),
-            *[best(_FIRST_SOURCE + i).alias(f"hit_{i}") for i in range(len(sources))],
-        )
-    )
+    found = match_layers(keyed, keys, _FIRST_SOURCE + len(sources))
+    names = {"special": _SPECIAL, "geo_plen": _GEO, "asn_plen": _ASN}
+    names |= {f"hit_{i}": _FIRST_SOURCE + i for i in range(len(sources))}
+    summary = found.select(*keyed.columns, *[F.col(f"score_{code}").alias(name) for name, code in names.items()])
     private = F.coalesce(F.col("special") % 2 == 1, F.lit(False))
     flags = [threat_column(source) for source in sources]
     any_hit = F.lit(False)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wallscope.functions.addresses import masked, with_address_key
+from wallscope.operators.ranges import match_layers
 from wallscope.schemas import NETWORK_KEY
 
 KEY = NETWORK_KEY.fieldNames()
@@ -60,30 +61,14 @@ def containing_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
     return join_networks(probes.select(*addresses.columns, "plen"), networks, "plen")
 
 
-def with_containing_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
-    """The same, plus one row of plen ``SELF`` and NULL values for each address of
-    ``with_any_key``, so that those without a match need not be read a second time
-    to be joined back.
-    """
-    spark = addresses.sparkSession
-    own = spark.sql(f"SELECT * FROM VALUES (0, {SELF}), (4, {SELF}), (6, {SELF}) AS own(family, plen)")
-    lengths = F.broadcast(_lengths(networks).unionByName(own))
-    probes = addresses.join(lengths, "family").select(*addresses.columns, "plen")
-    marked = networks.select("*", F.lit(True).alias("__found"))
-    pairs = join_networks(probes, marked, "plen", "left")
-    return pairs.where(F.col("__found") | (F.col("plen") == SELF)).drop("__found")
-
-
 def longest_match(addresses: DataFrame, networks: DataFrame) -> DataFrame:
     """Distinct addresses (``ip``, ...) with the record of the longest network that
     contains them, NULL where there is none, and its ``plen``.
 
-    Only the best prefix length is aggregated (a number, so a hash aggregation);
-    the record itself is fetched afterwards by its exact key.
+    The sweep carries the length only; the record is fetched afterwards by its exact key.
     """
     keyed = with_any_key(addresses)
-    pairs = with_containing_networks(keyed, networks.select(*KEY))
-    longest = F.max(F.when(F.col("plen") != SELF, F.col("plen")))
-    best = pairs.groupBy(*keyed.columns).agg(longest.alias("plen"))
+    keys = networks.select(*KEY, F.lit(0).alias("layer"), F.col("plen").alias("score"))
+    best = match_layers(keyed, keys, 1).withColumnRenamed("score_0", "plen")
     found = join_networks(best, networks, "plen", "left")
     return found.drop("family", "hi", "lo")
