@@ -7,14 +7,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Most bytes of a batch that goes to Python, unless the session sets a bound of its own.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of text that a task works on at once; bounds the temporary arrays, not the result.
 SLICE_BYTES = 1 << 20
 #: Bytes of text in a batch of compressed rows.
 PACK_BYTES = 16 << 20
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches of whole texts that tasks exchange with Python: ten thousand rows may be anything."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def binary(column: pa.Array) -> pa.Array:
     """A string or binary column as large_binary without nulls (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wallscope.llm.arrow import flat_bytes, pack, slices
+from wallscope.llm.arrow import bound_batches, flat_bytes, pack, slices
 from wallscope.llm.grouping import suffix_array
 from wallscope.llm.hot import with_keys
 from wallscope.llm.words import BYTE, mix
@@ -233,6 +233,7 @@ def _split(large: DataFrame, level: int) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """Spans (id, mark, start, stop) of repeated bytes; they may overlap and occur more than once."""
+    bound_batches(docs.sparkSession)
     every = materialize(_anchored(docs), "anchors")
     cores = materialize(every.groupBy("core").agg(F.count("*").alias("c")).where("c > 1"), "cores")
     candidates = materialize(with_keys(every, cores, ["core"], "c", every.count()).drop("c"), "candidates")

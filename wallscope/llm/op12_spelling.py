@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wallscope.llm.arrow import flat_bytes, slices
+from wallscope.llm.arrow import bound_batches, flat_bytes, slices
 from wallscope.llm.tiles import dealt, tiled
 from wallscope.llm.words import BYTE, STEP
 from wallscope.session import materialize
@@ -131,6 +131,7 @@ def count_words(flat: np.ndarray, offsets: np.ndarray, prefixes: list[bytes], he
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """word and n: the words of ``LENGTH`` letters or more that occur at least ``COUNT`` times."""
+    bound_batches(docs.sparkSession)
 
     def flush(held: Counter) -> pa.RecordBatch:
         words = [w for w in held if len(w) >= LENGTH]

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from wallscope.llm.arrow import binary, list_array, ranges, slices
+from wallscope.llm.arrow import binary, bound_batches, list_array, ranges, slices
 
 # Fixed value: the pre-split of byte-level BPE; white space as the Unicode property has it.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -165,6 +165,7 @@ def load(path: str) -> Bpe:
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", column: str = "text") -> DataFrame:
     """``key`` and ``ids array<int>``: whole texts encoded with the tokenizer file ``path``."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -180,6 +181,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", column: str = "text"
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """``key``, ``ids`` and ``text``: the text that each row's ids stand for."""
+    bound_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wallscope.llm.arrow import flat_bytes, slices
+from wallscope.llm.arrow import bound_batches, flat_bytes, slices
 from wallscope.llm.words import word_hashes
 from wallscope.session import materialize
 
@@ -177,6 +177,7 @@ def _one_each(rows: DataFrame) -> DataFrame:
 
 def _features(rows: DataFrame) -> pd.DataFrame:
     """doc_id and both views of bounded sample rows, on the driver."""
+    bound_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
 
 def _score(rows: DataFrame, carried: list[str], model: Model | None) -> DataFrame:
     """The columns ``carried`` and the three probabilities of every row."""
+    bound_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wallscope.llm.arrow import flat_bytes, list_array, pack, ranges, slices
+from wallscope.llm.arrow import bound_batches, flat_bytes, list_array, pack, ranges, slices
 from wallscope.llm.components import components
 from wallscope.llm.hot import with_keys
 from wallscope.llm.words import shingle_hashes, word_hashes
@@ -247,6 +247,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataF
 
 
 def _groups(docs: DataFrame, exact: bool) -> Groups:
+    bound_batches(docs.sparkSession)
     rows, classes = _classes(materialize(_sets(_marked(docs), None if exact else RETAINED), "sketches"))
     members = materialize(_hubs(classes), "hubs")
     sets = _full_sets(docs, classes, members)

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wallscope.llm.arrow import binary, slices
+from wallscope.llm.arrow import binary, bound_batches, slices
 from wallscope.llm.words import STEP
 
 DIMENSIONS = 8192
@@ -100,6 +100,7 @@ def has_letter(raw: bytes) -> bool:
 
 def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
     """Learn from the documents with a language whose crc32(doc_id) mod 3 is not 1; None without any."""
+    bound_batches(docs.sparkSession)
     own = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     own = own.where(F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
@@ -128,6 +129,7 @@ def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = unpack(model.landmarks) if model else None

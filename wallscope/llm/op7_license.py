@@ -20,7 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wallscope.llm.arrow import binary, slices
+from wallscope.llm.arrow import binary, bound_batches, slices
 
 # Base phrases with their labels, then further notices.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -148,6 +148,7 @@ def scan(docs: DataFrame, permitted: frozenset[str] = PERMITTED, key: str = "doc
 
     ``permitted`` (column): whether every expression of the document can be met with permitted licences; null without one.
     """
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(pa.string()), pa.bool_(), pa.float64()]
