@@ -187,3 +187,102 @@ def test_bad_stamps_spoil_their_own_source_only(spark):
 def test_nothing_published(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         feeds.read_published(spark, str(tmp_path))
+
+
+def land(folder, **lines):
+    folder.mkdir(exist_ok=True)
+    for source, text in lines.items():
+        (folder / f"{source}.netset").write_text(text)
+    return str(folder)
+
+
+def test_an_old_version_is_read_while_a_new_one_is_written(spark, tmp_path):
+    target = str(tmp_path / "feeds")
+    landing = land(tmp_path / "landing", firehol_level1="192.0.2.0/24\n", emerging_threats="198.51.100.7\n")
+    jobs.publish_feeds(spark, landing, target, 10.0)
+    first = feeds.published_version(spark, target)
+    reading = feeds.read_published(spark, target)
+    land(tmp_path / "landing", firehol_level1="203.0.113.0/24\n", emerging_threats="198.51.100.8\n")
+
+    seen = []
+    commit = feeds.snapshots.commit
+
+    def slow(*arguments):
+        # All of the new version is written; nobody sees any of it.
+        seen.append((entries(feeds.read_published(spark, target)), {r.timestamp for r in feeds.read_published_meta(spark, target).collect()}))
+        return commit(*arguments)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(feeds.snapshots, "commit", slow)
+        jobs.publish_feeds(spark, landing, target, 20.0)
+    assert seen == [(["192.0.2.0/24", "198.51.100.7"], {10.0})]
+    assert entries(reading) == ["192.0.2.0/24", "198.51.100.7"]
+    assert entries(feeds.read_published(spark, target)) == ["198.51.100.8", "203.0.113.0/24"]
+    assert entries(feeds.read_published(spark, target, first)) == ["192.0.2.0/24", "198.51.100.7"]
+    assert feeds.published_version(spark, target) > first
+
+    assert feeds.snapshots.expire(spark, target, keep=1) == [first]
+    assert entries(feeds.read_published(spark, target)) == ["198.51.100.8", "203.0.113.0/24"]
+    with pytest.raises(FileNotFoundError):
+        feeds.read_published(spark, target, first)
+
+
+def test_two_publishers_keep_each_others_sources(spark, tmp_path):
+    target, commit, turns = str(tmp_path / "feeds"), feeds.snapshots.commit, []
+
+    def overtaken(*arguments):
+        if not turns:
+            turns.append(1)
+            feeds.publish(spark.createDataFrame([("b", "192.0.2.2")], "source string, line string"), target, 2.0)
+        return commit(*arguments)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(feeds.snapshots, "commit", overtaken)
+        feeds.publish(spark.createDataFrame([("a", "192.0.2.1")], "source string, line string"), target, 1.0)
+    assert entries(feeds.read_published(spark, target)) == ["192.0.2.1", "192.0.2.2"]
+    assert feeds.snapshots.versions(spark, target) == [1, 2]
+
+
+def test_an_incomplete_version_is_passed_over(spark, tmp_path):
+    target = str(tmp_path / "feeds")
+    feeds.publish(spark.createDataFrame([("a", "192.0.2.1")], "source string, line string"), target, 1.0)
+    (tmp_path / "feeds" / "versions" / f"{2:012d}").write_text("")
+    assert feeds.published_version(spark, target) == 1
+    feeds.publish(spark.createDataFrame([("b", "192.0.2.2")], "source string, line string"), target, 2.0)
+    assert feeds.published_version(spark, target) == 3 and len(entries(feeds.read_published(spark, target))) == 2
+
+
+def test_snapshots_of_older_releases_are_read_and_carried_on(spark, tmp_path):
+    target = str(tmp_path / "feeds")
+    old = feeds.load_entries(spark.createDataFrame([("a", "192.0.2.1")], "source string, line string"))
+    old.write.partitionBy("source").parquet(f"{target}/networks")
+    feeds.store_meta(meta_frame(spark, a="5.0|1|u"), f"{target}/meta")
+    assert feeds.published_version(spark, target) == 0 and feeds.published_sources(spark, target) == ["a"]
+    feeds.publish(spark.createDataFrame([("b", "192.0.2.2")], "source string, line string"), target, 2.0)
+    assert entries(feeds.read_published(spark, target)) == ["192.0.2.1", "192.0.2.2"]
+    assert feeds.published_sources(spark, target, 0) == ["a"]
+
+
+def test_only_stale_sources_are_refreshed(spark, tmp_path):
+    target = str(tmp_path / "feeds")
+    landing = land(tmp_path / "landing", firehol_level1="192.0.2.0/24\n")
+    jobs.publish_feeds(spark, landing, target, 100_000.0, only_stale=True)
+    land(tmp_path / "landing", firehol_level1="203.0.113.0/24\n", emerging_threats="198.51.100.7\n")
+    jobs.publish_feeds(spark, landing, target, 100_060.0, only_stale=True)
+    assert entries(feeds.read_published(spark, target)) == ["192.0.2.0/24", "198.51.100.7"]
+    assert jobs.stale_sources(spark, target, 100_060.0, ["firehol_level1", "other"]) == ["other"]
+    jobs.publish_feeds(spark, landing, target, 186_401.0, only_stale=True)
+    stamps = {r.source: r.timestamp for r in feeds.read_published_meta(spark, target).collect()}
+    assert stamps == {"firehol_level1": 186_401.0, "emerging_threats": 100_060.0}
+
+
+def test_older_metadata_is_stored_again_as_json(spark, tmp_path):
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "a.meta").write_text("1609459200.0|7|https://example.com/a")
+    (tmp_path / "old" / "b.meta").write_text('{"timestamp": 5.5, "count": 1, "url": "u"}')
+    (tmp_path / "old" / "c.meta").write_text("broken")
+    rows = {r.source: r for r in jobs.convert_metadata(spark, str(tmp_path / "old"), str(tmp_path / "new")).collect()}
+    assert set(rows) == {"a", "b"} and rows["a"].url == "https://example.com/a" and rows["b"].timestamp == 5.5
+    assert rows["a"].hash == hashlib.md5(b"1609459200.0:7:https://example.com/a").hexdigest()
+    texts = [json.loads(f.read_text()) for f in (tmp_path / "new").glob("source=a/*.json")]
+    assert [t["count"] for t in texts] == [7]

@@ -195,3 +195,34 @@ def test_streams(spark, inputs):
     second = run_both()
     assert second.count() == 41
     assert second.where("src_ip = '9.9.9.9' AND threat_is_malicious").count() == 1
+
+
+def test_a_repeated_batch_uses_the_feeds_it_used_before(spark, inputs):
+    """A batch fails after its work, the feeds change, the batch runs again."""
+    landing, target, output = str(inputs / "landing"), str(inputs / "feeds"), str(inputs / "replayed")
+    jobs.publish_feeds(spark, landing, target, 5.0)
+    jobs.parse_logs(spark, str(inputs / "logs"), str(inputs / "parsed"))
+
+    def run(fails):
+        enrich, state = pipelines.enrich, str(inputs / "state")
+
+        def broken(*arguments, **options):
+            enrich(*arguments, **options).write.mode("overwrite").parquet(f"{output}/batch_id=0")
+            raise RuntimeError("lost")
+
+        with pytest.MonkeyPatch.context() as patch:
+            if fails:
+                patch.setattr(pipelines, "enrich", broken)
+            query = pipelines.start_enrich(spark, str(inputs / "parsed"), output, state, feeds_path=target, available_now=True)
+            query.awaitTermination()
+        return spark.read.parquet(output)
+
+    with pytest.raises(Exception, match="lost"):
+        run(fails=True)
+    before = {(r.src_ip, r.threat_is_malicious) for r in spark.read.parquet(output).collect()}
+    (inputs / "landing" / "emerging_threats.txt").write_text("9.9.9.9\n")
+    (inputs / "landing" / "firehol_level1.netset").write_text("9.9.9.0/24\n")
+    jobs.publish_feeds(spark, landing, target, 6.0)
+    rows = run(fails=False)
+    assert rows.count() == 40 and {(r.src_ip, r.threat_is_malicious) for r in rows.collect()} == before
+    assert rows.where("src_ip = '9.9.9.9' AND threat_is_malicious").count() == 0

@@ -11,6 +11,7 @@ from wallscope.operators import enrich as enrichment
 from wallscope.operators.feedinfo import feed_info, staleness
 from wallscope.operators.parse import parse_lines
 from wallscope.plans import reports
+from wallscope.schemas import FEED_META
 from wallscope.session import materialize, scratch_scope
 from wallscope.sources import feeds
 from wallscope.sources.logs import DEFAULT_PATTERN, read_lines, read_table, write_table
@@ -46,8 +47,9 @@ def enrich_logs(
     """
     geo = read_table(spark, geo_path) if geo_path else None
     asn = read_table(spark, asn_path) if asn_path else None
-    threats = feeds.read_published(spark, feeds_path) if feeds_path else None
-    sources = feeds.published_sources(spark, feeds_path) if feeds_path else None
+    version = feeds.published_version(spark, feeds_path) if feeds_path else None
+    threats = feeds.read_published(spark, feeds_path, version) if feeds_path else None
+    sources = feeds.published_sources(spark, feeds_path, version) if feeds_path else None
     events = read_table(spark, logs) if isinstance(logs, str) else logs
     if output_path is None:
         return enrichment.enrich(events, ip_column, geo, asn, threats, sources)
@@ -162,16 +164,39 @@ def publish_feeds(
     now: float,
     sources: Sequence[str] | None = None,
     pattern: str = "*",
+    only_stale: bool = False,
 ) -> DataFrame:
     """Publish raw feed files that have landed; the name before the suffix is the source.
 
-    ``sources`` limits and names what is published; default: the default feeds.
+    ``sources`` limits and names what is published; default: the default feeds. With
+    ``only_stale`` those whose published snapshot is still fresh at ``now`` are left alone.
     """
     lines = feeds.read_feed_lines(spark, landing_path, pattern)
     wanted = list(sources) if sources else list(feeds.DEFAULT_SOURCES)
+    if only_stale:
+        wanted = stale_sources(spark, feeds_path, now, wanted)
+        if not wanted:
+            return feeds.read_published_meta(spark, feeds_path)
     return feeds.publish(feeds.select_sources(lines, wanted), feeds_path, now)
 
 
+def stale_sources(spark: SparkSession, feeds_path: str, now: float, sources: Sequence[str]) -> list[str]:
+    """Those of ``sources`` that were never published or need a refresh at ``now``."""
+    try:
+        meta = feeds.read_published_meta(spark, feeds_path)
+    except FileNotFoundError:
+        return list(sources)
+    # A row per source.
+    fresh = {row.source for row in staleness(meta, now).where("NOT needs_refresh").collect()}
+    return [source for source in sources if source not in fresh]
+
+
+def convert_metadata(spark: SparkSession, meta_path: str, output_path: str) -> DataFrame:
+    """Metadata files of any age, stored again as JSON; returns what is stored (``FEED_META``)."""
+    feeds.store_meta(feeds.parse_meta(feeds.read_meta_files(spark, meta_path)), output_path)
+    return spark.read.schema(FEED_META).json(output_path).select(*FEED_META.fieldNames())
+
+
 def publish_outcome(spark: SparkSession, feeds_path: str, now: float, sources: Sequence[str]) -> DataFrame:
     """What publishing at ``now`` did for each source: published, kept (its old snapshot) or missing."""
     asked = spark.createDataFrame([(source,) for source in sources], "source string").distinct()

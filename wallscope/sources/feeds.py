@@ -11,6 +11,7 @@ from wallscope.functions.addresses import with_network_key
 from wallscope.functions.text import WHITESPACE_CLASS, float_text, strip, usable_time
 from wallscope.schemas import FEED_META, THREAT_NETWORK
 from wallscope.session import materialize, scratch_scope
+from wallscope.sources import snapshots
 from wallscope.sources.logs import path_exists
 
 # The feeds read by default and the optional ones, by name.
@@ -148,21 +149,25 @@ def publish(
 ) -> DataFrame:
     """Publish a snapshot of the landed feeds below ``path``; returns its metadata.
 
-    Every source is a partition and partitions are overwritten dynamically: a
-    source with at least one valid entry replaces its old snapshot, a source
-    without any writes no file and keeps the old one.
+    The new version holds the sources that have at least one valid entry and, of all
+    others, what the version before had. Entries and metadata change together, and
+    only once both are written (``snapshots``). Of two jobs that publish at once, the
+    second merges with what the first one made.
     """
     spark = feed_lines.sparkSession
     with scratch_scope(spark):
-        _write_snapshot(feed_lines, path, now, {**DEFAULT_SOURCES, **EXTRA_SOURCES, **(urls or {})})
+        entries = materialize(load_entries(normalize(feed_lines)), "feed-entries")
+        known = {**DEFAULT_SOURCES, **EXTRA_SOURCES, **(urls or {})}
+        while True:
+            before = snapshots.current(spark, path)
+            name, folder = snapshots.new_folder(path)
+            _write_snapshot(entries, _metadata(entries, now, known), path, before, folder)
+            if snapshots.commit(spark, path, before, name) is not None:
+                break
     return read_published_meta(spark, path)
 
 
-def _write_snapshot(feed_lines: DataFrame, path: str, now: float, urls: Mapping[str, str]) -> None:
-    entries = materialize(load_entries(normalize(feed_lines)), "feed-entries")
-    # Rebalancing spreads a big source over several files instead of one task.
-    _overwrite_sources(entries.hint("rebalance", "source"), f"{path}/{NETWORKS_FOLDER}", "parquet")
-
+def _metadata(entries: DataFrame, now: float, urls: Mapping[str, str]) -> DataFrame:
     names = F.create_map(*[F.lit(text) for pair in urls.items() for text in pair])
     counts = entries.groupBy("source").agg(F.count("*").alias("count"))
     meta = counts.select(
@@ -170,37 +175,57 @@ def _write_snapshot(feed_lines: DataFrame, path: str, now: float, urls: Mapping[
         F.lit(float(now)).alias("timestamp"),
         "count",
         F.coalesce(F.try_element_at(names, F.col("source")), F.lit("Unknown")).alias("url"),
-    ).withColumn("hash", meta_hash(F.col("timestamp"), F.col("count"), F.col("url")))
-    # One small row per source: one file each is what is wanted here.
-    _overwrite_sources(meta.repartition("source"), f"{path}/{META_FOLDER}", "json")
-
-
-def _overwrite_sources(df: DataFrame, path: str, file_format: str) -> None:
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("source")
-        .format(file_format)
-        .save(path)
     )
+    return meta.withColumn("hash", meta_hash(F.col("timestamp"), F.col("count"), F.col("url")))
+
+
+def _write_snapshot(entries: DataFrame, meta: DataFrame, path: str, before: int | None, folder: str) -> None:
+    spark = entries.sparkSession
+    if before is not None or path_exists(spark, f"{path}/{NETWORKS_FOLDER}"):
+        # A row per source.
+        renewed = F.broadcast(meta.select("source"))
+        entries = entries.unionByName(read_published(spark, path, before).join(renewed, "source", "left_anti"))
+        meta = meta.unionByName(read_published_meta(spark, path, before).join(renewed, "source", "left_anti"))
+    # Rebalancing spreads a big source over several files instead of one task.
+    entries.hint("rebalance", "source").write.partitionBy("source").parquet(f"{folder}/{NETWORKS_FOLDER}")
+    store_meta(meta, f"{folder}/{META_FOLDER}")
+
+
+def store_meta(meta: DataFrame, path: str) -> None:
+    """Usable metadata as JSON, a file per source; what was read in the older form is converted so."""
+    usable = meta.where(F.col("timestamp").isNotNull()).select(*FEED_META.fieldNames())
+    usable.repartition("source").write.mode("overwrite").partitionBy("source").json(path)
+
+
+def _snapshot_folder(spark: SparkSession, path: str, version: int | None) -> str:
+    """Where a version lies (the current one if None); ``path`` itself as older releases wrote it, version 0."""
+    number = snapshots.current(spark, path) if version is None else version
+    folder = snapshots.folder(spark, path, number) if number else path
+    if folder is None or not path_exists(spark, f"{folder}/{NETWORKS_FOLDER}"):
+        raise FileNotFoundError(f"no published feeds in {path}" + (f", version {version}" if version else ""))
+    return folder
+
+
+def published_version(spark: SparkSession, path: str) -> int:
+    """The number of the current snapshot, to read the same one again later."""
+    number = snapshots.current(spark, path) or 0
+    _snapshot_folder(spark, path, number)
+    return number
 
 
-def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """The current snapshot of all published sources (``THREAT_NETWORK``)."""
-    table = f"{path}/{NETWORKS_FOLDER}"
-    if not path_exists(spark, table):
-        raise FileNotFoundError(f"no published feeds in {path}")
+def read_published(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A snapshot of all published sources (``THREAT_NETWORK``): the current one or a given version."""
+    table = f"{_snapshot_folder(spark, path, version)}/{NETWORKS_FOLDER}"
     return spark.read.schema(THREAT_NETWORK).parquet(table).select(*THREAT_NETWORK.fieldNames())
 
 
-def read_published_meta(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata of the current snapshot (``FEED_META``)."""
-    table = f"{path}/{META_FOLDER}"
-    if not path_exists(spark, table):
-        raise FileNotFoundError(f"no published feed metadata in {path}")
+def read_published_meta(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Metadata of a snapshot (``FEED_META``)."""
+    table = f"{_snapshot_folder(spark, path, version)}/{META_FOLDER}"
     return spark.read.schema(FEED_META).json(table).select(*FEED_META.fieldNames())
 
 
-def published_sources(spark: SparkSession, path: str) -> list[str]:
+def published_sources(spark: SparkSession, path: str, version: int | None = None) -> list[str]:
     """Names of the published sources, one partition folder each."""
-    return [row.source for row in read_published_meta(spark, path).select("source").distinct().sort("source").collect()]
+    meta = read_published_meta(spark, path, version)
+    return [row.source for row in meta.select("source").distinct().sort("source").collect()]

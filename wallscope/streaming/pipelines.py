@@ -11,10 +11,13 @@ from wallscope.operators.enrich import enrich
 from wallscope.operators.parse import parse_lines
 from wallscope.schemas import PARSED
 from wallscope.session import scratch_scope
-from wallscope.sources.feeds import published_sources, read_published
+from wallscope.sources import snapshots
+from wallscope.sources.feeds import published_sources, published_version, read_published
 from wallscope.sources.logs import DEFAULT_PATTERN
 
 BATCH_COLUMN = "batch_id"
+# Readers of the output skip folders with an underscore.
+VERSIONS_FOLDER = "_feed_versions"
 
 
 def stream_parsed(
@@ -43,6 +46,13 @@ def start_parse(
     return writer.trigger(**trigger).start(output)
 
 
+def pinned_version(spark: SparkSession, feeds_path: str, output: str, batch_id: int) -> int:
+    """The version of the feeds for a batch: the recorded one, else the current one, which gets recorded."""
+    record = f"{output}/{VERSIONS_FOLDER}/{BATCH_COLUMN}={batch_id}"
+    snapshots.create(spark, record, str(published_version(spark, feeds_path)))
+    return int(snapshots.read(spark, record))
+
+
 def start_enrich(
     spark: SparkSession,
     parsed_path: str,
@@ -59,16 +69,19 @@ def start_enrich(
     """Enrich a parsed folder as it grows, with the batch operators.
 
     Network tables and feed snapshots are looked up anew for every micro-batch,
-    so a refreshed feed takes effect without a restart. A batch that is repeated
-    after a failure replaces its own folder ``batch_id=<n>``. Its files are read
+    so a refreshed feed takes effect without a restart. The version of the feeds
+    that a batch uses is recorded before its work begins: a batch that is repeated
+    after a failure uses the same one, whatever was published since, and replaces
+    its own folder ``batch_id=<n>``. Its files are read
     twice, for addresses and for rows, and not copied; ``max_files_per_trigger``
     bounds a batch, the first one too.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        threats = read_published(session, feeds_path) if feeds_path else None
-        sources = published_sources(session, feeds_path) if feeds_path else None
+        version = pinned_version(session, feeds_path, output, batch_id) if feeds_path else None
+        threats = read_published(session, feeds_path, version) if feeds_path else None
+        sources = published_sources(session, feeds_path, version) if feeds_path else None
         with scratch_scope(session):
             enriched = enrich(
                 batch,

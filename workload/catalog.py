@@ -13,6 +13,7 @@ from wallscope.operators import enrich, feedinfo
 from wallscope.operators.parse import rejected_lines
 from wallscope.operators.prefix_join import longest_match
 from wallscope.plans import jobs, reports
+from wallscope.schemas import FEED_META
 from wallscope.session import scratch_path
 from wallscope.sources import feeds, logs
 from wallscope.streaming import pipelines
@@ -204,6 +205,25 @@ def feed_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.join(meta.select("source", "timestamp", "count", "hash"), "source")
 
 
+@query
+def feed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts by a version that was current before the feeds were published anew."""
+    path = scratch_path(spark, "feeds")
+    raw = views.feed_lines(spark, sf_dir)
+    feeds.publish(raw, path, views.NOW)
+    version = feeds.published_version(spark, path)
+    feeds.publish(raw.withColumn("line", F.lit("192.0.2.1")), path, views.NOW + 60)
+    return enrich.network_matches(_distinct(spark, sf_dir), feeds.read_published(spark, path, version))
+
+
+@query
+def feed_meta_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of both forms, stored again as JSON."""
+    path = scratch_path(spark, "meta")
+    feeds.store_meta(feeds.parse_meta(views.feed_meta(spark, sf_dir)), path)
+    return spark.read.schema(FEED_META).json(path).select(*FEED_META.fieldNames())
+
+
 # --- geography ----------------------------------------------------------------------------
 
 

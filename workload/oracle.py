@@ -274,6 +274,8 @@ SELECT t.source, t.entry, m.timestamp, m.n AS count, md5(concat(CAST(m.timestamp
 FROM threat_entry t JOIN (SELECT source, count(*) AS n, CAST(CASE source WHEN 'firehol_level1' THEN {views.NOW} ELSE {views.NOW + 60} END AS DOUBLE) AS timestamp,
  CASE source WHEN 'firehol_level1' THEN 'https://raw.githubusercontent.com/firehol/blocklist-ipsets/master/firehol_level1.netset'
   ELSE 'https://rules.emergingthreats.net/fwrules/emerging-Block-IPs.txt' END AS url FROM threat_entry GROUP BY source) m ON t.source = m.source""",
+    "feed_replay": "SELECT h.ip, h.source FROM threat_hit h WHERE h.ip IN (SELECT ip FROM source_ip)",
+    "feed_meta_json": "SELECT source, timestamp, count, url, hash FROM meta WHERE timestamp IS NOT NULL",
     "geo_lpm": f"SELECT s.ip, {_PLEN}, network, country_name, city FROM source_ip s LEFT JOIN geo_hit g ON s.ip = g.ip",
     "asn_lpm": f"SELECT s.ip, {_PLEN}, network, CAST(asn AS BIGINT) AS asn, asn_org FROM source_ip s LEFT JOIN asn_hit g ON s.ip = g.ip",
     "enrich_geo": f"SELECT event_id, src_ip, {_geo} FROM enriched",
