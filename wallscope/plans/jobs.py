@@ -12,7 +12,7 @@ from wallscope.operators.feedinfo import feed_info, staleness
 from wallscope.operators.parse import parse_lines
 from wallscope.plans import reports
 from wallscope.schemas import FEED_META
-from wallscope.session import materialize, scratch_scope
+from wallscope.session import scratch_scope
 from wallscope.sources import feeds
 from wallscope.sources.logs import DEFAULT_PATTERN, read_lines, read_table, write_table
 from wallscope.sources.networks import asn_networks, geo_networks
@@ -109,52 +109,61 @@ def traffic_reports(
 ) -> dict[str, DataFrame]:
     """The selected reports by name; cities and countries are always included.
 
-    The log is read for one stored ``reports.compact`` table, which serves all reports but
-    hours and source ports, and once for each of these. A selected report whose columns
-    are missing is left out; ``on_skip`` gets its name and the columns.
+    The log is read once, for one stored table of the sets of columns that the selected
+    reports group by (``reports.grouped``). A selected report whose columns are missing is
+    left out; ``on_skip`` gets its name and the columns.
     """
     enrichment.require_columns(df, "geo_city", "geo_country_name", "dst_port", "src_ip")
-    rows = materialize(reports.compact(df), "report-rows")
-    selected = {
-        "top_cities": reports.top_cities(rows, number),
-        "city_ports": reports.city_ports(rows, number, ports),
-        "top_countries": reports.top_countries(rows, number),
-        "country_ports": reports.country_ports(rows, number, ports),
+    sets: dict[str, list[str]] = {
+        "city": ["geo_city", "dst_port", "src_ip"],
+        "country": ["geo_country_name", "dst_port", "src_ip"],
+    }
+    build: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
+        "top_cities": ("city", lambda rows: reports.top_cities(rows, number)),
+        "city_ports": ("city", lambda rows: reports.city_ports(rows, number, ports)),
+        "top_countries": ("country", lambda rows: reports.top_countries(rows, number)),
+        "country_ports": ("country", lambda rows: reports.country_ports(rows, number, ports)),
     }
 
-    def add(name: str, present: bool, needed: str, report: Callable[[], DataFrame]) -> None:
-        if present:
-            selected[name] = report()
-        else:
+    def add(name: str, columns: Sequence[str] | None, needed: str, report: Callable[[DataFrame], DataFrame]) -> None:
+        """A report of rows grouped by ``columns``; None if some of those ``needed`` are missing."""
+        if columns is None:
             on_skip(name, needed)
+            return
+        key = ",".join(columns)
+        sets[key] = list(columns)
+        build[name] = (key, report)
 
-    def has(*columns: str) -> bool:
-        return all(column in df.columns for column in columns)
+    def given(*columns: str) -> list[str] | None:
+        return list(columns) if all(column in df.columns for column in columns) else None
 
     if protocol:
-        add("protocol_distribution", has("protocol"), "protocol", lambda: reports.protocol_distribution(rows))
+        add("protocol_distribution", given("protocol"), "protocol", reports.protocol_distribution)
     if hourly:
-        timed = has("timestamp_local") or has("timestamp")
-        add("hourly_traffic", timed, "timestamp_local or timestamp", lambda: reports.hourly_traffic(df))
+        timed = given("timestamp_local") or given("timestamp")
+        if timed:
+            df = df.withColumn("hour", reports.hour_of(df))
+        add("hourly_traffic", ["hour"] if timed else None, "timestamp_local or timestamp", reports.hour_distribution)
     if source_ports:
-        add("source_ports", has("src_port"), "src_port", lambda: reports.source_ports(df))
+        add("source_ports", given("src_port"), "src_port", reports.source_ports)
     if interfaces:
-        add("interface_distribution", has("interface"), "interface", lambda: reports.interface_distribution(rows))
-        both = has("interface", "direction")
-        add("interface_directions", both, "interface, direction", lambda: reports.interface_directions(rows))
-    has_asn = reports.asn_columns(df) is not None
+        add("interface_distribution", given("interface"), "interface", reports.interface_distribution)
+        both = given("interface", "direction")
+        add("interface_directions", both, "interface, direction", reports.interface_directions)
+    owner = reports.asn_columns(df)
     if asn:
-        add("top_asns", has_asn, "asn, asn_org", lambda: reports.top_asns(rows, number))
-        add("asn_ports", has_asn, "asn, asn_org", lambda: reports.asn_ports(rows, number, ports))
+        owned = [*owner, "dst_port", "src_ip"] if owner else None
+        add("top_asns", owned, "asn, asn_org", lambda rows: reports.top_asns(rows, number))
+        add("asn_ports", owned, "asn, asn_org", lambda rows: reports.asn_ports(rows, number, ports))
     if threat_intel:
         flag = enrichment.MALICIOUS
-        known = has(flag)
-        sources = known and bool(reports.threat_source_columns(df))
-        add("threat_summary", known, flag, lambda: reports.threat_summary(rows))
-        add("threat_by_source", sources, "threat_<source>", lambda: reports.threat_by_source(rows))
-        add("threat_by_country", known, flag, lambda: reports.threat_by_country(rows))
-        add("threat_by_asn", known and has_asn, f"{flag}, asn, asn_org", lambda: reports.threat_by_asn(rows))
-    return selected
+        flags = reports.threat_source_columns(df)
+        add("threat_summary", given(flag), flag, reports.threat_summary)
+        add("threat_by_source", given(flag, *flags) if flags else None, "threat_<source>", reports.threat_by_source)
+        add("threat_by_country", given("geo_country_name", flag), flag, reports.threat_by_country)
+        add("threat_by_asn", given(*owner, flag) if owner else None, f"{flag}, asn, asn_org", reports.threat_by_asn)
+    tables = reports.grouped(df, sets)
+    return {name: report(tables[key]) for name, (key, report) in build.items()}
 
 
 def publish_feeds(

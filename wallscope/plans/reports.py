@@ -7,7 +7,7 @@ a join or a single-partition window for its percentages.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,13 +15,11 @@ from pyspark.sql import functions as F
 from wallscope.functions.services import UNKNOWN, service_name
 from wallscope.functions.text import percent
 from wallscope.operators.enrich import MALICIOUS, require_columns
+from wallscope.session import materialize
 
-#: Column of ``compact`` tables: how many log rows a row stands for.
+#: Column of tables made by ``grouped``: how many log rows a row stands for.
 ROWS = "__rows"
-COMPACT_COLUMNS = (
-    "geo_city", "geo_country_name", "asn", "asn_org", "geo_asn", "geo_asn_org",
-    "dst_port", "src_ip", "protocol", "interface", "direction",
-)
+_SET = "__set"
 
 TOP_LOCATIONS = 10
 TOP_PORTS = 5
@@ -29,14 +27,25 @@ TOP_SOURCE_PORTS = 10
 TOP_THREATS = 10
 
 
-def compact(df: DataFrame) -> DataFrame:
-    """One row per combination of what locations, threats, protocols and interfaces are reported by.
+def grouped(df: DataFrame, sets: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """For each named set of columns its combinations with the number of their rows.
 
-    Source ports and times are left out: with them hardly two log rows would be alike.
-    Stored once, it serves every other report, with the same results as the log itself.
+    The log is read once, by one expansion and one aggregation over all sets; each set's
+    rows are combined within the tasks before they are shuffled. The result is stored, a
+    folder per set. Reports take such a table in place of the log, with the same results.
     """
-    keys = [name for name in (*COMPACT_COLUMNS, MALICIOUS, *threat_source_columns(df)) if name in df.columns]
-    return df.groupBy(*keys).agg(F.count("*").alias(ROWS))
+    columns = sorted({name for names in sets.values() for name in names})
+    # The bit of a column that is not in the set is 1, the first column's bit the highest.
+    numbers = {
+        name: sum(1 << (len(columns) - 1 - i) for i, column in enumerate(columns) if column not in names)
+        for name, names in sets.items()
+    }
+    wanted = {numbers[name]: [F.col(f"`{c}`") for c in names] for name, names in sets.items()}
+    keys = [F.col(f"`{c}`") for c in columns]
+    counts = df.select(*keys).groupingSets(list(wanted.values()), *keys)
+    counts = counts.agg(F.count("*").alias(ROWS), F.grouping_id().alias(_SET))
+    table = materialize(counts, "report-sets", by=_SET)
+    return {name: table.where(F.col(_SET) == numbers[name]).select(*names, ROWS) for name, names in sets.items()}
 
 
 def _rows(df: DataFrame, condition: Column | None = None) -> Column:
@@ -88,10 +97,18 @@ def hourly_traffic(df: DataFrame) -> DataFrame:
     A table without ``timestamp_local`` may have ``timestamp``, as a time (of the session's
     zone) or as text, whose zone is not applied; text that is no time counts as NULL.
     """
+    return hour_distribution(df.select(hour_of(df).alias("hour")))
+
+
+def hour_of(df: DataFrame) -> Column:
+    """The hour of the log's own wall clock."""
     name = "timestamp_local" if "timestamp_local" in df.columns else "timestamp"
     require_columns(df, name)
-    hours = df.select(F.hour(F.col(name).try_cast("timestamp_ntz")).cast("int").alias("hour"))
-    return value_distribution(hours, "hour").orderBy("hour")
+    return F.hour(F.col(name).try_cast("timestamp_ntz")).cast("int")
+
+
+def hour_distribution(df: DataFrame) -> DataFrame:
+    return value_distribution(df, "hour").orderBy("hour")
 
 
 def source_ports(df: DataFrame, limit: int = TOP_SOURCE_PORTS) -> DataFrame:
