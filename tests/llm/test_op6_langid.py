@@ -1,5 +1,10 @@
+import math
+import random
+import resource
 import zlib
 
+import numpy as np
+
 from wallscope.llm import op6_langid as op
 from wallscope.llm import queries
 
@@ -29,3 +34,61 @@ def test_odd_rows(spark):
     assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3
     assert got[904].lang_pred == "de" and got[None].lang_pred == "en" and got[903].lang_pred != "und"
     assert op.identify(docs.limit(0)).count() == 0
+
+
+def grams(text):
+    """Hashed places of all byte n-grams, one at a time."""
+    raw, out = text.lower().encode(), set()
+    for n in range(1, op.GRAMS + 1):
+        for k in range(len(raw) - n + 1):
+            code = int.from_bytes(raw[k : k + n], "big") + (n << 40)
+            out.add(code * int(op.STEP) % (1 << 64) >> (64 - op.DIMENSIONS.bit_length() + 1))
+    return out
+
+
+def plain_kernel(a, b):
+    return len(a & b) / math.sqrt(max(len(a), 1) * max(len(b), 1))
+
+
+def test_kernel_features_and_solution_equal_a_plain_version():
+    draw = random.Random(3)
+    words = {"en": "the and of to with house water".split(), "de": "der und von zu mit haus wasser".split(), "fr": "le et de à avec maison eau".split()}
+    langs = [draw.choice(sorted(words)) for _ in range(90)]
+    texts = [" ".join(draw.choice(words[lang]) for _ in range(draw.randint(1, 9))) for lang in langs]
+    rows = op.presence([t.encode() for t in texts])
+    sets = [grams(t) for t in texts]
+    assert [set(np.flatnonzero(r).tolist()) for r in rows] == sets
+    model = op.solve(np.packbits(rows.astype(bool), axis=1), langs, landmarks=20)
+    marks = [set(np.flatnonzero(r).tolist()) for r in op.unpack(model.landmarks)]
+    assert len(marks) == 20
+    # Ridge regression on Nyström features, written with kernels only.
+    k_nm = np.array([[plain_kernel(a, b) for b in marks] for a in sets])
+    k_mm = np.array([[plain_kernel(a, b) for b in marks] for a in marks])
+    weight = np.diag([len(langs) / (3 * langs.count(lang)) for lang in langs])
+    signs = np.array([[1.0 if lang == x else -1.0 for x in model.languages] for lang in langs])
+    solution = np.linalg.solve(k_nm.T @ weight @ k_nm + 1e-3 * len(langs) * k_mm, k_nm.T @ weight @ signs)
+    got = op.kernel(rows, op.unpack(model.landmarks)) @ model.weights
+    assert np.abs(got - k_nm @ solution).max() < 1e-3
+
+
+def test_six_hundred_languages_within_a_gigabyte():
+    random_ = np.random.default_rng(5)
+    langs = [f"l{k:03d}" for k in range(600) for _ in range(20)]
+    own = random_.random((600, op.DIMENSIONS)) < 0.05
+    bits = np.packbits(np.concatenate([own[k : k + 1] & (random_.random((20, op.DIMENSIONS)) < 0.7) for k in range(600)]), axis=1)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    model = op.solve(bits, langs)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20
+    assert len(model.languages) == 600 and {langs[k] for k in range(0, 12000, 20)} == set(model.languages)
+    got = op.kernel(own.astype(np.float32), op.unpack(model.landmarks)) @ model.weights
+    assert (got.argmax(1) == np.arange(600)).mean() > 0.99
+
+
+def test_repeated_doc_ids_and_small_languages_are_learned_once(spark):
+    rows = [(1, f"l{k}", f"word{k} text{k} " * 3) for k in range(5)] + [(2, "aa", "hello hello")] * 50
+    rows += [(10 + k, "bb", "bonjour monde") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    learned = [i for i in (1, 2) if zlib.crc32(str(i).encode()) % 3 != 1]
+    model = op.fit(docs, per_language=3)
+    assert {"bb"} | ({"aa"} if 2 in learned else set()) | ({"l0"} if 1 in learned else set()) == set(model.languages)
+    assert len(model.landmarks) <= 3 + len(learned)

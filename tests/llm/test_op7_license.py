@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 
@@ -23,6 +25,19 @@ def expected(text):
     return len(words), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in hits}))
 
 
+def evidence(text):
+    """Labels of all phrases, and the share of words that belong to one."""
+    words = WORD.findall(lower(text or ""))
+    labels, covered = set(), set()
+    for phrase, label in {**op7_license.BASE, **op7_license.NOTICES}.items():
+        parts = phrase.split()
+        for i in range(len(words) - len(parts) + 1):
+            if words[i : i + len(parts)] == parts:
+                labels.add(label)
+                covered |= set(range(i, i + len(parts)))
+    return ",".join(sorted(labels)), len(covered) / max(len(words), 1)
+
+
 def test_query_equals_brute_force(spark):
     sf_dir = "/root/testdata/sf0.001"
     got = {r.doc_id: r for r in queries.QUERIES["op7_license"](spark, sf_dir).collect()}
@@ -30,7 +45,9 @@ def test_query_equals_brute_force(spark):
         r = got[row.doc_id]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == expected(row.text)
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
-        assert 0 <= r.score <= 1
+        if not r.expressions:
+            labels, score = evidence(row.text)
+            assert (r.labels, r.score) == (labels, pytest.approx(score))
 
 
 @pytest.mark.parametrize(
@@ -39,6 +56,10 @@ def test_query_equals_brute_force(spark):
         ("SPDX-License-Identifier: MIT OR GPL-2.0-only", "gpl-2.0-only,mit", True),
         ("x\n// spdx-license-identifier: (MIT AND GPL-2.0-only) or Apache-2.0 */", "apache-2.0,gpl-2.0-only,mit", True),
         ("SPDX-License-Identifier: MIT AND GPL-2.0-only WITH Classpath-exception-2.0", "gpl-2.0-only,mit", False),
+        ("License-Expression: ISC", "isc", True),
+        ("xSPDX-License-Identifier: MIT", "", None),
+        ("xSPDX-License-Identifier: MIT spdx license identifier", "", None),
+        ("a-spdx-license-identifier: MIT\r\nSPDX-License-Identifier:ISC\rSPDX-License-Identifier: 0BSD", "0bsd,isc,mit", True),
         ("SPDX-License-Identifier: OR MIT", "", None),
         ("SPDX-License-Identifier: (MIT", "", None),
         ("MIT licENSE, apache\nlicense general-public-license ünmit license", "apache,gpl,mit", None),
@@ -54,5 +75,33 @@ def test_labels(spark, text, labels, permitted):
     assert (row.n_words, row.n_base, row.first_word, row.last_word, row.base_labels) == expected(text)
 
 
+def test_every_notice_is_found_and_scored():
+    draw = random.Random(1)
+    phrases = [*op7_license.BASE, *op7_license.NOTICES]
+    for phrase in phrases:
+        assert op7_license.scan_text(f"x {phrase.upper()} y".encode(), frozenset())[5] == evidence(phrase)[0] != ""
+    for _ in range(60):
+        parts = [draw.choice([*phrases, "by", "license", "cc", "gnu general", "words"]) for _ in range(draw.randrange(12))]
+        text = draw.choice([" ", ". ", "\n"]).join(parts)
+        found = op7_license.scan_text(text.encode(), frozenset())
+        assert (found[5], found[6]) == (evidence(text)[0], pytest.approx(evidence(text)[1]))
+        assert found[:5] == expected(text)
+
+
+def test_time_grows_with_the_text():
+    def seconds(n):
+        raw, start = b"mit license " * n, time.perf_counter()
+        assert op7_license.scan_text(raw, frozenset())[1] == n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(160_000) < 40 * max(seconds(20_000), 0.01)
+
+
+def test_contract_columns_come_first(spark):
+    names = op7_license.scan(spark.createDataFrame([], "doc_id long, text string")).columns
+    assert names[:8] == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+
+
 def test_empty_table(spark):
     assert op7_license.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -6,13 +6,16 @@ intersection over the geometric mean of their sizes. Nyström landmarks turn it
 features, on which one-versus-rest kernel ridge regression is solved in closed form.
 Scoring is one narrow stage of batched matrix products: presence x landmarks x weights.
 
-The model learns from at most ``per_language`` labelled documents of each of at most
-``MOST_LANGUAGES`` languages, drawn by a hash of doc_id; only their presence bits reach the
-driver. Every row is scored on its whole text; lang, source and doc_id are not inputs.
+The model learns from every language that labels name, from at most ``per_language``
+documents of each and about ``sample_rows`` in all, drawn by a hash of doc_id; only their
+presence bits reach the driver, which works on them in blocks. Each language has a landmark
+at least. Every row is scored on its whole text; lang, source and doc_id are not inputs.
 
 Defined cases: ``und`` with score 0 for a null text, a text without a letter, and if nothing
-could be learned; rows with a null doc_id are scored but not learned from; ties go to the
-alphabetically first language; other columns are left out.
+could be learned; rows with a null doc_id are scored but not learned from; of the rows that
+share a doc_id at most one is learned from, and each is scored; ties go to the
+alphabetically first language; an empty table gives no rows; other columns are left out. A
+very long text is taken on its own and needs about 60 times its size while it is scored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from wallscope.llm.words import STEP
 
 DIMENSIONS = 8192
 GRAMS = 4
-MOST_LANGUAGES = 500
+PER_LANGUAGE, SAMPLE_ROWS, LANDMARKS = 400, 100_000, 192
 #: Texts whose presence vectors a task holds at once.
 BLOCK = 256
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -73,42 +76,55 @@ def unpack(bits: np.ndarray) -> np.ndarray:
     return np.unpackbits(bits, axis=1, count=DIMENSIONS).astype(np.float32)
 
 
-def solve(bits: np.ndarray, langs: list[str], landmarks: int = 192, ridge: float = 1e-3) -> Model:
-    """Nyström features of the landmarks (spread over the languages) and ridge regression on them."""
-    languages = sorted(set(langs))
-    target = np.array([languages.index(x) for x in langs])
+def solve(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-3) -> Model:
+    """Nyström features of the landmarks (spread over the languages) and ridge regression on them.
+
+    There are ``landmarks`` of them or as many as languages. Rows are unpacked in blocks, so
+    memory is that of the landmarks and of one block.
+    """
+    languages, target = np.unique(np.array(langs, object), return_inverse=True)
     turn = np.empty(len(langs), np.int64)
     for k in range(len(languages)):
         own = np.flatnonzero(target == k)
         turn[own] = np.arange(len(own))
-    chosen = np.lexsort((target, turn))[:landmarks]
-    x, marks = unpack(bits), unpack(bits[chosen])
+    chosen = np.lexsort((target, turn))[: max(landmarks, len(languages))]
+    marks = unpack(bits[chosen])
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    features = kernel(x, marks) @ root
-    signs = np.where(target[:, None] == np.arange(len(languages)), 1.0, -1.0)
     share = np.bincount(target)
-    weight = (len(target) / (len(languages) * share))[target][:, None]
-    gram = features.T @ (features * weight) + ridge * len(target) * np.eye(features.shape[1])
-    solution = np.linalg.solve(gram, features.T @ (signs * weight))
-    return Model(languages, bits[chosen], (root @ solution).astype(np.float32))
+    weights = (len(target) / (len(languages) * share))[target]
+    gram = ridge * len(target) * np.eye(root.shape[1])
+    right = np.zeros((root.shape[1], len(languages)))
+    for start in range(0, len(bits), BLOCK):
+        rows = slice(start, start + BLOCK)
+        features = kernel(unpack(bits[rows]), marks) @ root
+        weighted = features * weights[rows, None]
+        gram += features.T @ weighted
+        # Signs are 1 for the row's language and -1 for all others.
+        right -= weighted.sum(0)[:, None]
+        np.add.at(right.T, target[rows], 2 * weighted)
+    solution = np.linalg.solve(gram, right)
+    return Model(languages.tolist(), bits[chosen], (root @ solution).astype(np.float32))
 
 
 def has_letter(raw: bytes) -> bool:
     return bool(ASCII_LETTER.search(raw)) or bool(LETTER.search(raw.decode("utf-8", "replace")))
 
 
-def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Learn from the documents with a language whose crc32(doc_id) mod 3 is not 1; None without any."""
     bound_batches(docs.sparkSession)
     own = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     own = own.where(F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    # A row per language.
+    counts = own.groupBy("lang").count().toPandas()
+    if not len(counts):
         return None
+    most = max(1, min(per_language, sample_rows // len(counts)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     # A fifth more than asked for, as a hash doesn't hit the share exactly; the rest is cut off below.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.2 * per_language / r["count"]))])
+    counts["share"] = np.minimum(1.0, 1.2 * most / counts["count"])
+    share = docs.sparkSession.createDataFrame(counts[["lang", "share"]], "lang string, share double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,10 +135,11 @@ def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
                     rows = pa.array([b.tobytes() for b in bits], pa.binary())
                     yield pa.RecordBatch.from_arrays([cut.column("draw"), cut.column("lang"), rows], ["draw", "lang", "bits"])
 
-    sample = own.select(draw.alias("draw"), "lang", "text").where(F.col("draw") < F.element_at(share, F.col("lang")))
-    most = 2 * per_language * len(counts)
-    drawn = sample.mapInArrow(run, "draw double, lang string, bits binary").orderBy("draw").limit(most).toPandas()
-    drawn = drawn.sort_values(["draw", "lang", "bits"]).groupby("lang").head(per_language)
+    sample = own.withColumn("draw", draw).join(F.broadcast(share), "lang").where("draw < share")
+    one = F.min(F.struct("draw", "lang", "text")).alias("one")
+    sample = sample.groupBy("doc_id").agg(one).select("one.*")
+    drawn = sample.mapInArrow(run, "draw double, lang string, bits binary").limit(2 * most * len(counts)).toPandas()
+    drawn = drawn.sort_values(["draw", "lang", "bits"]).groupby("lang").head(most)
     bits = np.stack([np.frombuffer(b, np.uint8) for b in drawn["bits"]])
     return solve(bits, drawn["lang"].tolist())
 
@@ -154,5 +171,5 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-def identify(docs: DataFrame, per_language: int = 400) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     return predict(docs, fit(docs, per_language))
