@@ -9,13 +9,13 @@ from wallscope.sources import feeds
 from wallscope.sources.networks import asn_networks, geo_networks
 
 CITIES = [
-    ("8.8.0.0/16", "US", "United States", None, 37.751),
-    ("8.8.8.0/24", "US", "United States", "New York", 40.7128),
-    ("2606:4700::/32", "CA", "Canada", "Toronto", 43.7),
+    ("62.40.0.0/16", "NO", "Norway", None, 64.5),
+    ("62.40.8.0/24", "NO", "Norway", "Tromso", 69.65),
+    ("2a0c:9a40::/32", "PT", "Portugal", "Faro", 37.0),
     ("203.0.113.0/24", "XX", "Nowhere", "Hidden", 1.0),
     ("0.0.0.0/1", "ZZ", "Half", None, 0.0),
 ]
-OWNERS = [("8.8.8.0/24", 15169, "Google LLC"), ("9.9.9.0/24", 19281, None)]
+OWNERS = [("62.40.8.0/24", 64510, "Fjord Net"), ("91.20.3.0/24", 64511, None)]
 
 
 @pytest.fixture(scope="module")
@@ -41,8 +41,8 @@ def threat_frame(spark, **sets):
 def threats(spark):
     return threat_frame(
         spark,
-        source1=["192.0.2.1", "192.0.2.2", "198.51.100.0/24", "2001:db8::/32"],
-        source2=["203.0.113.1", "203.0.113.2"],
+        alpha=["45.83.1.9", "45.83.1.10", "77.91.64.0/20", "2a0c:9a40::/29"],
+        beta=["120.5.6.7", "120.5.6.8", "77.91.65.0/24"],
     )
 
 
@@ -51,21 +51,21 @@ def events(spark, *addresses):
     return spark.createDataFrame(rows, "id long, src_ip string, dst_ip string")
 
 
-ADDRESSES = ["8.8.8.8", "8.8.9.9", "8.8.8.8", "10.1.1.1", "203.0.113.1", "9.9.9.9", "2606:4700::1", "bad", None, "200.1.1.1"]
+ADDRESSES = ["62.40.8.21", "62.40.9.30", "62.40.8.21", "10.1.1.1", "203.0.113.77", "91.20.3.4", "2a0c:9a40::1", "bad", None, "200.1.1.1"]
 
 
 def test_geo(spark, geo, asn):
     rows = enrich.enrich_with_geolocation(events(spark, *ADDRESSES), geo, asn=asn).sort("id").collect()
     got = [(r.src_ip, r.geo_country_code, r.geo_city, r.geo_asn, r.geo_asn_org, r.geo_network) for r in rows]
-    google = (15169, "Google LLC", "8.8.8.0/24")
+    fjord = (64510, "Fjord Net", "62.40.8.0/24")
     assert got == [
-        ("8.8.8.8", "US", "New York", *google),
-        ("8.8.9.9", "US", None, None, None, None),
-        ("8.8.8.8", "US", "New York", *google),
+        ("62.40.8.21", "NO", "Tromso", *fjord),
+        ("62.40.9.30", "NO", None, None, None, None),
+        ("62.40.8.21", "NO", "Tromso", *fjord),
         ("10.1.1.1", None, None, None, None, None),  # private
-        ("203.0.113.1", None, None, None, None, None),  # documentation range
-        ("9.9.9.9", "ZZ", None, 19281, None, "9.9.9.0/24"),
-        ("2606:4700::1", "CA", "Toronto", None, None, None),
+        ("203.0.113.77", None, None, None, None, None),  # documentation range
+        ("91.20.3.4", "ZZ", None, 64511, None, "91.20.3.0/24"),
+        ("2a0c:9a40::1", "PT", "Faro", None, None, None),
         ("bad", None, None, None, None, None),
         (None, None, None, None, None, None),
         ("200.1.1.1", None, None, None, None, None),
@@ -73,7 +73,7 @@ def test_geo(spark, geo, asn):
 
 
 def test_columns(spark, geo):
-    frame = enrich.enrich_with_geolocation(events(spark, "8.8.8.8"), geo)
+    frame = enrich.enrich_with_geolocation(events(spark, "62.40.8.21"), geo)
     assert frame.columns == ["id", "src_ip", "dst_ip", *GEO_COLUMNS]
     types = dict(frame.dtypes)
     assert types["geo_asn"] == "bigint" and types["geo_accuracy_radius"] == "int"
@@ -81,13 +81,13 @@ def test_columns(spark, geo):
 
 
 def test_other_column_and_no_name_clash(spark, geo):
-    frame = events(spark, "8.8.8.8").withColumnsRenamed({"src_ip": "ip", "dst_ip": "n"})
+    frame = events(spark, "62.40.8.21").withColumnsRenamed({"src_ip": "ip", "dst_ip": "n"})
     (row,) = enrich.enrich_with_geolocation(frame, geo, "ip").collect()
-    assert (row.ip, row.n, row.geo_city) == ("8.8.8.8", "10.0.0.1", "New York")
+    assert (row.ip, row.n, row.geo_city) == ("62.40.8.21", "10.0.0.1", "Tromso")
 
 
 def test_enriching_again_replaces(spark, geo):
-    once = enrich.enrich_with_geolocation(events(spark, "8.8.8.8"), geo)
+    once = enrich.enrich_with_geolocation(events(spark, "62.40.8.21"), geo)
     again = enrich.enrich_with_geolocation(once, geo, "dst_ip")
     assert again.columns == once.columns
     assert again.first().geo_city is None
@@ -95,22 +95,22 @@ def test_enriching_again_replaces(spark, geo):
 
 def test_missing_column(spark, geo, threats):
     with pytest.raises(ValueError):
-        enrich.enrich_with_geolocation(events(spark, "8.8.8.8"), geo, "nope")
+        enrich.enrich_with_geolocation(events(spark, "62.40.8.21"), geo, "nope")
     with pytest.raises(ValueError):
-        enrich.enrich_with_threats(events(spark, "8.8.8.8"), threats, "nope")
+        enrich.enrich_with_threats(events(spark, "62.40.8.21"), threats, "nope")
 
 
 def test_empty_input(spark, geo, asn, threats):
-    frame = enrich.enrich(events(spark, "8.8.8.8").limit(0), "src_ip", geo, asn, threats, ["source1"])
+    frame = enrich.enrich(events(spark, "62.40.8.21").limit(0), "src_ip", geo, asn, threats, ["alpha"])
     assert frame.count() == 0
-    assert frame.columns == ["id", "src_ip", "dst_ip", *GEO_COLUMNS, MALICIOUS, "threat_source1"]
+    assert frame.columns == ["id", "src_ip", "dst_ip", *GEO_COLUMNS, MALICIOUS, "threat_alpha"]
 
 
 def test_threat_flags(spark):
-    listed = threat_frame(spark, source1=["192.0.2.1", "198.51.100.0/24"], source2=["203.0.113.1"])
-    frame = events(spark, "203.0.113.1", "192.0.2.1", "198.51.100.1", None, "bad", "8.8.8.8")
+    listed = threat_frame(spark, alpha=["45.83.1.9", "77.91.64.0/20"], beta=["120.5.6.7"])
+    frame = events(spark, "120.5.6.7", "45.83.1.9", "77.91.64.1", None, "bad", "62.40.8.21")
     rows = enrich.enrich_with_threats(frame, listed).sort("id").collect()
-    assert [(r[MALICIOUS], r.threat_source1, r.threat_source2) for r in rows] == [
+    assert [(r[MALICIOUS], r.threat_alpha, r.threat_beta) for r in rows] == [
         (True, False, True),
         (True, True, False),
         (True, True, False),
@@ -122,12 +122,12 @@ def test_threat_flags(spark):
 
 def test_no_address_at_all(spark, threats):
     rows = enrich.enrich_with_threats(events(spark, None, None), threats).collect()
-    assert [(r[MALICIOUS], r.threat_source1) for r in rows] == [(False, False)] * 2
+    assert [(r[MALICIOUS], r.threat_alpha) for r in rows] == [(False, False)] * 2
 
 
 def test_configured_source_without_entries(spark, threats):
-    (row,) = enrich.enrich_with_threats(events(spark, "192.0.2.1"), threats, sources=["source1", "empty"]).collect()
-    assert (row.threat_source1, row.threat_empty) == (True, False)
+    (row,) = enrich.enrich_with_threats(events(spark, "45.83.1.9"), threats, sources=["alpha", "empty"]).collect()
+    assert (row.threat_alpha, row.threat_empty) == (True, False)
 
 
 def addresses(spark, *texts):
@@ -135,36 +135,37 @@ def addresses(spark, *texts):
 
 
 def test_verdicts(spark, threats):
-    frame = addresses(spark, "192.0.2.1", "192.0.2.3", "invalid_ip", "198.51.100.42", "203.0.113.2", "2001:db8::9")
+    frame = addresses(spark, "45.83.1.9", "45.83.1.11", "invalid_ip", "77.91.70.2", "120.5.6.8", "2a0c:9a47::9", "77.91.65.3")
     rows = {row.ip: row.verdicts for row in enrich.verdicts(frame, threats).collect()}
     assert rows == {
-        "192.0.2.1": {"source1": True, "source2": False},
-        "192.0.2.3": {"source1": False, "source2": False},
-        "invalid_ip": {"source1": False, "source2": False},
-        "198.51.100.42": {"source1": True, "source2": False},
-        "203.0.113.2": {"source1": False, "source2": True},
-        "2001:db8::9": {"source1": True, "source2": False},
+        "45.83.1.9": {"alpha": True, "beta": False},
+        "45.83.1.11": {"alpha": False, "beta": False},
+        "invalid_ip": {"alpha": False, "beta": False},
+        "77.91.70.2": {"alpha": True, "beta": False},
+        "120.5.6.8": {"alpha": False, "beta": True},
+        "2a0c:9a47::9": {"alpha": True, "beta": False},
+        "77.91.65.3": {"alpha": True, "beta": True},
     }
     flags = {row.ip: row.is_malicious for row in enrich.is_malicious(frame, threats).collect()}
     assert flags == {ip: any(sources.values()) for ip, sources in rows.items()}
 
 
 def test_exact_and_network_matches(spark, threats):
-    frame = addresses(spark, "192.0.2.1", "198.51.100.42", "8.8.8.8", "10.0.0.1")
-    assert [tuple(r) for r in enrich.exact_matches(frame, threats).collect()] == [("192.0.2.1", "source1")]
+    frame = addresses(spark, "45.83.1.9", "77.91.70.2", "62.40.8.21", "10.0.0.1")
+    assert [tuple(r) for r in enrich.exact_matches(frame, threats).collect()] == [("45.83.1.9", "alpha")]
     got = sorted(tuple(r) for r in enrich.network_matches(frame, threats).collect())
-    assert got == [("192.0.2.1", "source1"), ("198.51.100.42", "source1")]
+    assert got == [("45.83.1.9", "alpha"), ("77.91.70.2", "alpha")]
 
 
 def test_batch_keeps_order_and_duplicates(spark, geo, asn):
-    listed = ["8.8.8.8", "bad", "10.0.0.1", "8.8.8.8", "9.9.9.9"]
+    listed = ["62.40.8.21", "bad", "10.0.0.1", "62.40.8.21", "91.20.3.4"]
     rows = enrich.lookup(spark, listed, geo, asn).collect()
     assert [(r.ip, r.city, r.asn) for r in rows] == [
-        ("8.8.8.8", "New York", 15169),
+        ("62.40.8.21", "Tromso", 64510),
         ("bad", None, None),
         ("10.0.0.1", None, None),
-        ("8.8.8.8", "New York", 15169),
-        ("9.9.9.9", None, 19281),
+        ("62.40.8.21", "Tromso", 64510),
+        ("91.20.3.4", None, 64511),
     ]
 
 
@@ -172,17 +173,17 @@ def test_location_counts(spark, geo):
     rows = enrich.location_counts(events(spark, *ADDRESSES), geo).collect()
     assert [tuple(r) for r in rows] == [
         (None, None, 5),
-        ("United States", "New York", 2),
-        ("Canada", "Toronto", 1),
+        ("Norway", "Tromso", 2),
         ("Half", None, 1),
-        ("United States", None, 1),
+        ("Norway", None, 1),
+        ("Portugal", "Faro", 1),
     ]
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
-def test_hot_addresses_join_without_shuffle(spark, geo, broadcast):
+def test_hot_addresses_are_spread_in_one_scan(spark, geo, broadcast):
     """A third of all rows from one address and a third without any address."""
-    texts = ["8.8.8.8"] * 300 + [None] * 300 + [f"8.8.{i % 20}.{i}" for i in range(1, 250)] + ["bad"] * 50
+    texts = ["62.40.8.21"] * 300 + [None] * 300 + [f"62.40.{i % 20}.{i}" for i in range(1, 250)] + ["bad"] * 50
     frame = materialize(events(spark, *texts), "events")
     table = materialize(enrich.build_address_table(enrich.address_counts(frame), geo), "addresses")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -190,23 +191,28 @@ def test_hot_addresses_join_without_shuffle(spark, geo, broadcast):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plain = enrich.attach(frame, table, "src_ip", GEO_COLUMNS)
-        split = enrich.attach(frame, table, "src_ip", GEO_COLUMNS, hot_rows=100, max_hot=100_000)
-        plan = split._jdf.queryExecution().executedPlan().toString()
+        spread = enrich.attach(frame, table, "src_ip", GEO_COLUMNS, hot_rows=100, max_hot=100_000)
+        plan = spread._jdf.queryExecution().executedPlan().toString()
         assert ("SortMergeJoin" in plan) == (not broadcast)
-        # The rows of hot addresses reach the result by broadcast alone.
         assert plan.count("Exchange hashpartitioning") == (0 if broadcast else 2)
-        assert split.count() == len(texts)
-        assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
+        scans = [line for line in plan.splitlines() if "FileScan" in line and "dst_ip" in line]
+        assert len(scans) == 1
+        assert spread.count() == len(texts)
+        assert sorted(map(str, spread.collect())) == sorted(map(str, plain.collect()))
+        # Rows of one address and rows without any meet more than one part.
+        parts = enrich.spread_rows(frame.selectExpr("*", "src_ip AS __ip"), table, 100).groupBy("src_ip").agg({"__salt": "max"})
+        most = {r[0]: r[1] for r in parts.collect()}
+        assert most["62.40.8.21"] == most[None] == 2 and most["bad"] == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_addresses_are_looked_up_once(spark, geo, asn, threats):
-    """One read of the events, one expansion and no window in the address table."""
+    """One read of the events, and no join of addresses with network boundaries."""
     frame = materialize(events(spark, *ADDRESSES), "events")
-    table = enrich.build_address_table(enrich.address_counts(frame), geo, asn, threats, ["source1", "source2"])
+    table = enrich.build_address_table(enrich.address_counts(frame), geo, asn, threats, ["alpha", "beta"])
     plan = table._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [id") + plan.count("Relation[id") == 1
-    assert "Window" not in plan and "Cross" not in plan
+    assert "Cross" not in plan
     physical = table._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in physical and "Cartesian" not in physical and "SortAggregate" not in physical

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from wallscope.functions.addresses import with_address_key, width_of
 from wallscope.operators.prefix_join import (
@@ -27,9 +28,9 @@ from wallscope.sources.networks import special_networks
 GEO_COLUMNS = [f"geo_{name}" for name in [*CITY.fieldNames(), *ASN.fieldNames()]]
 MALICIOUS = "threat_is_malicious"
 
-# An address with more rows than this is joined by broadcast instead of by
-# shuffle, so that no task gets all rows of a busy address. The share bounds how
-# many such addresses can exist, and with that the size of what is broadcast.
+# The rows of an address with more than this are dealt to several parts, so that no
+# task gets all rows of a busy address. The share bounds how many such addresses can
+# exist, and with that the size of what is broadcast and copied.
 HOT_ROWS = 1_000_000
 MAX_HOT_ADDRESSES = 100_000
 
@@ -159,9 +160,10 @@ def attach(
     """Left-join ``columns`` of a stored address table (``ip``, ``n``, ...) to events.
 
     Catalyst sees the size of the stored table and broadcasts it if it is small.
-    If it is not, events are shuffled by address, except those of hot addresses
-    (NULL counts as one): these join by broadcast and are never shuffled. Columns
-    of the same name in ``events`` are replaced.
+    If it is not, events are shuffled by address. Rows of hot addresses (NULL counts
+    as one) are dealt to several parts, each of which has its copy of the address row,
+    so the log is read once and no task gets all rows of a busy address. Columns of
+    the same name in ``events`` are replaced.
     """
     total, most = table.agg(F.sum("n"), F.max("n")).first()
     limit = max(hot_rows, (total or 0) // max_hot)
@@ -179,13 +181,30 @@ def attach(
         joined = keyed.join(lookup, F.col("__ip") == F.col("__lookup"), "left")
         return joined.select(*names, *values)
 
-    hot_addresses = table.where(F.col("n") > limit)
-    hot = F.broadcast(hot_addresses.select(F.col("ip").alias("__lookup"), *columns))
-    hot_keys = F.broadcast(hot_addresses.select(F.col("ip").alias("__hot")))
-    busy = keyed.join(hot, F.col("__ip").eqNullSafe(F.col("__lookup")))
-    rest = keyed.join(hot_keys, F.col("__ip").eqNullSafe(F.col("__hot")), "left_anti")
-    rest = rest.join(lookup, F.col("__ip") == F.col("__lookup"), "left")
-    return busy.select(*names, *values).unionByName(rest.select(*names, *values))
+    rows = spread_rows(keyed, table, limit)
+    copies = F.explode(F.sequence(F.lit(0), _parts(limit) - 1)).alias("__part")
+    lookup = table.select(F.col("ip").alias("__lookup"), *columns, copies)
+    same = (F.col("__ip") == F.col("__lookup")) & (F.col("__salt") == F.col("__part"))
+    return rows.join(lookup, same, "left").select(*names, *values)
+
+
+def _parts(limit: int) -> Column:
+    """In how many parts the rows of an address are dealt, by its count ``n``."""
+    return F.ceil(F.col("n") / limit).cast("int")
+
+
+def spread_rows(keyed: DataFrame, table: DataFrame, limit: int) -> DataFrame:
+    """Rows with their address in ``__ip``, and ``__salt``: 0, or for addresses with more than
+    ``limit`` rows the part that the row's content deals it to.
+
+    A hash of the row is the same in a repeated task. It takes columns of plain types.
+    """
+    hot = table.where(F.col("n") > limit).select(F.col("ip").alias("__hot"), _parts(limit).alias("__parts"))
+    # Fewer than total / limit rows.
+    marked = keyed.join(F.broadcast(hot), F.col("__ip").eqNullSafe(F.col("__hot")), "left")
+    plain = [f"`{f.name}`" for f in keyed.schema.fields if isinstance(f.dataType, AtomicType)]
+    salt = F.expr(f"CASE WHEN __parts IS NULL THEN 0 ELSE CAST(pmod(xxhash64({', '.join(plain)}), __parts) AS INT) END")
+    return marked.select(*[f"`{c}`" for c in keyed.columns], salt.alias("__salt"))
 
 
 def enrich(
@@ -195,6 +214,7 @@ def enrich(
     asn: DataFrame | None = None,
     threats: DataFrame | None = None,
     sources: Sequence[str] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Geography, owner and threat columns for every row, in one join.
 
@@ -211,7 +231,7 @@ def enrich(
     columns = list(GEO_COLUMNS) if geo is not None else []
     if threats is not None:
         columns += [MALICIOUS, *[threat_column(source) for source in sources]]
-    return attach(events, materialize(table, "addresses"), ip_column, columns)
+    return attach(events, materialize(table, "addresses"), ip_column, columns, hot_rows)
 
 
 def source_names(threats: DataFrame) -> list[str]:

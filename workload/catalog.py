@@ -369,6 +369,14 @@ def enrich_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_all(spark, sf_dir).select("event_id", "src_ip", "dst_port", *GEO_SHOWN, *THREAT_SHOWN)
 
 
+@query
+def enrich_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every address of more than a few rows dealt to several parts."""
+    tables = [build(spark, sf_dir) for build in (views.geo_table, views.asn_table, views.threat_table)]
+    found = enrich.enrich(views.parsed_table(spark, sf_dir), "src_ip", *tables, SOURCES, hot_rows=3)
+    return found.select("event_id", "src_ip", "dst_port", *GEO_SHOWN, *THREAT_SHOWN)
+
+
 @query
 def enrich_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.enrichment_summary(_with_all(spark, sf_dir))

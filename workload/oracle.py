@@ -316,6 +316,7 @@ ORDER BY m.malicious DESC, m.asn, m.asn_org LIMIT 10""",
 SELECT count(*) AS checked, count(*) FILTER ({MALICIOUS}) AS malicious, {pct(f'count(*) FILTER ({MALICIOUS})', 'count(*)')} AS pct
 FROM profile WHERE ip IN (SELECT ip FROM source_ip)""",
     "enrich_full": f"SELECT event_id, src_ip, dst_port, {_geo}, {_threat} FROM enriched",
+    "enrich_hot": f"SELECT event_id, src_ip, dst_port, {_geo}, {_threat} FROM enriched",
     "enrich_summary": f"""
 SELECT total, geo_resolved, asn_resolved, malicious_connections, {pct('geo_resolved', 'total')} AS geo_resolved_pct,
  {pct('asn_resolved', 'total')} AS asn_resolved_pct, {pct('malicious_connections', 'total')} AS malicious_connections_pct
