@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wallscope.functions.addresses import with_address_key, with_network_key
 from wallscope.functions.services import service_name
-from wallscope.operators import enrich, feedinfo
+from wallscope.operators import covering, enrich, feedinfo
 from wallscope.operators.parse import rejected_lines
 from wallscope.operators.prefix_join import longest_match
 from wallscope.plans import jobs, reports
@@ -243,17 +243,7 @@ def asn_lpm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ip", F.col("plen").cast("bigint").alias("plen"), "network", "asn", "asn_org")
 
 
-GEO_SHOWN = [
-    "geo_country_code",
-    "geo_country_name",
-    "geo_city",
-    "geo_latitude",
-    "geo_continent",
-    "geo_postal_code",
-    "geo_asn",
-    "geo_asn_org",
-    "geo_network",
-]
+GEO_SHOWN = list(enrich.GEO_COLUMNS)
 THREAT_SHOWN = [enrich.MALICIOUS, *[enrich.threat_column(source) for source in SOURCES]]
 
 
@@ -288,6 +278,25 @@ def geo_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.location_counts(views.parsed(spark, sf_dir), views.geo_table(spark, sf_dir))
 
 
+@query
+def enrich_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is known about IPv6 addresses: special ranges, city, owner and verdicts."""
+    addresses = views.view(spark, sf_dir, views.ADDRESSES6)
+    found = enrich.build_address_table(addresses, *views.v6_tables(spark, sf_dir), SOURCES)
+    return found.select("ip", "is_private", *GEO_SHOWN, *THREAT_SHOWN)
+
+
+@query
+def threat_cidr_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.network_matches(views.view(spark, sf_dir, views.ADDRESSES6), views.v6_tables(spark, sf_dir)[2])
+
+
+@query
+def range_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The networks that cover address ranges."""
+    return covering.range_networks(views.view(spark, sf_dir, views.RANGES)).select("event_id", "network")
+
+
 # --- threats --------------------------------------------------------------------------------
 
 
@@ -318,6 +327,17 @@ def threat_cidr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.network_matches(_distinct(spark, sf_dir), views.threat_table(spark, sf_dir))
 
 
+@query
+def feed_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds with nested and adjacent networks merged."""
+    return feeds.collapsed(views.threat_table(spark, sf_dir)).select("source", "entry")
+
+
+@query
+def threat_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.network_matches(_distinct(spark, sf_dir), feeds.collapsed(views.threat_table(spark, sf_dir)))
+
+
 @query
 def threat_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.is_malicious(_distinct(spark, sf_dir), views.threat_table(spark, sf_dir))

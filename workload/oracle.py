@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import re
 
-from wallscope.functions.services import SERVICE_NAMES
 from wallscope.operators.enrich import MALICIOUS
 from workload import views
 from workload.catalog import GEO_SHOWN, SOURCES, THREAT_SHOWN
 
 V4 = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
 
+# Fixed value: which lines count as log lines, and their fields.
 LINE = (
     r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\+\d{2}:\d{2})\s+([\w\.-]+)\s+pf\[\d+\]\s+([\d:.]+)\s+rule\s+"
     r"([\w\d\.\/\(\)]+):\s+(\w+)\s+(\w+)\s+on\s+(\w+):\s+([\d\.]+)\.(\d+)\s+>\s+([\d\.]+)\.(\d+):\s+(.*)"
@@ -47,17 +47,58 @@ _PRIVATE = [
     ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
 ]
 _private_rows = ", ".join(f"('{net}', {plen})" for net, plen in _PRIVATE)
-_service_rows = ", ".join(f"({port}, '{name}')" for port, name in SERVICE_NAMES.items())
+# Names of those ports that test lines can have.
+_SERVICES = """
+(20, 'FTP-data'), (21, 'FTP'), (22, 'SSH'), (23, 'Telnet'), (25, 'SMTP'), (53, 'DNS'), (80, 'HTTP'),
+(110, 'POP3'), (123, 'NTP'), (143, 'IMAP'), (443, 'HTTPS'), (1024, 'Reserved'), (1080, 'SOCKS'), (1443, 'HTTPS-Alt'), (1723, 'PPTP'),
+(1735, 'WBEM'), (2017, 'Dyn-Discovery'), (3118, 'WCCP'), (3128, 'HTTP-Proxy'), (3306, 'MySQL'), (3311, 'SSL-Proxy'),
+(3322, 'SCCS'), (3333, 'SIP'), (3343, 'MS-Cluster'), (3389, 'RDP'), (3407, 'LDAP-Admin'), (4020, 'HTTP-Alt'),
+(4040, 'H2-Alt'), (4145, 'SOCKS-Alt'), (4433, 'HTTPS-Alt'), (4443, 'HTTPS-Alt'), (4445, 'MSRPC'), (8080, 'HTTP-Alt')
+"""
+
+_GEO_FIELDS = [
+    "country_code", "country_name", "city", "latitude", "longitude", "accuracy_radius", "time_zone",
+    "continent", "subdivision", "subdivision_code", "postal_code",
+]
+
 
-_GEO_FIELDS = ["country_code", "country_name", "city", "latitude", "continent"]
+def v6_number(text: str) -> str:
+    """Of ``group:group::group`` or with an empty last group."""
+    group = "CAST(concat('0x0', {}) AS BIGINT)::HUGEINT"
+    one, two, last = (group.format(x) for x in (f"split_part({text}, ':', 1)", f"split_part({text}, ':', 2)", f"split_part({text}, '::', 2)"))
+    return f"({one} * {1 << 112}::HUGEINT + {two} * {1 << 96}::HUGEINT + {last})"
+
+
+def _networks6(records: str) -> str:
+    return f"""
+SELECT *, lo + CAST(power(2, 128 - plen) AS HUGEINT) - 1 AS hi, concat(net, '/', plen) AS network
+FROM (SELECT *, {v6_number('net')} AS lo FROM {records})"""
 
 
-def _longest(networks: str, fields: list[str]) -> str:
+def _cover(ranges: str, keys: str, width: str) -> str:
+    """The fewest aligned blocks of ranges (keys, s, e), the largest that fits first: (keys, s, plen)."""
+    size = "list_max(list_filter(generate_series(0, 32), lambda k: s % (1::BIGINT << k) = 0 AND s + (1::BIGINT << k) - 1 <= e))"
+    return f"""
+(WITH RECURSIVE cut AS (
+ SELECT {keys}, s, e, {size} AS k FROM {ranges} WHERE s <= e
+ UNION ALL
+ SELECT {keys}, s, e, {size} AS k FROM (SELECT {keys}, s + (1::BIGINT << k) AS s, e FROM cut) WHERE s <= e)
+SELECT {keys}, s, {width} - k AS plen FROM cut)"""
+
+
+def _dotted(number: str) -> str:
+    return "concat_ws('.', " + ", ".join(f"{number} // {256 ** (3 - i)} % 256" for i in range(4)) + ")"
+
+
+def _longest(networks: str, fields: list[str], addresses: str = "address") -> str:
     return f"""
 SELECT ip, plen, {', '.join(fields)} FROM (
  SELECT a.ip, n.*, row_number() OVER (PARTITION BY a.ip ORDER BY n.plen DESC) AS rn
- FROM address a JOIN {networks} n ON a.num BETWEEN n.lo AND n.hi) WHERE rn = 1"""
+ FROM {addresses} a JOIN {networks} n ON a.num BETWEEN n.lo AND n.hi) WHERE rn = 1"""
+
 
+# A number whose decimal digits are read as hexadecimal ones.
+_HEX = "CAST(concat('0x', {a}) AS BIGINT)"
 
 CTES = {
     "line": _view(views.LINES),
@@ -107,10 +148,29 @@ FROM (SELECT source, entry, {v4_number("split_part(entry, '/', 1)")} AS num,
  CASE WHEN contains(entry, '/') THEN TRY_CAST(split_part(entry, '/', 2) AS BIGINT) ELSE 32 END AS plen FROM word)
 WHERE num IS NOT NULL AND plen <= 32""",
     "threat_hit": "SELECT DISTINCT a.ip, t.source FROM address a JOIN threat_entry t ON a.num BETWEEN t.lo AND t.hi",
+    "address6": f"SELECT ip, {v6_number('ip')} AS num FROM ({_view(views.ADDRESSES6)})",
+    "geo6_record": _view(views.GEO6),
+    "geo6_net": _networks6("geo6_record"),
+    "asn6_record": _view(views.ASN6),
+    "asn6_net": _networks6("asn6_record"),
+    "geo6_hit": _longest("geo6_net", _GEO_FIELDS, "address6"),
+    "asn6_hit": _longest("asn6_net", ["network", "asn", "asn_org"], "address6"),
+    "feed6_entry": f"""
+SELECT source, {v6_number("split_part(entry, '/', 1)")} AS lo, CASE WHEN contains(entry, '/') THEN CAST(split_part(entry, '/', 2) AS INT) ELSE 128 END AS plen
+FROM (SELECT DISTINCT source, split_part(lower(trim(ltrim(line, '# '))), ' ', 1) AS entry FROM ({_view(views.FEED_LINES6)}))""",
+    "threat6_hit": "SELECT DISTINCT a.ip, t.source FROM address6 a JOIN feed6_entry t ON a.num BETWEEN t.lo AND t.lo + CAST(power(2, 128 - plen) AS HUGEINT) - 1",
+    "range_end": f"""
+SELECT event_id, v6, CASE WHEN v6 THEN {_HEX.format(a='user_id % 1000')} ELSE {v4_number('first')} END AS s,
+ CASE WHEN v6 THEN {_HEX.format(a='event_id % 1000')} * 65536 + {_HEX.format(a='(event_id * 3) % 1000')} ELSE {v4_number('last')} END AS e
+FROM (SELECT *, event_id % 3 = 0 AS v6 FROM ({_view(views.RANGES)}))""",
+    "merged_entry": """
+SELECT source, CAST(min(lo) AS BIGINT) AS s, CAST(max(hi) AS BIGINT) AS e FROM (
+ SELECT *, sum(apart) OVER (PARTITION BY source ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS part FROM (
+  SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY source ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS apart
+  FROM threat_entry)) GROUP BY source, part""",
     "profile": f"""
 SELECT a.ip, p.ip IS NOT NULL AS is_private,
  {', '.join(f"CASE WHEN p.ip IS NULL THEN g.{c} END AS geo_{c}" for c in _GEO_FIELDS)},
- CAST(NULL AS VARCHAR) AS geo_postal_code,
  CASE WHEN p.ip IS NULL THEN CAST(n.asn AS BIGINT) END AS geo_asn,
  CASE WHEN p.ip IS NULL THEN n.asn_org END AS geo_asn_org,
  CASE WHEN p.ip IS NULL THEN n.network END AS geo_network,
@@ -121,7 +181,7 @@ LEFT JOIN geo_hit g ON a.ip = g.ip LEFT JOIN asn_hit n ON a.ip = n.ip""",
     "enriched": "SELECT e.*, p.* EXCLUDE (ip) FROM parsed e LEFT JOIN profile p ON e.src_ip = p.ip",
     "enriched_dst": "SELECT e.*, p.* EXCLUDE (ip) FROM parsed e LEFT JOIN profile p ON e.dst_ip = p.ip",
     "source_ip": "SELECT DISTINCT src_ip AS ip FROM parsed",
-    "service": f"SELECT port, name FROM (VALUES {_service_rows}) AS s(port, name)",
+    "service": f"SELECT port, name FROM (VALUES {_SERVICES}) AS s(port, name)",
     "spelled": _view(views.ADDRESSES),
     "cidr_text": _view(views.CIDRS),
     "meta_text": _view(views.FEED_META),
@@ -274,6 +334,17 @@ SELECT t.source, t.entry, m.timestamp, m.n AS count, md5(concat(CAST(m.timestamp
 FROM threat_entry t JOIN (SELECT source, count(*) AS n, CAST(CASE source WHEN 'firehol_level1' THEN {views.NOW} ELSE {views.NOW + 60} END AS DOUBLE) AS timestamp,
  CASE source WHEN 'firehol_level1' THEN 'https://raw.githubusercontent.com/firehol/blocklist-ipsets/master/firehol_level1.netset'
   ELSE 'https://rules.emergingthreats.net/fwrules/emerging-Block-IPs.txt' END AS url FROM threat_entry GROUP BY source) m ON t.source = m.source""",
+    "enrich_v6": f"""
+SELECT a.ip, p AS is_private, {', '.join(f"CASE WHEN NOT p THEN g.{c} END AS geo_{c}" for c in _GEO_FIELDS)},
+ CASE WHEN NOT p THEN CAST(n.asn AS BIGINT) END AS geo_asn, CASE WHEN NOT p THEN n.asn_org END AS geo_asn_org, CASE WHEN NOT p THEN n.network END AS geo_network,
+ {', '.join(f"a.ip IN (SELECT ip FROM threat6_hit WHERE source = '{s}') AS threat_{s}" for s in SOURCES)}, a.ip IN (SELECT ip FROM threat6_hit) AS {MALICIOUS}
+FROM (SELECT *, starts_with(ip, '2001:db8:') AS p FROM address6) a LEFT JOIN geo6_hit g ON a.ip = g.ip LEFT JOIN asn6_hit n ON a.ip = n.ip""",
+    "threat_cidr_v6": "SELECT ip, source FROM threat6_hit",
+    "range_cover": f"""
+SELECT event_id, CASE WHEN v6 THEN concat('2001:db8::', CASE WHEN s >= 65536 THEN printf('%x:%x', s // 65536, s % 65536) WHEN s > 0 THEN printf('%x', s) ELSE '' END)
+ ELSE {_dotted('s')} END || '/' || plen AS network FROM {_cover('range_end', 'event_id, v6', 'CASE WHEN v6 THEN 128 ELSE 32 END')}""",
+    "feed_collapse": f"SELECT source, {_dotted('s')} || '/' || plen AS entry FROM {_cover('merged_entry', 'source', '32')}",
+    "threat_collapsed": "SELECT h.ip, h.source FROM threat_hit h WHERE h.ip IN (SELECT ip FROM source_ip)",
     "feed_replay": "SELECT h.ip, h.source FROM threat_hit h WHERE h.ip IN (SELECT ip FROM source_ip)",
     "feed_meta_json": "SELECT source, timestamp, count, url, hash FROM meta WHERE timestamp IS NOT NULL",
     "geo_lpm": f"SELECT s.ip, {_PLEN}, network, country_name, city FROM source_ip s LEFT JOIN geo_hit g ON s.ip = g.ip",

@@ -58,16 +58,20 @@ SELECT event_id, CASE
 # the destination addresses; first octets 45-49 are unmapped.
 GEO = """
 SELECT concat(20 + n_nationkey, '.0.0.0') AS net, 8 AS plen, concat('C', n_nationkey) AS country_code,
- n_name AS country_name, CAST(NULL AS string) AS city, CAST(n_nationkey AS double) AS latitude,
- r_name AS continent FROM nation JOIN region ON n_regionkey = r_regionkey
+ n_name AS country_name, CAST(NULL AS string) AS city, CAST(n_nationkey AS double) AS latitude, CAST(-n_nationkey AS double) AS longitude,
+ CAST(100 + n_nationkey AS int) AS accuracy_radius, concat('Zone/', r_name) AS time_zone, r_name AS continent,
+ CAST(NULL AS string) AS subdivision, CAST(NULL AS string) AS subdivision_code, CAST(NULL AS string) AS postal_code
+ FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL
 SELECT concat(20 + s_nationkey, '.', 16 * (s_suppkey % 16), '.0.0'), 12, concat('C', s_nationkey), n_name,
- min(concat('City_', s_suppkey)), CAST(s_nationkey AS double) + 0.5, r_name
+ min(concat('City_', s_suppkey)), CAST(s_nationkey AS double) + 0.5, CAST(s_suppkey % 16 AS double) / 4,
+ CAST(s_suppkey % 16 AS int), concat('Zone/', n_name), r_name,
+ concat('Province ', s_suppkey % 16), concat('P', s_suppkey % 16), concat(s_nationkey, '-', s_suppkey % 16)
  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
  GROUP BY s_nationkey, s_suppkey % 16, n_name, r_name
 UNION ALL
 SELECT concat('81.17.24.', 32 * r_regionkey), 27, concat('R', r_regionkey), concat('LAND_', r_name),
- concat('CAPITAL_', r_regionkey), CAST(r_regionkey AS double), r_name FROM region
+ concat('CAPITAL_', r_regionkey), CAST(r_regionkey AS double), 0.25, 5, 'Zone/Centre', r_name, 'Centre', 'CE', concat('0', r_regionkey) FROM region
 """
 
 # Per nation a /9 and a /10 (the last quarter has no owner); per region an owner
@@ -99,6 +103,44 @@ SELECT 'emerging_threats', CASE
  FROM customer
 """
 
+# The same for IPv6: a /16, a /32 per nation, a /120 within it; owners of a /40 and of a
+# /24 around it; feeds with networks and single addresses.
+ADDRESSES6 = """
+SELECT DISTINCT concat(CASE WHEN user_id % 5 = 0 THEN '2001:db8' ELSE concat('2a02:', event_id % 30) END, '::', user_id % 1000) AS ip FROM events
+"""
+GEO6 = """
+SELECT '2a02::' AS net, 16 AS plen, 'V6' AS country_code, 'Six' AS country_name, CAST(NULL AS string) AS city, 0.5 AS latitude, 0.25 AS longitude,
+ 7 AS accuracy_radius, 'Zone/Six' AS time_zone, r_name AS continent, 'Sub' AS subdivision, 'S6' AS subdivision_code, '66' AS postal_code FROM region WHERE r_regionkey = 0
+UNION ALL
+SELECT concat('2a02:', n_nationkey, '::'), 32, concat('C', n_nationkey), n_name, CAST(NULL AS string), CAST(n_nationkey AS double), -1.5,
+ CAST(n_nationkey AS int), concat('Zone/', n_name), r_name, CAST(NULL AS string), concat('N', n_nationkey), concat('6-', n_nationkey)
+ FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL
+SELECT concat('2a02:', n_nationkey, '::', 1 + n_nationkey % 9, '00'), 120, concat('C', n_nationkey), n_name, concat('City6_', n_nationkey),
+ CAST(n_nationkey AS double) + 0.5, 2.5, 1, 'Zone/City', r_name, 'Within', 'WI', CAST(NULL AS string) FROM nation JOIN region ON n_regionkey = r_regionkey
+"""
+ASN6 = """
+SELECT concat('2a02:', n_nationkey, '::') AS net, 40 AS plen, 65000 + n_nationkey AS asn, concat('ORG6_', n_nationkey) AS asn_org FROM nation WHERE n_nationkey % 4 <> 0
+UNION ALL
+SELECT '2a02::', 24, 65100 + r_regionkey, CAST(NULL AS string) FROM region WHERE r_regionkey = 1
+"""
+FEED_LINES6 = """
+SELECT 'firehol_level1' AS source, CASE n_nationkey % 3 WHEN 0 THEN concat('2a02:', n_nationkey, '::', n_nationkey % 7, '00/120')
+  WHEN 1 THEN concat('  2A02:', n_nationkey, '::', 100 + n_nationkey, '  # single') ELSE '2001:db8::/32' END AS line FROM nation
+UNION ALL
+SELECT 'emerging_threats', concat('# 2a02:', n_nationkey, '::', 200 + n_nationkey) FROM nation
+"""
+
+# Address ranges of both families; some end before they begin.
+RANGES = """
+SELECT event_id, user_id,
+ CASE WHEN event_id % 3 = 0 THEN concat('2001:db8::', user_id % 1000)
+  ELSE concat(20 + user_id % 30, '.', event_id % 100, '.', (event_id * 7) % 256, '.', event_id % 256) END AS first,
+ CASE WHEN event_id % 3 = 0 THEN concat('2001:db8::', event_id % 1000, ':', (event_id * 3) % 1000)
+  ELSE concat(20 + user_id % 30, '.', event_id % 100 + user_id % 3, '.', (event_id * 13) % 256, '.', user_id % 256) END AS last
+FROM events
+"""
+
 # JSON, older and broken metadata texts.
 FEED_META = """
 SELECT concat('feed_', n_nationkey) AS source, CASE
@@ -195,6 +237,12 @@ def asn_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir, "asn", lambda: asn_networks(_records(spark, sf_dir, ASN)))
 
 
+def v6_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """City networks, owner networks and feed entries of IPv6."""
+    entries = feeds.load_entries(feeds.normalize(view(spark, sf_dir, FEED_LINES6)))
+    return geo_networks(_records(spark, sf_dir, GEO6)), asn_networks(_records(spark, sf_dir, ASN6)), entries
+
+
 def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, FEED_LINES)
 
