@@ -27,7 +27,8 @@ BITS = 12
 SALTS = 8
 
 # Left-aligned halves compare as unsigned numbers once their sign bit is flipped.
-_FLIP = "shiftleft(1L, 63)"
+FLIP = "shiftleft(1L, 63)"
+LAST = "9223372036854775807L"
 _BUCKET = ["family", "bucket"]
 _REST = 64 - BITS
 
@@ -56,11 +57,11 @@ def boundaries(keys: DataFrame) -> DataFrame:
     events = cut.selectExpr(*_BUCKET, "layer", "score", "plen", sides)
     last = f"(lo = -1L AND hi | shiftleft(-1L, {_REST}) = -1L)"
     events = events.selectExpr("*", f"shut = 1 AND {last} AS __ends").selectExpr(
-        *_BUCKET, "layer", "score", "plen", "shut", f"hi ^ {_FLIP} AS hi", f"lo ^ {_FLIP} AS lo", "__ends"
+        *_BUCKET, "layer", "score", "plen", "shut", f"hi ^ {FLIP} AS hi", f"lo ^ {FLIP} AS lo", "__ends"
     )
-    carry = "CASE WHEN lo = 9223372036854775807L THEN {} ELSE {} END"
+    carry = f"CASE WHEN lo = {LAST} THEN {{}} ELSE {{}} END"
     to_hi = f"CASE WHEN shut = 0 THEN hi WHEN NOT __ends THEN {carry.format('hi + 1', 'hi')} END AS to_hi"
-    to_lo = f"CASE WHEN shut = 0 THEN lo WHEN NOT __ends THEN {carry.format(_FLIP, 'lo + 1')} END AS to_lo"
+    to_lo = f"CASE WHEN shut = 0 THEN lo WHEN NOT __ends THEN {carry.format(FLIP, 'lo + 1')} END AS to_lo"
     return events.selectExpr("* EXCEPT (__ends)", to_hi, to_lo)
 
 
@@ -90,7 +91,7 @@ def flatten(keys: DataFrame) -> DataFrame:
 
 def probes(keyed: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row per address of ``prefix_join.with_any_key``: its columns in ``address`` and its place."""
-    place = [bucket_of() + " AS bucket", f"hi ^ {_FLIP} AS hi", f"lo ^ {_FLIP} AS lo"]
+    place = [bucket_of() + " AS bucket", f"hi ^ {FLIP} AS hi", f"lo ^ {FLIP} AS lo"]
     salt = f"CASE WHEN family = 6 THEN CAST(pmod(xxhash64(hi, lo), {salts}) AS INT) ELSE 0 END AS salt"
     whole = f"struct({', '.join(f'`{c}`' for c in keyed.columns)}) AS address"
     return keyed.selectExpr("family", salt, whole, *place)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wallscope.functions.addresses import with_network_key
 from wallscope.functions.text import WHITESPACE_CLASS, float_text, strip, usable_time
-from wallscope.schemas import FEED_META, THREAT_NETWORK
+from wallscope.operators.covering import collapse, network_text
+from wallscope.schemas import FEED_META, NETWORK_KEY, THREAT_NETWORK
 from wallscope.session import materialize, scratch_scope
 from wallscope.sources import snapshots
 from wallscope.sources.logs import path_exists
@@ -87,6 +88,12 @@ def load_entries(feed_lines: DataFrame) -> DataFrame:
     return keyed.select(*THREAT_NETWORK.fieldNames())
 
 
+def collapsed(networks: DataFrame) -> DataFrame:
+    """The fewest networks per source with the same addresses (``THREAT_NETWORK``): nested and adjacent ones are merged."""
+    merged = collapse(networks.select("source", *NETWORK_KEY.fieldNames()), "source")
+    return merged.selectExpr("*", f"{network_text()} AS entry").select(*THREAT_NETWORK.fieldNames())
+
+
 def entry_counts(networks: DataFrame) -> DataFrame:
     """Entries per source and over all sources."""
     total = networks.agg(F.count("*")).scalar()
