@@ -1,7 +1,12 @@
 """From raw documents to mixed, encoded training rows.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result
-as Parquet to the shared folder and reads it back as the next stage's documents.
+as Parquet to the shared folder and reads it back as the next stage's documents. What a stage
+stored on its way is removed once its result is written, and a result once the next one is.
+
+Defined cases, for all stages: null texts stay null and count as empty ones; rows of one
+doc_id, null ones too, are documents of their own; an empty table gives an empty table; extra
+columns are carried along up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,22 +16,24 @@ from pyspark.sql import functions as F
 
 from wallscope.llm import op2_mixture, op3_bpe, op4_quality, op5_minhash, op10_repeats
 from wallscope.llm.queries import TOKENIZER
-from wallscope.session import materialize
+from wallscope.session import discard, scratch_path, scratch_scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject; a score of exactly 0.5 is no rejection."""
     return op4_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest doc_id, of each group of near-duplicates."""
+    """One document, the one of the smallest doc_id, of each group of near-duplicates; empty texts have no group."""
     return op5_minhash.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that also occur elsewhere; n_chars follows the text."""
+    """Texts without the byte strings that also occur elsewhere; n_chars, if there is one, follows the text."""
     cut = op10_repeats.remove(docs)
+    if "n_chars" not in docs.columns:
+        return cut
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -55,7 +62,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # Named outside the scope, so that it outlives what the stage stores.
+        path = scratch_path(spark, name.replace(" ", "-"))
+        with scratch_scope(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs

@@ -74,8 +74,13 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _created.reset(token)
         for path in created:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that nothing needs any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
