@@ -1,3 +1,4 @@
+import os
 from collections import Counter
 
 import pytest
@@ -7,6 +8,7 @@ import corpus_pipeline
 from tests.llm import test_op5_minhash, test_op10_repeats
 from wallscope.llm import op2_mixture, op4_quality
 from wallscope.llm.queries import TOKENIZER
+from wallscope.session import scratch_root
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -66,3 +68,13 @@ def test_odd_rows(spark, rows):
         docs = stage(spark, docs, SF_DIR)
         assert docs.columns[-1] == "rate"
     assert corpus_pipeline.tokens(spark, docs, SF_DIR).count() <= 2 * len(rows) + 5
+
+
+def test_run_leaves_its_result_only(spark, monkeypatch):
+    made = []
+    path = corpus_pipeline.scratch_path
+    monkeypatch.setattr(corpus_pipeline, "scratch_path", lambda *a: made.append(path(*a)) or made[-1])
+    before = set(os.listdir(scratch_root(spark)))
+    rows = corpus_pipeline.run(spark, SF_DIR)
+    assert rows.count() > 0 and rows.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "text"]
+    assert set(os.listdir(scratch_root(spark))) - before == {made[-1].rsplit("/", 1)[1]}
