@@ -4,10 +4,12 @@ import gzip
 import os
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tests.test_feeds import ADDRESS_ONLY, NETSET
 from wallscope import cli
+from wallscope.operators import parse
 from wallscope.plans import jobs, reports
 from wallscope.sources.logs import write_table
 from wallscope.session import scratch_path, scratch_root, scratch_scope
@@ -248,3 +250,33 @@ def test_a_repeated_batch_uses_the_feeds_it_used_before(spark, inputs):
     rows = run(fails=False)
     assert rows.count() == 40 and {(r.src_ip, r.threat_is_malicious) for r in rows.collect()} == before
     assert rows.where("src_ip = '9.9.9.9' AND threat_is_malicious").count() == 0
+
+
+def test_counts_are_observed_in_the_same_pass(spark, inputs):
+    counts = Observation("lines")
+    parsed = jobs.parse_logs(spark, str(inputs / "logs"), str(inputs / "parsed"), counts=counts)
+    assert counts.get == {"lines": 41, "parsed": 40, "rejected": 1} and parsed.count() == 40
+    plan = parse.parse_lines(spark.read.text(str(inputs / "logs")), counts=Observation("more"))._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("regexp_replace(line") == 1
+
+
+def test_a_stream_splits_rejects_off_in_one_pass(spark, inputs):
+    raw, output, rejects, state = (str(inputs / name) for name in ("logs", "split", "rejects", "state"))
+
+    def run():
+        pipelines.start_parse_all(spark, raw, output, rejects, state, available_now=True).awaitTermination()
+        parsed, lines = pipelines.read_parsed(spark, output), pipelines.read_rejects(spark, rejects)
+        return parsed, sorted(r.line for r in lines.collect())
+
+    parsed, lines = run()
+    direct = parse.parse_lines(spark.read.text(raw))
+    assert parsed.schema.simpleString() == direct.schema.simpleString()
+    assert sorted(map(str, parsed.collect())) == sorted(map(str, direct.collect())) and lines == ["junk"]
+    # A batch without any reject, and one that nothing is left of.
+    (inputs / "logs" / "b.log").write_text(log_line(3, "9.9.9.9") + "\n")
+    assert (run()[0].count(), run()[1]) == (41, ["junk"])
+    (inputs / "logs" / "c.log").write_text("  more junk \n")
+    assert (run()[0].count(), run()[1]) == (41, ["junk", "more junk"])
+    plan = parse.parse_all(spark.read.text(raw))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(line") == 1
+    assert not [name for name in os.listdir(output) if name.startswith("_staged")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wallscope.operators import enrich as enrichment
@@ -24,9 +24,13 @@ def parse_logs(
     output_path: str | None = None,
     pattern: str = DEFAULT_PATTERN,
     partitions: int | None = None,
+    counts: Observation | None = None,
 ) -> DataFrame:
-    """Parse a file or folder; with ``output_path`` the result is the stored table."""
-    parsed = parse_lines(read_lines(spark, input_path, pattern, partitions))
+    """Parse a file or folder; with ``output_path`` the result is the stored table.
+
+    ``counts`` observes the numbers of lines, parsed and rejected ones as they are written.
+    """
+    parsed = parse_lines(read_lines(spark, input_path, pattern, partitions), counts=counts)
     return _stored(parsed, output_path)
 
 

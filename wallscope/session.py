@@ -83,6 +83,17 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Put the folder ``source`` in the place of ``target``; where it doesn't exist nothing is left there."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    files = paths(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(paths(target), True)
+    if files.exists(paths(source)):
+        files.mkdirs(paths(target).getParent())
+        if not files.rename(paths(source), paths(target)):
+            raise OSError(f"can't move {source} to {target}")
+
+
 def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wallscope.functions.addresses import with_address_key, with_network_key
 from wallscope.functions.services import service_name
 from wallscope.operators import covering, enrich, feedinfo
-from wallscope.operators.parse import rejected_lines
+from wallscope.operators.parse import parse_lines, rejected_lines
 from wallscope.operators.prefix_join import longest_match
 from wallscope.plans import jobs, reports
 from wallscope.schemas import FEED_META
@@ -71,6 +71,26 @@ def parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected_lines(views.lines(spark, sf_dir), keep=["event_id"])
 
 
+@query
+def parse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, parsed and rejected ones, observed while the parsed table is written."""
+    counts = Observation("counts")
+    logs.write_table(parse_lines(views.lines(spark, sf_dir), counts=counts), scratch_path(spark, "observed"))
+    numbers = counts.get
+    return spark.sql(f"SELECT {', '.join(f'{numbers[name]}L AS {name}' for name in ('lines', 'parsed', 'rejected'))}")
+
+
+@query
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by kind from a stream that runs the pattern once."""
+    raw, output = scratch_path(spark, "raw-stream"), scratch_path(spark, "parsed-stream")
+    views.lines(spark, sf_dir).select("value").write.text(raw)
+    rejects, state = scratch_path(spark, "rejects-stream"), scratch_path(spark, "state")
+    pipelines.start_parse_all(spark, raw, output, rejects, state, "*.txt", available_now=True).awaitTermination()
+    parsed = pipelines.read_parsed(spark, output).select(F.lit("parsed").alias("kind"), F.col("timestamp_raw").alias("text"))
+    return parsed.unionByName(pipelines.read_rejects(spark, rejects).select(F.lit("rejected").alias("kind"), F.col("line").alias("text")))
+
+
 @query
 def parse_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = views.parsed(spark, sf_dir)

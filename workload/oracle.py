@@ -303,6 +303,8 @@ _QUERIES = {
     "src_text": f"SELECT {_parsed} FROM parsed",
     "parse_lines": f"SELECT event_id, {_parsed} FROM parsed",
     "parse_rejects": f"SELECT event_id, line FROM stripped WHERE NOT regexp_matches(line, '{LINE}')",
+    "parse_counts": f"SELECT count(*) AS lines, count(*) FILTER (regexp_matches(line, '{LINE}')) AS parsed, count(*) FILTER (NOT regexp_matches(line, '{LINE}')) AS rejected FROM stripped",
+    "stream_rejects": f"SELECT 'parsed' AS kind, timestamp_raw AS text FROM parsed UNION ALL SELECT 'rejected', line FROM stripped WHERE NOT regexp_matches(line, '{LINE}')",
     "parse_time": "SELECT event_id, timestamp_raw, epoch_seconds, local_hour FROM parsed",
     "parse_proto": "SELECT event_id, protocol, tcp_flags, length, seq, win FROM parsed",
     "sink_roundtrip": f"SELECT event_id, {_parsed} FROM parsed",
