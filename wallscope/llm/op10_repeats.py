@@ -236,13 +236,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     every = materialize(_anchored(docs), "anchors")
     cores = materialize(every.groupBy("core").agg(F.count("*").alias("c")).where("c > 1"), "cores")
-    candidates = materialize(with_keys(every, cores, ["core"], "c", every.count()).drop("c"), "candidates")
+    candidates = materialize(with_keys(every, cores, ["core"], "c", every.count()), "candidates")
     place = F.min(F.struct("id", "mark", "at", "lo", "hi")).alias("place")
-    groups = materialize(candidates.groupBy("core", "full").agg(F.count("*").alias("n"), place), "groups")
+    groups = candidates.groupBy("core", "full").agg(F.count("*").alias("n"), place, F.max("c").alias("c"))
+    groups = materialize(groups, "groups")
     whole = groups.where("n > 1").select("core", "full", "n")
     spans = [materialize(_span(with_keys(candidates, whole, ["core", "full"], "n", candidates.count())), "spans")]
-    # How many contexts its core has goes with each row, so contexts are dealt to tasks in one shuffle.
-    open_ = with_keys(groups, materialize(_sizes(groups), "sizes"), ["core"], "m", groups.count()).select("place.*", "core", "full", "n", "m")
+    # How many contexts its core has, or may have, goes with each row, so contexts are dealt to tasks
+    # in one shuffle. A core of few rows needs no count of its contexts: if one has all rows, n is c.
+    few = groups.where((F.col("c") <= GROUP) & (F.col("n") < F.col("c"))).withColumn("m", F.col("c"))
+    many = groups.where(F.col("c") > GROUP)
+    sizes = materialize(_sizes(many), "sizes")
+    open_ = few.unionByName(with_keys(many, sizes, ["core"], "m", groups.count()))
+    open_ = open_.select("place.*", "core", "full", "n", "m")
     rows = _contexts(docs, open_).withColumn("from", F.lit(0)).withColumn("begin", F.col("hi"))
     for level in range(1, len(LEVELS) + 1):
         rows = materialize(rows, "contexts")
