@@ -225,3 +225,23 @@ def test_samples_are_ordered_to_the_last_column(spark):
 def test_every_printed_row_is_printed(spark, capsys):
     cli._show("Rows", spark.range(2500))
     assert len(capsys.readouterr().out.splitlines()) == 2503
+
+
+def test_sketches_of_days_merge_within_their_bound(spark):
+    """Sources that come back every day count once; an exact small number, a bounded error for a large one."""
+    rows = spark.range(60_000).selectExpr(
+        "IF(id % 10 = 0, 'small', 'large') AS geo_city",
+        "IF(id % 10 = 0, concat('10.0.0.', id % 7), concat('20.', id % 20000)) AS src_ip",
+        "CASE WHEN id % 997 <> 0 THEN timestamp_ntz '2025-03-17 12:00:00' + make_dt_interval(id % 5) END AS timestamp_local",
+    )
+    days = reports.daily_sources(rows, "geo_city")
+    assert days.select("day").distinct().count() == 6
+    merged = {r.geo_city: r for r in reports.merged_locations(days, "geo_city").collect()}
+    exact = {r.geo_city: r for r in reports.top_cities(rows).collect()}
+    for city in ("small", "large"):
+        assert merged[city].connections == exact[city].connections
+        assert abs(merged[city].unique_sources - exact[city].unique_sources) <= 3 * 1.04 / 64 * exact[city].unique_sources
+    assert merged["small"].unique_sources == exact["small"].unique_sources == 7
+    # Part of the days alone.
+    one = reports.merged_locations(days.where("day = date '2025-03-17'"), "geo_city").collect()
+    assert sum(r.connections for r in one) < 60_000 / 4

@@ -198,6 +198,33 @@ def location_ports(
     return report.orderBy(F.desc("connections"), key, "port_rank")
 
 
+# --- distinct sources kept per day -----------------------------------------------------
+
+#: A sketch of 2 ** 12 registers misses by 1.04 / 64 of the number, as a standard deviation.
+SKETCH_BITS = 12
+DAY, SKETCH = "day", "sources"
+
+
+def daily_sources(df: DataFrame, key: str) -> DataFrame:
+    """Per day of the log's own clock and value of ``key``: its rows and a sketch of its sources.
+
+    A few KB per row whatever the traffic. Kept day by day, reports over any days are made
+    of these alone; rows without a time have day NULL.
+    """
+    require_columns(df, key, "src_ip", "timestamp_local")
+    known = df.where(F.col(key).isNotNull())
+    return known.groupBy(F.to_date("timestamp_local").alias(DAY), key).agg(
+        _rows(df).alias("connections"), F.hll_sketch_agg("src_ip", SKETCH_BITS).alias(SKETCH)
+    )
+
+
+def merged_locations(days: DataFrame, key: str, limit: int = TOP_LOCATIONS) -> DataFrame:
+    """``top_locations`` of stored days; ``unique_sources`` is an estimate."""
+    merged = days.groupBy(key).agg(F.sum("connections").alias("connections"), F.hll_union_agg(SKETCH).alias(SKETCH))
+    top = merged.orderBy(F.desc("connections"), key).limit(limit)
+    return top.select(key, "connections", F.hll_sketch_estimate(SKETCH).alias("unique_sources"))
+
+
 def asn_columns(df: DataFrame) -> tuple[str, str] | None:
     """The owner columns of a table, in either naming; None if it has none."""
     for pair in (("asn", "asn_org"), ("geo_asn", "geo_asn_org")):

@@ -482,6 +482,18 @@ def top_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.top_cities(_with_geo(spark, sf_dir))
 
 
+@query
+def countries_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries from sketches kept per day: are the distinct sources within six standard deviations?"""
+    events = _with_geo(spark, sf_dir)
+    path = scratch_path(spark, "days")
+    logs.write_table(reports.daily_sources(events, "geo_country_name"), path)
+    estimates = reports.merged_locations(logs.read_table(spark, path), "geo_country_name")
+    exact = reports.top_countries(events).select("geo_country_name", F.col("unique_sources").alias("exact"))
+    near = F.abs(F.col("unique_sources") - F.col("exact")) <= 6 * 1.04 / 64 * F.col("exact") + 1
+    return estimates.join(exact, "geo_country_name").select("geo_country_name", "connections", near.alias("near"))
+
+
 @query
 def top_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.top_countries(_with_geo(spark, sf_dir))

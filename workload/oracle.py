@@ -411,6 +411,7 @@ ORDER BY epoch_seconds NULLS LAST, event_id LIMIT 20""",
     "interface_direction": f"SELECT interface, direction, count(*) AS connections, {pct('count(*)', '(SELECT count(*) FROM parsed)')} AS pct FROM parsed GROUP BY interface, direction",
     "top_cities": _top("geo_city"),
     "top_countries": _top("geo_country_name"),
+    "countries_by_day": f"SELECT geo_country_name, connections, true AS near FROM ({_top('geo_country_name')})",
     "top_asns": f"SELECT geo_asn AS asn, connections, unique_sources, coalesce(asn_org, 'Unknown') AS asn_org FROM ({_top('geo_asn', ', min(geo_asn_org) AS asn_org')})",
     "city_ports": _ports("geo_city", "geo_city"),
     "country_ports": _ports("geo_country_name", "geo_country_name"),
