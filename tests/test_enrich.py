@@ -207,6 +207,43 @@ def test_hot_addresses_are_spread_in_one_scan(spark, geo, broadcast):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_verdicts_alone_shuffle_hits_only(spark, threats, broadcast):
+    """Addresses that no source lists are dropped before a shuffle; busy ones are spread all the same."""
+    texts = ["62.40.8.21"] * 300 + [None] * 300 + ["45.83.1.9"] * 5 + ["77.91.65.3", "bad", "2a0c:9a47::9"]
+    texts += [f"99.1.{i}.7" for i in range(200)]
+    frame = materialize(events(spark, *texts), "events")
+    counts = materialize(enrich.address_counts(frame), "counts")
+    table = enrich.threat_table(counts, materialize(threats, "threats"), ["alpha", "beta", "none"], hot_rows=100)
+    rows = {r.ip: (r.n, r[MALICIOUS], r.threat_alpha, r.threat_beta, r.threat_none) for r in table.collect()}
+    assert rows == {
+        "62.40.8.21": (300, False, False, False, False),
+        None: (300, False, False, False, False),
+        "45.83.1.9": (5, True, True, False, False),
+        "77.91.65.3": (1, True, True, True, False),
+        "2a0c:9a47::9": (1, True, True, False, False),
+    }
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if not broadcast:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        names = ["alpha", "beta"]
+        spread = enrich.enrich(frame, threats=threats, sources=names, hot_rows=100)
+        whole = materialize(enrich.build_address_table(counts, threats=threats, sources=names), "addresses")
+        columns = [MALICIOUS, "threat_alpha", "threat_beta"]
+        want = enrich.attach(frame, whole, "src_ip", columns)
+        assert spread.columns == want.columns
+        assert sorted(map(str, spread.collect())) == sorted(map(str, want.collect()))
+        assert spread.where(f"{MALICIOUS} IS NULL").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_verdicts_alone_of_no_source(spark, threats):
+    (row,) = enrich.enrich_with_threats(events(spark, "45.83.1.9"), threats, sources=[]).collect()
+    assert row[MALICIOUS] is False
+
+
 def test_addresses_are_looked_up_once(spark, geo, asn, threats):
     """One read of the events, and no join of addresses with network boundaries."""
     frame = materialize(events(spark, *ADDRESSES), "events")

@@ -6,9 +6,11 @@ import random
 import pytest
 
 from wallscope.operators import enrich
+from wallscope.operators import prefix_join
 from wallscope.operators.prefix_join import containing_networks, longest_match
 from wallscope.functions.addresses import with_address_key, with_network_key
 from wallscope.schemas import GEO_NETWORK
+from wallscope.session import materialize
 from wallscope.sources.networks import asn_networks, geo_networks
 
 
@@ -83,6 +85,32 @@ def test_all_containing_networks(spark, join_kind):
     assert got == want
 
 
+def test_full_bloom_filter_loses_nothing(spark, monkeypatch):
+    """With one word for all keys nearly every probe passes, and the join behind it still decides."""
+    monkeypatch.setattr(prefix_join, "WORDS", 1)
+    test_all_containing_networks(spark, None)
+
+
+def test_bloom_filter_prunes_probes_before_the_shuffle(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        networks = materialize(network_frame(spark, [f"62.{i}.{j}.0/24" for i in range(20) for j in range(50)]), "networks")
+        hosts = [f"99.{i % 100}.{i // 100}.5" for i in range(2000)] + ["62.7.3.9"]
+        keyed = materialize(with_address_key(address_frame(spark, hosts), "ip"), "keyed")
+        found = containing_networks(keyed, networks)
+        assert [(r.ip, r.network) for r in found.collect()] == [("62.7.3.9", "62.7.3.0/24")]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # Top down: the join with the networks, the shuffle of the probes, and below it the filter.
+        assert plan.index("SortMergeJoin") < plan.index("hashpartitioning") < plan.index("__slot#")
+        slots = prefix_join.bloom_filter(networks)
+        assert slots.count() <= 1000 and slots.where("bit_count(__set) < 1").isEmpty()
+        # 2,001 addresses at one length each; about one in a million passes by chance.
+        assert prefix_join.lookup_probes(keyed, networks).count() < 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_no_join_without_equality(spark, join_kind):
     found = longest_match(address_frame(spark, ["10.1.2.3"]), network_frame(spark, ["10.0.0.0/8"]))
     plan = found._jdf.queryExecution().executedPlan().toString()

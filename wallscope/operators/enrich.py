@@ -146,6 +146,27 @@ def build_address_table(
     return summary.select(*addresses.columns, *added)
 
 
+def threat_table(counts: DataFrame, threats: DataFrame, sources: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The rows of an address table that ``attach`` needs for verdicts alone: (ip, n,
+    ``threat_is_malicious``, ``threat_<source>`` ...) of listed and of busy addresses.
+
+    ``counts`` is a stored table of (ip, n). Addresses that no source lists have the
+    verdict False, which ``attach`` gives to what it doesn't find, so they are dropped
+    before anything is shuffled. Busy ones stay, so that their rows are spread.
+    """
+    total = counts.agg(F.sum("n")).first()[0]
+    busy = counts.where(F.col("n") > _hot_limit(total, hot_rows, MAX_HOT_ADDRESSES))
+    keyed = with_address_key(counts, "ip").select("ip", "n", "family", "hi", "lo")
+    listed = threats.where(F.col("source").isin(list(sources))).select(*KEY, "source")
+    hits = containing_networks(keyed, listed).select("ip", "n", "source")
+    rows = hits.unionByName(busy.select("ip", "n", F.lit(None).cast("string").alias("source")))
+    flags = [
+        F.coalesce(F.max(F.col("source") == source), F.lit(False)).alias(threat_column(source)) for source in sources
+    ]
+    any_hit = F.max(F.col("source").isNotNull()).alias(MALICIOUS)
+    return rows.groupBy("ip").agg(F.max("n").alias("n"), any_hit, *flags)
+
+
 # --- attaching it to log rows -----------------------------------------------------
 
 
@@ -166,7 +187,7 @@ def attach(
     the same name in ``events`` are replaced.
     """
     total, most = table.agg(F.sum("n"), F.max("n")).first()
-    limit = max(hot_rows, (total or 0) // max_hot)
+    limit = _hot_limit(total, hot_rows, max_hot)
     names = [f"`{name}`" for name in events.columns if name not in columns]
     keyed = events.select(*names, F.col(ip_column).cast("string").alias("__ip"))
     lookup = table.select(F.col("ip").alias("__lookup"), *columns)
@@ -188,6 +209,10 @@ def attach(
     return rows.join(lookup, same, "left").select(*names, *values)
 
 
+def _hot_limit(total: int | None, hot_rows: int, max_hot: int) -> int:
+    return max(hot_rows, (total or 0) // max_hot)
+
+
 def _parts(limit: int) -> Column:
     """In how many parts the rows of an address are dealt, by its count ``n``."""
     return F.ceil(F.col("n") / limit).cast("int")
@@ -225,12 +250,14 @@ def enrich(
     require_columns(events, ip_column)
     if threats is not None and sources is None:
         sources = source_names(threats)
-    table = build_address_table(
-        address_counts(events, ip_column), geo, asn, threats, sources or ()
-    )
+    counts = address_counts(events, ip_column)
     columns = list(GEO_COLUMNS) if geo is not None else []
     if threats is not None:
         columns += [MALICIOUS, *[threat_column(source) for source in sources]]
+    if threats is not None and geo is None:
+        table = threat_table(materialize(counts, "counts"), threats, sources, hot_rows)
+    else:
+        table = build_address_table(counts, geo, asn, threats, sources or ())
     return attach(events, materialize(table, "addresses"), ip_column, columns, hot_rows)
 
 

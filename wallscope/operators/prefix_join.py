@@ -3,6 +3,12 @@
 An address is compared with a network by masking it to the network's prefix
 length, so "contained in" becomes equality on (family, plen, hi, lo). Only prefix
 lengths that occur in the network tables are tried: at most 33 + 129 of them.
+
+Most of these probes find nothing. Where only hits are asked for, a Bloom filter of the
+network keys drops them before they are shuffled. It is a table of 64-bit words, each key
+setting two bits of one word, so building it is an aggregation and testing it is a broadcast
+join. The number of words is fixed, which bounds what is broadcast whatever the networks are;
+more networks only let more probes pass, and the join behind it decides.
 """
 
 from __future__ import annotations
@@ -19,6 +25,9 @@ KEY = NETWORK_KEY.fieldNames()
 # The length of a probe that matches no network: it stands for the address itself.
 SELF = -1
 
+# Words of the Bloom filter: about 40 MB as a broadcast table once all of them are in use.
+WORDS = 1 << 20
+
 
 def join_networks(addresses: DataFrame, networks: DataFrame, plen: str, how: str = "inner") -> DataFrame:
     """Join addresses (ip, family, hi, lo, ...) to ``networks`` at the length that
@@ -53,12 +62,34 @@ def _lengths(networks: DataFrame) -> DataFrame:
     return networks.select("family", "plen").distinct()
 
 
+def _bloom_key(plen: str, hi: str, lo: str) -> list[str]:
+    """The word of a network key and its two bits in it."""
+    key = f"xxhash64(CAST(family AS INT), CAST({plen} AS INT), {hi}, {lo})"
+    bits = [f"shiftleft(1L, CAST(shiftrightunsigned({key}, {start}) & 63 AS INT))" for start in (40, 52)]
+    return [f"CAST({key} & {WORDS - 1} AS INT) AS __word", f"{' | '.join(bits)} AS __bits"]
+
+
+def bloom_filter(networks: DataFrame) -> DataFrame:
+    """The Bloom filter of network keys: ``__slot`` and ``__set``, ``WORDS`` rows at most."""
+    keys = networks.selectExpr(*_bloom_key("plen", "hi", "lo"))
+    return keys.groupBy(F.col("__word").alias("__slot")).agg(F.expr("bit_or(__bits)").alias("__set"))
+
+
+def lookup_probes(addresses: DataFrame, networks: DataFrame) -> DataFrame:
+    """Addresses with every ``plen`` at which the Bloom filter may have their network."""
+    probes = addresses.join(F.broadcast(_lengths(networks)), "family").select(*addresses.columns, "plen")
+    asked = probes.selectExpr("*", *_bloom_key("plen", *masked("plen")))
+    passed = asked.join(F.broadcast(bloom_filter(networks)), F.expr("__word = __slot AND __bits & __set = __bits"))
+    return passed.select(*probes.columns)
+
+
 def containing_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
     """Every (address, containing network) pair: the address columns, ``plen`` and
     the networks' value columns. Addresses in no network have no row.
+
+    ``networks`` is read three times: for its lengths, its filter and its rows.
     """
-    probes = addresses.join(F.broadcast(_lengths(networks)), "family")
-    return join_networks(probes.select(*addresses.columns, "plen"), networks, "plen")
+    return join_networks(lookup_probes(addresses, networks), networks, "plen")
 
 
 def longest_match(addresses: DataFrame, networks: DataFrame) -> DataFrame:
