@@ -1,6 +1,8 @@
 from collections import Counter
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from wallscope.llm import op2_mixture as op
 from wallscope.llm import oracle, queries
@@ -37,3 +39,28 @@ def test_empty_and_repeated_rows(spark):
     twice = spark.createDataFrame([(1, "s", "t")] * 2 + [(None, None, "")] * 2, "doc_id long, source string, text string")
     counts = [r.n_copies for r in op.copies(twice, op.rates(twice)).orderBy("row.doc_id").collect()]
     assert counts[0] == counts[1] and counts[2] == counts[3]
+
+
+def test_rows_without_doc_id_are_spread(spark):
+    """Each draws a number of its own and has a place of its own; a hot doc_id fills more than one task."""
+    docs = spark.range(8_000).selectExpr("if(id % 2 = 0, null, 7L) AS doc_id", "'s' AS source", "concat('t', id) AS text")
+    mixed = op.mix(docs, size=1.0).selectExpr("row.*", "mix_key", "spark_partition_id() AS task")
+    unnamed = mixed.where("doc_id IS NULL").collect()
+    assert len(unnamed) == pytest.approx(4_000, rel=0.1)
+    assert len({r.mix_key for r in unnamed}) == len(unnamed) and len({r.task for r in unnamed}) > 1
+    counts = Counter(r.n_copies for r in op.copies(docs, op.rates(docs)).where("row.doc_id = 7").collect())
+    assert len(counts) == 1
+    named = op.mix(docs, size=4.0).where("row.doc_id = 7").selectExpr("spark_partition_id() AS task").distinct()
+    assert named.count() > 1
+
+
+def test_sql_of_rows_without_doc_id(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = op.mix(docs).select("row.doc_id", "row.source", "copy", "mix_key", "row.text").collect()
+    sql = oracle.ORACLES["op2_mixture"]
+    with duckdb.connect() as own:
+        own.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = own.execute(sql).fetchall()
+    assert sorted(map(repr, (tuple(r) for r in rows))) == sorted(map(repr, want))

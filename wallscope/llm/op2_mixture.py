@@ -3,12 +3,14 @@
 Every source has a target rate, the mean number of copies of its documents. A document's
 number of copies is the inverse of the Poisson distribution at a number between 0 and 1 that
 a hash of seed and doc_id gives, so it is the same on every run and machine. Copies are
-exploded and then shuffled globally: dealt by a hash key and sorted by it within tasks, which
-splits hot sources like any others. The rates are one small aggregate; documents move once.
+exploded and then shuffled globally: dealt by a hash key and the text and sorted by the key
+within tasks, which splits hot sources, and rows that share a doc_id or have none, like any
+others. The rates are one small aggregate; documents move once.
 
 Defined cases: a null source is a source of its own; null, empty and very long texts are
-carried like others; rows of one doc_id have one number of copies; a source without a target
-weight gets none; an empty table gives an empty result; all columns are kept.
+carried like others; rows of one doc_id have one number of copies, and a row without doc_id has
+one that its text gives; rows equal in both are dealt alike; a source without a target weight gets
+none; an empty table gives an empty result; all columns are kept.
 """
 
 from __future__ import annotations
@@ -33,6 +35,12 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16**DIGITS)
 
 
+def identity() -> Column:
+    """What a document's numbers hang on: its doc_id, or its text if it has none."""
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("~"), F.md5(text)))
+
+
 def poisson(mean: Column, u: Column, most: int) -> Column:
     """The least n with P(X <= n) >= u, X being Poisson with ``mean``; no further than ``most``."""
     start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("sum"), F.lit(0).alias("n"))
@@ -75,7 +83,7 @@ def copies(docs: DataFrame, source_rates: DataFrame, seed: int = 0) -> DataFrame
     mean = F.coalesce("rate", F.lit(0.0)) / float(chunks)
     top = most / chunks
     last = math.ceil(top + TAIL * math.sqrt(top) + 20)
-    total = sum((poisson(mean, uniform(F.lit(seed), F.lit(j), F.col("row.doc_id")), last) for j in range(chunks)), F.lit(0))
+    total = sum((poisson(mean, uniform(F.lit(seed), F.lit(j), identity()), last) for j in range(chunks)), F.lit(0))
     return joined.select("row", F.coalesce("rate", F.lit(0.0)).alias("rate"), total.alias("n_copies"))
 
 
@@ -83,5 +91,5 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     """The mixture: ``row`` (all columns), ``copy`` from 1, and ``mix_key``, the place in the global order."""
     counted = copies(docs, rates(docs, weights, power, size), seed).where("n_copies > 0")
     dealt = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
-    dealt = dealt.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit("mix"), F.lit(seed), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("~")), "copy")))
-    return dealt.repartition("mix_key").sortWithinPartitions("mix_key")
+    dealt = dealt.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit("mix"), F.lit(seed), identity(), "copy")))
+    return dealt.repartition("mix_key", F.xxhash64("row.text")).sortWithinPartitions("mix_key")

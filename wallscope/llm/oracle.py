@@ -15,7 +15,7 @@ terms AS (
     FROM terms WHERE k < rate + 9 * sqrt(rate) + 20
 ),
 drawn AS (
-    SELECT d.*, (('0x' || substr(md5('0|0|' || coalesce(d.doc_id::VARCHAR, '~')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+    SELECT d.*, (('0x' || substr(md5('0|0|' || coalesce(d.doc_id::VARCHAR, '~' || md5(coalesce(d.text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
     FROM {docs} d
 ),
 counted AS (
@@ -27,7 +27,7 @@ counted AS (
 ORACLES: dict[str, str] = {
     "op2_mixture": MIXTURE.format(docs="documents")
     + """
-SELECT doc_id, source, c.copy::INTEGER AS copy, md5('mix|0|' || coalesce(doc_id::VARCHAR, '~') || '|' || c.copy) AS mix_key, text
+SELECT doc_id, source, c.copy::INTEGER AS copy, md5('mix|0|' || coalesce(doc_id::VARCHAR, '~' || md5(coalesce(text, ''))) || '|' || c.copy) AS mix_key, text
 FROM counted, LATERAL (SELECT unnest(generate_series(1, n)) AS copy) c
 """,
 }
