@@ -44,14 +44,19 @@ def test_empty_and_repeated_rows(spark):
 def test_rows_without_doc_id_are_spread(spark):
     """Each draws a number of its own and has a place of its own; a hot doc_id fills more than one task."""
     docs = spark.range(8_000).selectExpr("if(id % 2 = 0, null, 7L) AS doc_id", "'s' AS source", "concat('t', id) AS text")
-    mixed = op.mix(docs, size=1.0).selectExpr("row.*", "mix_key", "spark_partition_id() AS task")
-    unnamed = mixed.where("doc_id IS NULL").collect()
-    assert len(unnamed) == pytest.approx(4_000, rel=0.1)
-    assert len({r.mix_key for r in unnamed}) == len(unnamed) and len({r.task for r in unnamed}) > 1
     counts = Counter(r.n_copies for r in op.copies(docs, op.rates(docs)).where("row.doc_id = 7").collect())
     assert len(counts) == 1
-    named = op.mix(docs, size=4.0).where("row.doc_id = 7").selectExpr("spark_partition_id() AS task").distinct()
-    assert named.count() > 1
+    # Partitions this small would be united.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = op.mix(docs, size=4.0).selectExpr("row.*", "mix_key", "copy", "spark_partition_id() AS task").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    unnamed = [r for r in mixed if r.doc_id is None]
+    assert len(unnamed) == pytest.approx(16_000, rel=0.05)
+    assert len({r.mix_key for r in unnamed}) == len(unnamed)
+    for rows in (unnamed, [r for r in mixed if r.doc_id == 7 and r.copy == 1]):
+        assert max(Counter(r.task for r in rows).values()) < len(rows) / 4
 
 
 def test_sql_of_rows_without_doc_id(spark, tmp_path):
