@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from wallscope.llm import op3_bpe, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +38,21 @@ def test_operator_on_odd_rows(spark, rows):
     assert sorted((str(r.doc_id), r.text) for r in out) == sorted((str(i), t or "") for i, t, _ in rows)
 
 
+@pytest.mark.parametrize("rows", [[], [(i, t) for i, t in enumerate([None, *TEXTS, "é" * 200_000])]])
+def test_one_function_equals_both_steps(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    together, apart = op3_bpe.encode_decode(docs, PATH), op3_bpe.decode(op3_bpe.encode(docs, PATH), PATH)
+    assert together.schema == apart.schema
+    assert sorted(map(tuple, together.collect())) == sorted(map(tuple, apart.collect()))
+
+
+def test_a_task_needs_one_worker(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for df in (queries.QUERIES["op3_bpe"](spark, sf_dir), corpus_pipeline.tokens(spark, docs, sf_dir)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_query(spark):
     sf_dir = "/root/testdata/sf0.001"
     library = Tokenizer.from_file(PATH)

@@ -195,3 +195,19 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 
     source = encoded.select(key, "ids")
     return source.mapInArrow(run, f"`{key}` {dict(source.dtypes)[key]}, ids array<int>, text string")
+
+
+def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """What ``decode`` gives for ``encode``, in one function: a task needs one Python worker, not two."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids, lengths = bpe.encode(binary(part.column("text")).cast(pa.large_string()).to_pylist())
+                columns = [part.column(0), list_array(pa.array(ids), lengths), pa.array(bpe.decode(ids, lengths), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [key, "ids", "text"])
+
+    source = docs.select(docs[key].alias(key), docs[column].alias("text"))
+    return source.mapInArrow(run, f"`{key}` {dict(source.dtypes)[key]}, ids array<int>, text string")

@@ -38,7 +38,7 @@ from wallscope.session import materialize
 LABELLED, POOL = 12_000, 6_000
 ROUNDS, SURE, GROWTH = 4, 0.98, 200
 #: Bytes of texts whose features a task computes at once; each takes about 60 bytes of temporary arrays.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 18
 #: Character classes: letters, digits, blanks, line ends, frequent marks, rest, and parts of characters beyond ASCII.
 CLASSES = np.full(256, 9, np.uint8)
 for _class, _members in enumerate([range(97, 123), range(65, 91), range(48, 58), b" \t", b"\r\n", b".,;:", b"!?", b"|<>[]{}", b"*#$%&=+_~"]):
