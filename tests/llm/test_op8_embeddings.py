@@ -66,3 +66,41 @@ def test_quantisation_bound_is_rigorous():
     near = (codes.astype(float) @ codes.astype(float).T) * scale[:, None] * scale
     bound = missed[:, None] * (1 + missed) + (1 + missed[:, None]) * missed + missed[:, None] * missed
     assert (np.abs(near - rows @ rows.T) <= bound).all()
+
+
+def test_rows_dealt_stay_in_proportion(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    dealt, deal = [], op._deal
+    monkeypatch.setattr(op, "_deal", lambda *a: dealt.append(deal(*a)) or dealt[-1])
+    for n in (300, 1500):
+        rows = rng.normal(size=(n, 32))
+        rows[1::50] = rows[::50] + rng.normal(0, 0.02, (len(rows[::50]), 32))
+        rows = list(enumerate(rows.tolist()))
+        assert result(op.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=50)) == expected(rows)
+        assert dealt[-1].count() <= 2 * op.BLOCKS * n
+
+
+@pytest.mark.parametrize("dim", [2, 3, 64, 700, 1100])
+def test_links_near_the_threshold(dim):
+    rng = np.random.default_rng(dim)
+    a = rng.normal(size=(300, dim)) * rng.exponential(size=(300, dim)) ** 2
+    other = rng.normal(size=(300, dim))
+    u = op.unit(a)
+    other = op.unit(other - (other * u).sum(1, keepdims=True) * u)
+    angle = np.arccos(0.95) + rng.choice([-1e-2, -1e-5, -1e-8, 1e-8, 1e-5, 1e-2, 0.5], 300)[:, None]
+    b = np.cos(angle) * u + np.sin(angle) * other
+    for x, y, same in ((a, b, False), (np.r_[a, b], np.r_[a, b], True)):
+        i, j = op.links(x, y, 0.95, same)
+        true = op.unit(x) @ op.unit(y).T
+        want = np.triu(true >= 0.95, 1) if same else true >= 0.95
+        got = np.zeros_like(want)
+        got[i, j] = True
+        assert len(i) == want.sum() and (got == want).all()
+
+
+def test_small_cells_share_blocks():
+    pivots = {2: op.unit(np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.1], [0.1, 1.0]]))}
+    cells = [(2, 0, 0.1, 40), (2, 1, 0.1, 40), (2, 2, 0.1, 40), (2, 3, 0.1, 250), (5, 0, 9.0, 30)]
+    table, total = op._blocks(cells, pivots, 100)
+    place = {(dim, cell): (first, blocks) for dim, cell, _, first, blocks in table}
+    assert place == {(2, 0): (0, 1), (2, 2): (0, 1), (2, 3): (1, 3), (2, 1): (4, 1), (5, 0): (5, 1)} and total == 6

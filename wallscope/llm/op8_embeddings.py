@@ -1,16 +1,18 @@
 """Near-duplicate embeddings: int8 tile products with rigorous error bounds.
 
 Equal vectors are first taken together. The distinct ones are dealt to cells by their nearest
-pivot and cells are cut into blocks of at most about ``block`` vectors. A vector meets only
-blocks it can reach: by the triangle inequality of angles, a partner in a cell is no further
-from the cell's pivot than the cell's radius. A tile holds the vectors of two blocks; their
-int8 codes are multiplied exactly, and each vector's quantisation error bounds the distance
-to the true cosine. Pairs surely above or below need nothing more, and only the rest are
-computed again in double precision. A tile returns a count per vector and a spanning forest
+pivot; large cells are cut into blocks and small ones share blocks, of at most about ``block``
+vectors or, in larger tables, a sixth of the table up to 8 MiB. A vector meets only blocks it
+can reach: by the triangle inequality of angles, a partner in a cell is no further from the
+cell's pivot than the cell's radius. A tile holds the vectors of two blocks; one product of
+their int8 codes also adds up their quantisation errors, which bound the distance to the true
+cosine, rounding included. Pairs surely above or below need nothing more, and only the rest
+are computed again in double precision. A tile returns a count per vector and a spanning forest
 of its links, never the pairs.
 
 No link is lost: all pairs of vectors that could reach each other share one tile. On data
-without any structure every block reaches every other, so the work is that of all pairs.
+without any structure every block reaches every other, so the work is that of all pairs, at
+about a nanosecond or two a pair, and rows dealt to tiles are as many as vectors times blocks.
 
 Defined cases: null, zero and not finite vectors, vectors with null components, and rows
 with a null vec_id link with nothing; vectors of different length don't link; rows that share
@@ -33,6 +35,10 @@ from wallscope.llm.components import components
 from wallscope.session import materialize
 
 BLOCK, PIVOTS = 2048, 64
+#: Blocks grow with the table to about this many, then to so many bytes of vectors, so that vectors are dealt to few tiles.
+BLOCKS, LARGEST = 6, 8 << 20
+#: Most tasks for the tiles.
+TASKS = 4096
 #: Room for rounding in double precision, far above what dot products of unit vectors need.
 SLACK = 1e-9
 CHUNK = 1 << 16
@@ -55,23 +61,27 @@ def links(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> tuple[np.nd
     """Index pairs of rows of a and b with a cosine of ``least`` or more; if both are the same rows, i < j only."""
     a, b = unit(a), unit(b)
     (qa, sa, ea), (qb, sb, eb) = quantise(a), quantise(b)
+    # With ea at its largest the bound is a sum of two terms, which two more columns add to the product.
+    eb = eb * (1 + 3 * ea.max())
+    kind = np.float32 if a.shape[1] <= 1040 else np.float64
+    left = np.c_[qa * sa[:, None], ea, np.ones(len(a))].astype(kind)
+    right = np.c_[qb * sb[:, None], np.ones(len(b)), eb].astype(kind).T
+    # Above the rounding of the factors, the products and their sums, whose sizes add up to 4 at most.
+    room = SLACK + 4 * (a.shape[1] + 8) * np.finfo(kind).eps
     found_i, found_j = [], []
-    right = qb.astype(np.float32).T
-    # Products of int8 codes are exact in float32 for up to 1,040 dimensions; beyond, double precision is used.
-    if a.shape[1] > 1040:
-        right = right.astype(np.float64)
     for start in range(0, len(a), 256):
-        rows = slice(start, start + 256)
-        near = (qa[rows].astype(right.dtype) @ right) * sa[rows, None] * sb
-        bound = ea[rows, None] * (1 + eb) + (1 + ea[rows, None]) * eb + ea[rows, None] * eb
+        first = start if same else 0
+        near = left[start : start + 256] @ right[:, first:]
         if same:
-            near[np.arange(near.shape[0])[:, None] + start >= np.arange(len(b))] = -2
-        i, j = np.nonzero(near + bound >= least)
-        sure = near[i, j] - bound[i, j] >= least + SLACK
+            head = near[:, : len(near)]
+            head[np.tri(len(near), dtype=bool)] = -2
+        i, j = np.divmod(np.flatnonzero(near >= least - room), near.shape[1])
+        sure = near[i, j] - 2 * (ea[i + start] + eb[j + first]) >= least + room
+        i, j = i + start, j + first
         for at in range(0, len(i), CHUNK):
             open_ = np.flatnonzero(~sure[at : at + CHUNK]) + at
-            sure[open_] = np.einsum("ij,ij->i", a[i[open_] + start], b[j[open_]]) >= least
-        found_i.append(i[sure] + start)
+            sure[open_] = np.einsum("ij,ij->i", a[i[open_]], b[j[open_]]) >= least
+        found_i.append(i[sure])
         found_j.append(j[sure])
     return np.concatenate(found_i), np.concatenate(found_j)
 
@@ -130,9 +140,30 @@ def _cells(distinct: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return distinct.mapInArrow(run, "rep bigint, copies bigint, vec binary, dim int, cell int, angle double")
 
 
-def _deal(cells: DataFrame, pivots: dict[int, np.ndarray], table: list, reach: float) -> DataFrame:
+def _blocks(cells: list, pivots: dict[int, np.ndarray], size: int) -> tuple[list, int]:
+    """(dim, cell, radius, first block, blocks) of every (dim, cell, radius, rows), and the number of blocks.
+
+    Large cells are cut into blocks of about ``size`` rows; small ones share a block, each with
+    those whose pivots are nearest.
+    """
+    table, total = [], 0
+    for dim in sorted({c[0] for c in cells}):
+        left = {c[1]: c for c in cells if c[0] == dim}
+        at, room = None, 0
+        while left:
+            near = pivots[dim] @ pivots[dim][at] if at is not None and dim in pivots else None
+            at = min(left) if near is None else max(left, key=lambda c: (near[c], -c))
+            _, _, radius, rows = left.pop(at)
+            if rows > room:
+                first, blocks = total, math.ceil(rows / size)
+                total, room = total + blocks, size if rows <= size else 0
+            table.append((dim, at, radius, first, blocks))
+            room -= min(rows, room)
+    return table, total
+
+
+def _deal(cells: DataFrame, pivots: dict[int, np.ndarray], table: list, total: int, reach: float) -> DataFrame:
     """A row per vector and tile; ``table`` has (dim, cell, radius, first block, blocks), a row per cell."""
-    total = table[-1][3] + table[-1][4]
     by_dim: dict[int, list] = {}
     for row in table:
         by_dim.setdefault(row[0], []).append(row)
@@ -154,18 +185,23 @@ def _deal(cells: DataFrame, pivots: dict[int, np.ndarray], table: list, reach: f
                 if dim in pivots:
                     rows = unit(np.stack([np.frombuffer(vecs[k], np.float64) for k in at]))
                     angles = np.arccos(np.clip(rows @ pivots[dim].T, -1, 1))
+                # A vector meets a block if it can reach any of the block's cells.
+                reached: dict[int, np.ndarray] = {}
                 for _, c, radius, first, blocks in by_dim[dim]:
-                    near = np.flatnonzero(angles[:, c if dim in pivots else 0] <= radius + reach)
+                    near = angles[:, c if dim in pivots else 0] <= radius + reach
                     for block in range(first, first + blocks):
-                        low, high = np.minimum(own[near], block), np.maximum(own[near], block)
-                        take = pa.array(at[near])
-                        for k in range(0, len(near), 4096):
-                            cut = slice(k, k + 4096)
-                            rows = batch.select(["rep", "copies", "vec", "dim"]).take(take[cut])
-                            yield pa.RecordBatch.from_arrays(
-                                [*rows.columns, *map(pa.array, (low[cut] * total + high[cut], (own[near][cut] > block).astype(np.int32), low[cut] == high[cut]))],
-                                ["rep", "copies", "vec", "dim", "tile", "side", "same"],
-                            )
+                        reached[block] = reached[block] | near if block in reached else near
+                for block, hit in reached.items():
+                    near = np.flatnonzero(hit)
+                    low, high = np.minimum(own[near], block), np.maximum(own[near], block)
+                    take = pa.array(at[near])
+                    for k in range(0, len(near), 4096):
+                        cut = slice(k, k + 4096)
+                        rows = batch.select(["rep", "copies", "vec", "dim"]).take(take[cut])
+                        yield pa.RecordBatch.from_arrays(
+                            [*rows.columns, *map(pa.array, (low[cut] * total + high[cut], (own[near][cut] > block).astype(np.int32), low[cut] == high[cut]))],
+                            ["rep", "copies", "vec", "dim", "tile", "side", "same"],
+                        )
 
     return cells.mapInArrow(run, "rep bigint, copies bigint, vec binary, dim int, tile bigint, side int, same boolean")
 
@@ -184,12 +220,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, block: int = BLOCK)
     for dim in {len(r["embedding"]) for r in drawn}:
         pivots[dim] = unit(np.array([r["embedding"] for r in drawn if len(r["embedding"]) == dim]))
     cells = materialize(_cells(distinct, pivots), "cells")
-    table, first = [], 0
-    for r in cells.groupBy("dim", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).orderBy("dim", "cell").collect():
-        table.append((r["dim"], r["cell"], r["radius"] + SLACK, first, math.ceil(r["n"] / block)))
-        first += table[-1][4]
+    found = cells.groupBy("dim", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()
+    longest = max([1, *(r["dim"] for r in found)])
+    size = max(block, min(math.ceil(count / BLOCKS), LARGEST // (8 * longest)))
+    table, total = _blocks([(r["dim"], r["cell"], r["radius"] + SLACK, r["n"]) for r in found], pivots, size)
     if table:
-        dealt = _deal(cells, pivots, table, math.acos(least) + 1e-6)
+        dealt = _deal(cells, pivots, table, total, math.acos(least) + 1e-6)
+        # Tiles are small in bytes and large in work, so size alone would put too many into a task.
+        dealt = dealt.repartition(min(total * (total + 1) // 2, TASKS), "tile")
         found = dealt.groupBy("tile").applyInPandas(_tile(least), "a bigint, b bigint, links bigint")
     else:
         found = distinct.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("copies").alias("links"))
