@@ -57,6 +57,11 @@ def test_text_of_networks(spark):
         assert r.text == str(ipaddress.ip_network(r.cidr)), r.cidr
 
 
+def test_cover_runs_no_lambda_per_bit(spark):
+    found = covering.cover(spark.createDataFrame([(0, 0, 0, 7)], "hi long, lo long, to_hi long, to_lo long"))
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def made(seed, count=150):
     draw = random.Random(seed)
     for _ in range(count):

@@ -39,14 +39,6 @@ def _bit(p: str, hi: str, lo: str) -> str:
     return f"(CASE WHEN {p} <= 64 THEN shiftright({hi}, 64 - {p}) ELSE shiftright({lo}, 128 - {p}) END & 1)"
 
 
-def _network(plen: str, keep: str, hi: str, lo: str, added: str = "false") -> str:
-    """Address cut to ``keep`` bits, with bit ``plen`` set if ``added``, as a network of ``plen`` bits."""
-    cut_hi, cut_lo = masked(f"({keep})", hi, lo)
-    bit_hi = f"CASE WHEN {added} AND {plen} <= 64 THEN shiftleft(1L, 64 - {plen}) ELSE 0L END"
-    bit_lo = f"CASE WHEN {added} AND {plen} > 64 THEN shiftleft(1L, 128 - {plen}) ELSE 0L END"
-    return f"named_struct('plen', {plen}, 'hi', {cut_hi} | {bit_hi}, 'lo', {cut_lo} | {bit_lo})"
-
-
 def cover(ranges: DataFrame) -> DataFrame:
     """A row for each of the fewest networks that cover a range: ``plen``, ``hi``, ``lo``.
 
@@ -67,15 +59,22 @@ def cover(ranges: DataFrame) -> DataFrame:
         *kept, *ends, "__same", "__first <= __same AND __last <= __same AS __whole",
         "greatest(__first, __same + 1) AS __first", "greatest(__last, __same + 1) AS __last",
     )
-    steps = "filter(sequence(1, 128), p -> p > __same + 1 AND p < {} AND {} = {})"
-    left = steps.format("__first", _bit("p", "hi", "lo"), 0)
-    right = steps.format("__last", _bit("p", "to_hi", "to_lo"), 1)
-    found = f"""CASE WHEN __whole THEN array({_network('__same', '__same', 'hi', 'lo')}) ELSE concat(
-        array({_network('__first', '__first', 'hi', 'lo')}),
-        transform({left}, p -> {_network('p', 'p', 'hi', 'lo', 'true')}),
-        transform({right}, p -> {_network('p', 'p - 1', 'to_hi', 'to_lo')}),
-        array({_network('__last', '__last', 'to_hi', 'to_lo')})) END"""
-    return paths.selectExpr(*kept, f"inline({found})")
+    # Bits of both paths in reach of a network, those of the path to the last address negative.
+    steps = """CASE WHEN __whole THEN array(__same)
+        ELSE concat(sequence(__same + 1, __first), sequence(-__same - 1, -__last, -1)) END"""
+    found = paths.selectExpr(*kept, *ends, "__same", "__first", "__last", "__whole", f"explode({steps}) AS __step")
+    found = found.selectExpr(
+        *kept, "__same", "abs(__step) AS plen", "__step >= 0 AS __left",
+        "__whole OR __step = __first OR __step = -__last AS __end",
+        "CASE WHEN __step >= 0 THEN hi ELSE to_hi END AS hi", "CASE WHEN __step >= 0 THEN lo ELSE to_lo END AS lo",
+    )
+    found = found.where(f"__end OR (plen > __same + 1 AND {_bit('plen', 'hi', 'lo')} = CASE WHEN __left THEN 0 ELSE 1 END)")
+    # Inside the paths a network is the other branch at its last bit.
+    branch = "CASE WHEN NOT __end AND {} THEN shiftleft(1L, {} - plen) ELSE 0L END"
+    cut_hi, cut_lo = masked("plen")
+    return found.selectExpr(
+        *kept, "plen", f"{cut_hi} ^ {branch.format('plen <= 64', '64')} AS hi", f"{cut_lo} ^ {branch.format('plen > 64', '128')} AS lo"
+    )
 
 
 def network_text(family: str = "family", plen: str = "plen", hi: str = "hi", lo: str = "lo") -> str:
