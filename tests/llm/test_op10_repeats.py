@@ -97,3 +97,24 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert Counter((r.doc_id, r.text, r.spans) for r in kept.collect()) == Counter((i, "" if i == 4 else t, "x") for i, t in rows)
     assert op.cut(docs.limit(0)).count() == 0
+
+
+def test_texts_that_repeat_themselves_at_a_short_distance(spark):
+    """One phrase over and over: exact, and without rows for every period."""
+    rng = random.Random(4)
+    rows = []
+    for k, period in enumerate((1, 2, 5, 9, 10, 23, 24, 25, 60, 158, 159, 160, 161, 319, 320, 321, 399, 400)):
+        phrase = noise(rng, period)
+        many = phrase * (3000 // period + 2)
+        # A long run, one of another phase behind other text, and runs of just one string and around it.
+        sizes = (3000, 2 * period + 410, 400 + period, 399 + period, 400, 399)
+        rows += [(100 * k + j, noise(rng, rng.randrange(90)) + many[rng.randrange(period) :][:n] + "#" * (j % 2)) for j, n in enumerate(sizes)]
+        # Another run right behind, of the same distance and of another one.
+        rows.append((100 * k + 50, noise(rng, 50) + many[:900] + many[3:1200] + "ab" * 450 + many[:700]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(queries.digest(op.cut(docs))) == expected(rows)
+
+    same = [noise(rng, 300) + "over and over " * 300 + noise(rng, 300) for _ in range(40)]
+    found = op._anchored(spark.createDataFrame(list(enumerate(same)), "doc_id long, text string"))
+    assert found.where("core IS NULL").count() == 40
+    assert found.count() < 40 * 70
